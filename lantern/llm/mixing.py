@@ -4,7 +4,7 @@ A document of source s is wanted f = target / size-of-source times. floor(f) cop
 a copy probability. Two documents with fractional probabilities meet, and probability mass in words
 (size x probability) goes at random from one to the other until one of them is 0 or 1, such that every
 probability keeps its expectation and the words of the pair stay the same. So a source's taken words miss
-its target by one document at most.
+its target by the one document left at the end. Documents meet in order of falling size, so that one is small.
 
 The pairs form a tree. Documents of a source are dealt by hash into leaves of about ``leaf`` rows; a leaf is
 folded pair by pair and leaves one undecided document; ``fan`` of those meet in a node of the next level,
@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, params: Params = Params()) -> DataFrame:  # noqa:
     """
     weights = F.array(*(F.lit(float(w)) for w in params.weights))
     buckets = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranked = numbered(sizes, [F.col("source").asc_nulls_last()], "_place", buckets)
-    rows = cut(ranked.withColumn("_weight", F.element_at(weights, (F.col("_place") % len(params.weights) + 1).cast("int"))).withColumn("_cap", F.col("source_size") * float(params.most)))
+    ranked = numbered(sizes, [F.col("source").asc_nulls_last()], "place_no", buckets)
+    rows = cut(ranked.withColumn("_weight", F.element_at(weights, (F.col("place_no") % len(params.weights) + 1).cast("int"))).withColumn("_cap", F.col("source_size") * float(params.most)))
     total = float(rows.agg(F.sum("source_size")).first()[0] or 0)
     level, capped = 0.0, -1
     while True:
@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, params: Params = Params()) -> DataFrame:  # noqa:
         if not share[1]:
             break
         level = (total - (share[0] or 0.0)) / share[1]
-    return rows.withColumn("target", F.least(F.col("_cap"), F.lit(level) * F.col("_weight"))).drop("_place", "_weight", "_cap")
+    return rows.withColumn("target", F.least(F.col("_cap"), F.lit(level) * F.col("_weight"))).drop("place_no", "_weight", "_cap")
 
 
 def _settle(acc: Column, e: Column) -> Column:
@@ -93,7 +93,7 @@ def _level(rows: DataFrame, params: Params, level: int) -> DataFrame:
     """Folds each (source, node): rows have source, node, id, size, mass."""
     kind = rows.schema["id"].dataType.simpleString()
     rows = rows.withColumn("u", unit("source", "id", F.lit(level), seed=params.seed + 1))
-    grouped = rows.groupBy("source", "node").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(params.seed + 2), "id").alias("order"), "id", "size", "mass", "u"))).alias("all"))
+    grouped = rows.groupBy("source", "node").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("falling"), F.xxhash64(F.lit(params.seed + 2), "id").alias("order"), "id", "size", "mass", "u"))).alias("all"))
     first, none = F.element_at("all", 1), F.array().cast(f"array<struct<id:{kind},size:bigint,more:int>>")
     start = F.struct(first["id"].alias("id"), first["size"].alias("size"), first["mass"].alias("mass"), none.alias("done"))
     return cut(grouped.select("source", "node", F.aggregate(F.expr("slice(all, 2, size(all))"), start, _settle).alias("x")))
