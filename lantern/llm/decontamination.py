@@ -37,8 +37,8 @@ from lantern.llm.textscan import mix, slices
 class Params:
     similarity: float = 0.8
     target_recall: float = 0.99
-    samples: int = 5
-    steps: int = 8
+    samples: int = 7
+    steps: int = 12
     block_bytes: int = 16 << 20
 
     @property
@@ -56,11 +56,27 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
 
 
 def _move(symbol: np.ndarray, repetition: int, step: int) -> np.ndarray:
-    return (mix(symbol + np.uint64((repetition * 1000003 + step + 1) * 0xA0761D6478BD642F % (1 << 64))) & np.uint64(1)).astype(np.int64)
+    odd = np.uint64((2 * repetition + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    return (((symbol * odd) >> np.uint64(63 - step)) & np.uint64(1)).astype(np.int64)
 
 
 def _join(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(key * np.uint64(0xD6E8FEB86659FD93) + symbol)
+    key = (key + symbol) * np.uint64(0xD6E8FEB86659FD93)
+    return key ^ (key >> np.uint64(32))
+
+
+class Keys:
+    """A set of keys by their low bits: it may let a key through, never keep one back."""
+
+    def __init__(self, keys: list):
+        found = np.array(keys, np.uint64)
+        self.mask = np.uint64((1 << max(16, 6 + len(found).bit_length())) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[(found & self.mask).astype(np.int64)] = True
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys that may be in the set."""
+        return np.flatnonzero(self.table[(keys & self.mask).astype(np.int64)])
 
 
 class Index:
@@ -76,7 +92,10 @@ class Index:
         offsets = rng.permutation(params.repetitions)
         for r in range(params.repetitions):
             steps = np.sort(np.append(0, 1 + rng.choice(params.steps - 1, params.samples - 1, replace=False)))
-            self.repetitions.append((steps, *self._levels(r, steps, (offsets[r] + 0.5) / params.repetitions)))
+            go, end = self._levels(r, steps, (offsets[r] + 0.5) / params.repetitions)
+            first = np.zeros(len(self.words), bool)
+            first[go[0].find(_join(np.zeros(len(self.words), np.uint64), self.words))] = True
+            self.repetitions.append((steps, first, go, end))
 
     def _levels(self, r: int, steps: np.ndarray, share: float):
         go = [[] for _ in steps]
@@ -100,7 +119,7 @@ class Index:
         for keys, item, offset in end:
             order = np.argsort(np.array(keys, np.uint64), kind="stable")
             out.append((np.array(keys, np.uint64)[order], np.array(item, np.int64)[order], np.array(offset, np.int64)[order]))
-        return [np.unique(np.array(g, np.uint64)) for g in go], out
+        return [Keys(g) for g in go], out
 
     def candidates(self, words) -> np.ndarray:
         """Rows (text, item, first word of the window) for the words of a slice; no row twice."""
@@ -112,18 +131,18 @@ class Index:
         known = np.flatnonzero(self.words[spot] == words.hash)
         spot, stop = spot[known], words.bounds[1:][words.doc]
         found = [none]
-        for r, (steps, go, end) in enumerate(self.repetitions):
-            first = np.zeros(len(self.words), bool)
-            symbols = _join(np.zeros(len(self.words), np.uint64), self.words)
-            first[np.isin(symbols, go[0])] = True
+        for r, (steps, first, go, end) in enumerate(self.repetitions):
             start = known[first[spot]]
-            at, key, level = start.copy(), np.zeros(len(start), np.uint64), 0
+            at, key, level = start, np.zeros(len(start), np.uint64), 0
             for step in range(steps[-1] + 1):
                 if not len(start):
                     break
                 symbol = words.hash[at]
                 if step == steps[level]:
                     key = _join(key, symbol)
+                    if level:
+                        stay = go[level].find(key)
+                        start, at, key, symbol = start[stay], at[stay], key[stay], symbol[stay]
                     keys, items, offsets = end[level]
                     if len(keys):
                         left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
@@ -134,13 +153,10 @@ class Index:
                     level += 1
                     if level == len(steps):
                         break
-                    place = np.searchsorted(go[level - 1], key)
-                    place[place == len(go[level - 1])] = 0
-                    stay = go[level - 1][place] == key
-                    start, at, key, symbol = start[stay], at[stay], key[stay], symbol[stay]
                 at = at + _move(symbol, r, step)
                 stay = at < stop[start]
-                start, at, key = start[stay], at[stay], key[stay]
+                if not stay.all():
+                    start, at, key = start[stay], at[stay], key[stay]
         return np.unique(np.concatenate(found), axis=0)
 
     def matches(self, words) -> Iterator[tuple[int, int, int, int]]:
