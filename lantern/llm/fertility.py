@@ -189,8 +189,8 @@ def score(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """The documents that pass, with their own columns; the bands come from a first pass over all of them."""
-    figures = measured(docs.select(F.col("lang").alias("language"), "text"), rules).drop("text")
-    limits = bands(figures, rules)
+    figures = measured(docs.select(F.col("lang").alias("language"), "text"), rules)
+    limits = bands(cut(figures.select("language", "n_tokens", "chars_per_token", "byte_share", "token_entropy")), rules)
     names = fresh(docs, *(f"_{n}" for n, _ in FIGURES), "_failed", "_kept")
     f = dict(zip((n for n, _ in FIGURES), names, strict=False))
     judged = verdict(measured(docs, rules, names=names[: len(FIGURES)]), limits, rules, "lang", f, names[-2], names[-1])

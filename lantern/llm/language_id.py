@@ -60,7 +60,10 @@ def trigrams(part: Slice, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, params: Params) -> tuple[list[str], np.ndarray]:
     """The languages, and log P(trigram | language) as [bucket, language]."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= params.fit_chars))
-    rows = usable.select("lang", "text").orderBy(F.xxhash64("doc_id", "text"), "lang").limit(params.fit_rows).collect()
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", "text", "lang").alias("h"))
+    last = usable.groupBy("h").agg(F.lit(1).alias("one")).orderBy("h").limit(params.fit_rows).agg(F.max("h")).first()[0]
+    rows = usable.filter(F.col("h") <= (last if last is not None else 0)).groupBy("h").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).collect()  # fit_rows at most
+    rows.sort(key=lambda r: r.h)
     languages = sorted({r.lang for r in rows})
     counts = np.full((params.buckets, len(languages)), 0.1)
     for i, language in enumerate(languages):
