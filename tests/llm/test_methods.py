@@ -342,6 +342,11 @@ def test_main_text_of_pages(spark):
     assert got == {0: "Head & tail A bold c d Next <p>", 1: "In a div", 2: "Bare"}
 
 
+def test_a_page_ruled_out_whole_by_a_class_is_read_without_classes():
+    assert main_text.main_text('<div class="with-sidebar"><aside>x</aside><article>Text</article></div>', "article") == "Text"
+    assert main_text.main_text('<div class="ad">Buy</div><p>Text</p>', "article") == "Text"
+
+
 def test_wrappers_are_union_free_expressions():
     fold = lambda s: main_text.folded(s.split(), 12)
     assert fold("ul li # /li li # /li li # /li /ul") == ["ul", ["+", "li", "#", "/li"], "/ul"]
