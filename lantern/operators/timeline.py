@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +23,17 @@ def attributed(articles: DataFrame, figures: list[tuple[str, list[str]]]) -> Dat
     return articles.withColumn("figure_id", contains_any(text, terms)).filter("figure_id is not null")
 
 
-def attributed_by_table(articles: DataFrame, terms: DataFrame) -> DataFrame:
-    """[J3] As ``attributed`` for terms in a table (figure_ord, figure_id, term); it must be small enough to broadcast, and is read once."""
-    text = F.lower(F.concat_ws("\n", "title", "summary"))
-    hit = articles.join(F.broadcast(terms), text.contains(F.lower("term")))
-    first = hit.groupBy("article_id").agg(F.min_by("figure_id", "figure_ord").alias("figure_id"))
+def attributed_by_table(articles: DataFrame, terms: DataFrame, block: int = 10_000) -> DataFrame:
+    """[J3] As ``attributed`` for a table of terms (figure_ord, figure_id, term).
+
+    The terms are counted and taken in blocks of about ``block``, each of which is broadcast.
+    """
+    n = max(1, math.ceil(terms.count() / block))
+    text, found = F.lower(F.concat_ws("\n", "title", "summary")), []
+    for k in range(n):
+        some = F.broadcast(terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k))
+        found.append(articles.join(some, text.contains(F.lower("term"))).groupBy("article_id").agg(F.min(F.struct("figure_ord", "figure_id")).alias("first")))
+    first = reduce(DataFrame.unionByName, found).groupBy("article_id").agg(F.min("first").alias("first")).select("article_id", "first.figure_id")
     return articles.drop("figure_id").join(first, "article_id")
 
 
