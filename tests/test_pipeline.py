@@ -1,0 +1,45 @@
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from lantern import schemas
+from lantern.operators import clustering
+from lantern.plans import pipeline as p
+from lantern.sources import landed
+
+NOW = datetime(2024, 5, 10, 12)
+
+
+def test_from_feeds_to_signals(spark):
+    body = "<article>" + "".join(f"<p>Jane Doe berpidato tentang sekolah dan jalan raya di kota besar nomor {i}.</p>" for i in range(4)) + "</article>"
+    entries = spark.createDataFrame(
+        [("Kompas", 0, "Jane Doe bicara sekolah", "x", "http://a", datetime(2024, 5, 1), None), ("Tempo", 0, "Jane Doe bicara jalan", "x", "http://b", datetime(2024, 5, 2), None),
+         ("Tempo", 1, "Jane Doe bicara jalan", "x", "http://b", datetime(2024, 5, 2), None), ("Tempo", 2, "Lain", "x", "http://c", None, None), ("Tempo", 3, "Jane", "x", "", None, None)], landed.ENTRY)
+    pages = spark.createDataFrame([("http://a", body), ("http://b", body)], "url string, html string")
+    inputs = p.Inputs(entries, pages, [("jane", ["Jane Doe"])], ("Kompas",))
+    articles = p.with_translations(p.with_bodies(p.ingest(inputs, None, NOW), pages), inputs.domestic)
+    assert sorted((r.url, r.fetch_status) for r in articles.collect()) == [("http://a", "ok"), ("http://b", "ok")]
+    grouped = p.with_events(articles, ["jane", "doe"], NOW, clustering.Params()).cache()
+    assert grouped.select("event_id").distinct().count() == 1
+    event = p.events(grouped, NOW).collect()[0]
+    assert (event.figure_id, event.event_type, event.status, event.event_date) == ("jane", "Pidato", "new", datetime(2024, 5, 1))
+    summary = p.summaries(grouped, NOW).collect()[0]
+    assert (summary.n_outlets, summary.single_source_flag, len(summary.citations)) == (2, False, 2)
+    rows = [(i, event.event_id, f"u{i % 2}", "good and great and fine words here" if i else "bad lie from someone else entirely", datetime(2024, 5, 3)) for i in range(6)]
+    comments = p.stances(spark.createDataFrame(rows, "comment_id long, event_id string, author_id string, text string, published_at timestamp"))
+    mood = p.moods(comments, NOW, "video").collect()[0]
+    assert (mood.label, mood.sample_size, mood.channel) == ("positive", 6, "video")
+    found = p.coordination(comments, p.events(grouped, NOW), NOW).collect()[0]
+    assert found.signals == "copypasta,extremity,volume" and found.suspicious_ids == [0, 1, 2, 3, 4, 5]
+    assert p.ingest(inputs, grouped, NOW).count() == 0
+    known = spark.createDataFrame([("jane", "Jane Doe", ["Jane"])], "figure_id string, name string, aliases array<string>")
+    assert p.queries(p.events(grouped, NOW), known, []).collect()[0].query == "Jane Doe bicara sekolah"
+    assert sorted(r.citation_no for r in p.numbered_sources(grouped).collect()) == [1, 2]
+
+
+def test_status_log_and_schemas(spark):
+    log = spark.createDataFrame([(1, NOW, "new"), (1, datetime(2024, 6, 1), "approved")], "event_id int, at timestamp, status string")
+    assert [r.status for r in p.current_status(log).collect()] == ["approved"]
+    for name in schemas.DDL:
+        empty = schemas.conform(spark.range(0).select(F.lit(None).cast("string").alias("event_id")), name)
+        assert [f.name for f in empty.schema] == [f.name for f in schemas.schema(name)]
