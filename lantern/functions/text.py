@@ -11,6 +11,7 @@ STOPWORDS = (
     "yang dan di ke dari untuk dengan pada ini itu akan ada atau juga tidak dalam sebagai oleh para the a an of to in on for and is are"
 ).split()
 MONTHS = "Januari Februari Maret April Mei Juni Juli Agustus September Oktober November Desember".split()
+QUERY_STOPWORDS = "dan di ke dari yang untuk dengan pada bahas soal hingga akan bakal buka suara kabar kemarin".split()
 STANCES = {"positive": 1, "neutral": 0, "negative": -1}
 
 
@@ -135,21 +136,6 @@ def local_date(x: str | Column) -> Column:
     return F.when(x.isNull(), "").when(name.isNull(), x).otherwise(F.concat(day, F.when(part(full, 4) != "", F.concat(F.lit(" "), part(full, 4))).otherwise("")))
 
 
-def score_band(x: str | Column) -> Column:
-    """Five bands of a score from -100 to 100."""
-    return F.when(_c(x) <= -40, "very negative").when(_c(x) <= -10, "negative").when(_c(x) < 16, "mixed").when(_c(x) < 46, "positive").otherwise("very positive")
-
-
-def score_place(x: str | Column) -> Column:
-    """[F32] The place of a score on a scale of 0 to 100, to one decimal."""
-    return F.round((_c(x) + 100) / F.lit(2.0), 1)
-
-
-def signed(x: str | Column) -> Column:
-    """[F33]"""
-    return F.concat(F.when(_c(x) < 0, "−").when(_c(x) > 0, "+").otherwise(""), F.abs(_c(x)).cast("string"))
-
-
 def corroborated(outlets: str | Column) -> Column:
     """[F35]"""
     return F.when(_c(outlets) >= 2, "corroborated").otherwise("single source")
@@ -164,21 +150,21 @@ def html_escaped(x: str | Column) -> Column:
 
 
 def linked(x: str | Column, pages: dict[str, str]) -> Column:
-    """Escaped text with every name as a link; longer names win, and links are never linked again."""
+    """Escaped text with every name as a link to its figure; longer names win, and links are never linked again."""
+    import html
     import re
 
     if not pages:
         return html_escaped(x)
-    out = html_escaped(x)
+    plain = lambda n: html.escape(n).replace("&quot;", "&#34;").replace("&#x27;", "&#39;")
     names = sorted(pages, key=lambda n: (-len(n), n))
-    marked = F.regexp_replace(out, "(?i)\\b(" + "|".join(re.escape(n) for n in names) + ")\\b", "\u0001$1\u0002")
+    marked = F.regexp_replace(html_escaped(x), "(?i)(" + "|".join(re.escape(plain(n)) for n in names) + ")", "\u0001$1\u0002")
     parts = F.split(marked, "\u0001")
-    low = F.create_map(*(x for n in names for x in (F.lit(n.lower()), F.lit(pages[n]))))
+    anchors = F.create_map(*(F.lit(y) for n in names for y in (plain(n).lower(), f'<a href="/figure/{pages[n]}" class="fig-link">{plain(n)}</a>')))
 
     def link(part: Column) -> Column:
         name = F.substring_index(part, "\u0002", 1)
-        rest = F.substring(part, F.length(name) + 2, F.length(part))
-        return F.concat(F.lit('<a href="'), F.element_at(low, F.lower(name)), F.lit('">'), name, F.lit("</a>"), rest)
+        return F.concat(F.element_at(anchors, F.lower(name)), F.substring(part, F.length(name) + 2, F.length(part)))
 
     return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), link), ""))
 

@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lantern.functions import display
 from lantern.functions import text as t
 from lantern.functions.udfs import language, paragraphs
 from lantern.functions.vectors import mean_vector
@@ -378,12 +379,13 @@ def local_dates(spark, sf_dir):
 
 @query("""
     with s as (select event_id, cast(event_id % 201 - 100 as int) as score from events)
-    select event_id, case when score <= -40 then 'very negative' when score <= -10 then 'negative' when score < 16 then 'mixed' when score < 46 then 'positive' else 'very positive' end as band,
-        round((score + 100) / 2.0, 1)::double as place, concat(case when score < 0 then '−' when score > 0 then '+' else '' end, abs(score)) as shown from s""")
+    select event_id, case when score <= -40 then 'Mayoritas menolak' when score <= -10 then 'Cenderung negatif' when score < 16 then 'Terbelah / netral' when score < 46 then 'Cenderung positif' else 'Mayoritas mendukung' end as band,
+        case when score <= -10 then '#c0392b' when score < 16 then '#9b7b3f' else '#2e7a52' end as colour,
+        concat(printf('%.1f', (score + 100) / 2.0::double), '%') as place, concat(case when score < 0 then '−' else '+' end, abs(score)) as shown from s""")
 def score_bands(spark, sf_dir):
     score = (F.col("event_id") % 201 - 100).cast("int")
     rows = read(spark, sf_dir, "events").select("event_id", score.alias("score"))
-    return rows.select("event_id", t.score_band("score").alias("band"), t.score_place("score").alias("place"), t.signed("score").alias("shown"))
+    return rows.select("event_id", display.band("score", display.SCORE_LABELS).alias("band"), display.band("score", display.SCORE_COLOURS).alias("colour"), display.score_place("score").alias("place"), display.signed("score").alias("shown"))
 
 
 @query("select strftime(o_orderdate, '%Y-%m') as month, count(*) as n, min(o_orderdate) as first_at, max(o_orderdate) as last_at from orders group by 1")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern.functions import text as t
-from lantern.functions import udfs, vectors
+from lantern.functions import display, udfs, vectors
 
 
 def value(spark, column, **cells):
@@ -53,8 +53,20 @@ def test_local_dates(spark, given, shown):
 
 
 def test_score_bands(spark):
-    bands = [value(spark, t.score_band("x"), x=s) for s in (-40, -39, -10, -9, 15, 16, 45, 46)]
-    assert bands == ["very negative", "negative", "negative", "mixed", "mixed", "positive", "positive", "very positive"]
+    bands = [value(spark, display.band("x", display.SCORE_LABELS), x=s) for s in (-40, -39, -10, -9, 15, 16, 45, 46)]
+    names = [n for _, n in display.SCORE_LABELS]
+    assert bands == [names[i] for i in (0, 1, 1, 2, 2, 3, 3, 4)]
+    assert [value(spark, display.band("x", display.RECORD_EMOJI), x=s) for s in (-30, -10, 10, 11, 31)] == ["😠", "🙁", "😐", "🙂", "😊"]
+
+
+def test_display(spark):
+    assert value(spark, display.signed("x"), x=0) == "+0" and value(spark, display.signed("x"), x=-3) == "−3"
+    assert value(spark, display.score_place("x"), x=14) == "57.0%" and value(spark, display.signed_fixed("x"), x=0.5) == "+0.50"
+    assert value(spark, display.language_name("x"), x="xx") == "XX" and value(spark, display.language_name("x"), x=None) == "original"
+    assert value(spark, display.signal_labels("x"), x="velocity,other") == "Kecepatan tinggi, other"
+    assert tuple(value(spark, display.short_date("x"), x="19 Jun 2026")) == ("19 Jun", "Juni", "2026")
+    assert value(spark, display.initial("x"), x="") == "?" and value(spark, display.ordinal("x"), x=7) == "07"
+    assert value(spark, display.request("http://h", q="x"), x="a b&c") == "http://h?q=a+b%26c"
 
 
 def test_query_builder(spark):
@@ -64,8 +76,8 @@ def test_query_builder(spark):
 
 
 def test_links_are_never_linked_again(spark):
-    got = value(spark, t.linked("x", {"Jane": "/f/jane", "Jane Doe": "/f/doe", "href": "/f/h"}), x="Jane Doe & jane\nend")
-    assert got == '<a href="/f/doe">Jane Doe</a> &amp; <a href="/f/jane">jane</a><br>end'
+    got = value(spark, t.linked("x", {"Jane": "j", "Jane Doe": "d", "href": "h"}), x="Jane Doe & jane\nend")
+    assert got == '<a href="/figure/d" class="fig-link">Jane Doe</a> &amp; <a href="/figure/j" class="fig-link">Jane</a><br>end'
     assert [(s.text, s.is_name) for s in value(spark, t.segments("x", ["Jane"]), x="a Jane b")] == [("a ", False), ("Jane", True), (" b", False)]
 
 
