@@ -67,5 +67,19 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: op10 in SQL: the digests that reading the formatted tokens back must give. 23 characters are the control strings of a turn.
+_OP10 = r"""
+    with t as (
+        select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    e as (select *, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') as safe_role, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') as safe_text from t)
+    select conv_id, count(*) as n_turns,
+        sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn nulls first, role, sha256(text))) as turns_sha256,
+        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by turn nulls first, sha256(text)) filter (role = 'assistant'), '')) as loss_sha256,
+        cast(sum(length(safe_role) + length(safe_text) + 23) as bigint) as formatted_chars
+    from e group by conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": _OP10}
