@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.llm.common import in_arrow
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public split pattern of this byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -81,7 +83,7 @@ def formatted(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     turn = turns.schema["turn"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), F.sha2(text, 256).alias("text_order"))
-    rows = rows.mapInArrow(_encoder(vocabulary), f"conv_id {kind}, turn {turn}, role string, {_TURN_SCHEMA}, text_order string")
+    rows = in_arrow(rows, _encoder(vocabulary), f"conv_id {kind}, turn {turn}, role string, {_TURN_SCHEMA}, text_order string")
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text_order")
     before = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     learned = F.col("role") == LEARNED
@@ -153,7 +155,7 @@ def digests(output: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     kind = output.schema["conv_id"].dataType.simpleString()
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     ordered = output.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
-    return ordered.mapInArrow(_digester(vocabulary, kind), schema)
+    return in_arrow(ordered, _digester(vocabulary, kind), schema)
 
 
 def rendered(ids: list[int], vocabulary: str = VOCABULARY) -> str:

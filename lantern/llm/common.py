@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many rows may be broadcast; it is counted first.
 BROADCAST_ROWS = 50_000
+#: Bytes of a batch of rows that goes to Python.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,13 @@ def numbered(df: DataFrame, order: list, name: str, buckets: int) -> DataFrame:
     )
 
 
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES``, whatever the rows' texts; sets it for the session."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that ``df`` does not have yet, whatever its case."""
     have, out = {c.lower() for c in df.columns}, []

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lantern.llm.common import in_arrow
 from lantern.llm.textscan import mix, slices
 
 
@@ -223,7 +224,7 @@ def leaks(docs: DataFrame, items: DataFrame, params: Params = Params()) -> DataF
     schema = f"doc_id {kind}, item_id long, distance long, similarity double, first_word long"
     out = spark.createDataFrame([], schema)
     for ids, texts in _blocks(items, params, "item_id", "text"):
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(_reporter(Index(ids, texts, params)), schema))
+        out = out.unionByName(in_arrow(docs.select("doc_id", "text"), _reporter(Index(ids, texts, params)), schema))
     return out
 
 
@@ -242,5 +243,5 @@ def _filter(index: Index, text: str):
 def clean(docs: DataFrame, items: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
     """The documents that hold no item, with their own columns; no shuffle."""
     for ids, texts in _blocks(items, params, "item_id", "text"):
-        docs = docs.mapInArrow(_filter(Index(ids, texts, params), "text"), docs.schema)
+        docs = in_arrow(docs, _filter(Index(ids, texts, params), "text"), docs.schema)
     return docs

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import cut, fresh, small
+from lantern.llm.common import cut, fresh, in_arrow, small
 from lantern.llm.textscan import Slice, per_text, runs, slices
 
 #: Symbols counted by the base rules: # * $ % & | < >
@@ -134,7 +134,7 @@ def measured(docs: DataFrame, rules: Rules, text: str = "text", names: list[str]
     """``docs`` with the figures appended; one pass, no shuffle."""
     names = names or [name for name, _ in FIGURES]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{n}` {_SQL[kind]}" for n, (_, kind) in zip(names, FIGURES, strict=True)])
-    return docs.mapInArrow(_measurer(rules, text, names), schema)
+    return in_arrow(docs, _measurer(rules, text, names), schema)
 
 
 def _group(language: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import cut, small
+from lantern.llm.common import cut, in_arrow, small
 from lantern.llm.main_text import host, main_text
 from lantern.llm.textscan import Slice, per_text, slices
 
@@ -125,7 +125,7 @@ def identify(pages: DataFrame, docs: DataFrame, params: Params = Params()) -> Da
     if not n:
         none = F.lit(None).cast("string")
         return rows.select("page_id", "url", none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"), none.alias("declared"), "host")
-    seen = cut(rows.mapInArrow(_evidence(model, params), f"page_id {kind}, url string, host string, declared string, weight array<double>, post array<double>"))
+    seen = cut(in_arrow(rows, _evidence(model, params), f"page_id {kind}, url string, host string, declared string, weight array<double>, post array<double>"))
     labels = F.split("host", r"\.")
     hosts = cut(seen.groupBy("host").agg(_sum(n).alias("n_host")))
     hosts = hosts.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lantern.llm.common import in_arrow
 from lantern.llm.textscan import Words, slices
 
 # Public licence notices.
@@ -120,4 +121,4 @@ def scan(docs: DataFrame, least: float = 0.9, templates: dict[str, str] = TEMPLA
     """doc_id, license_id, dice, first_word, n_words (after normalisation). One pass, no shuffle."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scanner(Templates(templates, least)), f"doc_id {kind}, license_id string, dice double, first_word long, n_words long")
+    return in_arrow(rows, _scanner(Templates(templates, least)), f"doc_id {kind}, license_id string, dice double, first_word long, n_words long")

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lantern.llm.common import in_arrow
+
 # Common insults, words of reporting, and words that address the reader.
 INSULTS = (
     "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass imbecile cretin loser losers scum scumbag trash garbage worthless pathetic disgusting "
@@ -294,4 +296,4 @@ def score(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Data
     lexicon, weights = train(docs, labels, params)
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scorer(lexicon, weights, params), f"doc_id {kind}, held_out boolean, score double, predicted int, abuse double, misspelt double, quoted double")
+    return in_arrow(rows, _scorer(lexicon, weights, params), f"doc_id {kind}, held_out boolean, score double, predicted int, abuse double, misspelt double, quoted double")
