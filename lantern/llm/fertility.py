@@ -70,8 +70,10 @@ def _repeated_lines(part: Slice, words) -> np.ndarray:
     breaks = np.flatnonzero(part.data == 10)
     starts = np.unique(np.concatenate([part.offsets[:-1], breaks + 1]))
     starts = starts[starts < len(part.data)]
+    if not len(starts):
+        return np.zeros(part.n, np.int64)
     ends = np.append(starts[1:], len(part.data))
-    ends = ends - (part.data[ends - 1] == 10) if len(ends) else ends
+    ends = ends - (part.data[ends - 1] == 10)
     has = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends = starts[has], ends[has]
     doc = np.searchsorted(part.offsets, starts, "right") - 1
