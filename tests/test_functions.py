@@ -15,7 +15,7 @@ def value(spark, column, **cells):
 
 def test_tokens_are_a_set_without_short_words_and_stopwords(spark):
     got = value(spark, t.tokens("x", ["named"]), x="ab abc ABC yang Named ab×cd élan 123")
-    assert sorted(got) == ["ab×cd", "abc", "élan"]
+    assert set(got) == {"ab×cd", "abc", "élan"} and len(got) == 3
 
 
 def test_collapse_and_ellipsis(spark):
