@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of frames that are no longer held.
+
+    Spark deletes them when the driver's JVM collects its garbage, which a driver with little to do puts off; an
+    operator of many rounds would pile them up until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As cut(), for wide rows: a Parquet table in the shared folder."""
     spark = df.sparkSession
