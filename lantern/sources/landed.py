@@ -40,6 +40,31 @@ def outlets(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(i, r["name"], r["rss"], float(r.get("weight", 0.5))) for i, r in enumerate(rows)], SOURCE)
 
 
+def feed_entries(files: DataFrame) -> DataFrame:
+    """[S1] Entries of landed RSS texts (source, value), parsed inside the JVM; a feed that is no XML has none."""
+    kind = "channel struct<item:array<struct<title:string,description:string,link:string,pubDate:string>>>"
+    items = files.select("source", F.posexplode(F.from_xml("value", kind, {"rowTag": "rss"})["channel"]["item"]).alias("entry_ord", "item"))
+    day = F.regexp_replace(F.regexp_replace("item.pubDate", "^\\s*[A-Za-z]+,\\s*", ""), "(GMT|UTC|Z)\\s*$", "+0000")
+    published = F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss Z"))
+    return items.select("source", "entry_ord", "item.title", F.col("item.description").alias("summary"), "item.link", published.alias("published"), F.lit(None).cast("timestamp").alias("updated"))
+
+
+def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """[S17] A table of a relational database; ``partitionColumn`` and its bounds let tasks read ranges."""
+    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
+def first_row(rows: DataFrame) -> dict | None:
+    """[S17] The first row of a lookup, or none."""
+    found = rows.limit(1).collect()
+    return found[0].asDict(recursive=True) if found else None
+
+
+def status_of(status: int | None, error: str | None) -> str:
+    """[S3, T8] What a connector writes down about a download: ``ok`` or the error as a value."""
+    return f"error:download:{error}" if error else "ok" if status is not None and status < 400 else f"error:download:HTTP{status}"
+
+
 def feed_articles(entries: DataFrame) -> DataFrame:
     """[S1, F1, P11] Articles of feed entries; those without link go."""
     return entries.filter(F.length("link") > 0).select(

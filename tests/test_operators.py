@@ -207,6 +207,14 @@ def test_configuration_and_feeds(spark, tmp_path):
     assert [(r.title, r.url) for r in landed.feed_articles(rows).collect()] == [("T", "http://x")]
 
 
+def test_landed_feeds(spark):
+    rss = "<rss><channel><title>x</title><item><title>T</title><link>http://x</link><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item><item><title>U</title><pubDate>junk</pubDate></item></channel></rss>"
+    rows = landed.feed_entries(spark.createDataFrame([("a", rss), ("b", "no xml")], "source string, value string")).orderBy("entry_ord").collect()
+    assert [(r.source, r.title, r.link, r.published) for r in rows] == [("a", "T", "http://x", datetime(2024, 1, 1, 10)), ("a", "U", None, None)]
+    assert landed.status_of(200, None) == "ok" and landed.status_of(None, "Timeout") == "error:download:Timeout" and landed.status_of(404, None) == "error:download:HTTP404"
+    assert landed.first_row(spark.range(0)) is None and landed.first_row(spark.range(1)) == {"id": 0}
+
+
 def test_dump_leaves_out_nulls(spark):
     rows = spark.createDataFrame([(1, "it's"), (2, None)], "a int, b string")
     assert [r.statement for r in landed.sql_dump(rows, "t").orderBy("a").collect()] == ["INSERT INTO t (a, b) VALUES ('1', 'it''s');", "INSERT INTO t (a) VALUES ('2');"]
