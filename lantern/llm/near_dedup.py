@@ -11,9 +11,10 @@ Exact copies meet first, as one text. Candidates are then taken in three linear
 1. each text against the one hub that it shares most tables with; a bucket's hub is its text with most
    company in all its buckets, so many near copies meet the one in their middle,
 2. each text against the hubs of all its buckets, where the two have no class in common yet,
-3. the pairs of different classes in a bucket, all of them while they are a few for each member. A crowd that
-   shares a long passage has more; its texts are searched in buckets of two crowded sketches, as the
-   pairs that share an uncrowded one have been compared. Texts that are crowded there too have met the hubs only.
+3. all pairs of different classes in a bucket. They are listed while they are a few for each member. A crowd that
+   shares a long passage has more; its texts are dealt into tiles, which hold their word counts once and not once
+   a pair, and the pairs that the counts allow are aligned in rounds of bounded size. Nothing is left out, so the time
+   for a crowd grows with its square.
 
 Null and empty texts are copies of each other. Texts under five words have one k-mer, all their words.
 Repeated rows are copies. Null doc_ids are kept and stand last. Extra columns are kept by ``keep_one``.
@@ -43,8 +44,10 @@ class Params:
     per_sketch: int = 2
     #: a bucket is searched pair by pair while it has at most so many pairs of different classes for each member
     pairs_a_member: int = 16
-    #: the same for buckets of two sketches, which texts share that share a whole crowd's passage
-    pairs_a_second: int = 2
+    #: texts in each side of a tile of a more crowded bucket
+    tile: int = 256
+    #: words of the pairs aligned in one round: as many as the texts have, and at least so many
+    round_words: int = 8_000_000
     #: bins of a text's word counts, which bound the edit distance from below
     bins: int = 256
 
@@ -208,12 +211,74 @@ def _possible(params: Params):
     return run
 
 
+def _tile_pairs(params: Params):
+    """Pairs (u, v) of different classes of a tile that share their first sketch here and whose bags allow the similarity."""
+
+    def side(column: pa.StructArray) -> tuple:
+        part = {f.name: column.field(f.name) for f in column.type}
+        n = len(column)
+        keys = part["_keys"].flatten().to_numpy().reshape(n, params.tables)
+        bags = np.frombuffer(b"".join(part["_bag"].to_pylist()), "<u2").reshape(n, params.bins)
+        return part["_digest"].to_pylist(), part["root"].to_pylist(), keys, bags, part["_words"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, same, a, b in zip(*(batch.column(n) for n in ("key", "same", "_a", "_b")), strict=True):
+                ids, roots, keys, bags, size = side(a.values)
+                ids_b, roots_b, keys_b, bags_b, size_b = side(b.values)
+                number = {r: i for i, r in enumerate({*roots, *roots_b})}
+                root_b = np.array([number[r] for r in roots_b])
+                u, v, words = [], [], []
+                for i, digest in enumerate(ids):
+                    equal = keys_b == keys[i]
+                    first = equal.argmax(axis=1)
+                    here = equal.any(axis=1) & (keys[i][first] == key.as_py()) & (root_b != number[roots[i]])
+                    if same.as_py():
+                        here[: i + 1] = False
+                    near = np.flatnonzero(here)
+                    longer, shorter = np.maximum(size_b[near], size[i]), np.minimum(size_b[near], size[i])
+                    near, longer = (x[shorter >= params.similarity * longer - 1e-9] for x in (near, longer))
+                    other = bags_b[near]
+                    clipped = (bags[i] == 65535).any() | (other == 65535).any(axis=1)
+                    near = near[clipped | (np.minimum(other, bags[i]).sum(axis=1, dtype=np.int64) >= params.similarity * longer - 1e-9)]
+                    u += [max(digest, ids_b[j]) for j in near]
+                    v += [min(digest, ids_b[j]) for j in near]
+                    words += (size_b[near] + size[i]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(words, pa.int64())], names=["u", "v", "words"])
+
+    return run
+
+
+def _tiled(crowded: DataFrame, bags: DataFrame, params: Params) -> DataFrame:
+    """Pairs (u, v) and their words, of the crowded buckets (columns key, _digest, root, main): every pair that can be similar.
+
+    Blocks hold texts of one class of lengths, so only blocks of the same and of neighbouring classes meet; the texts of a
+    bucket's largest class of near copies have blocks of their own, which do not meet each other.
+    """
+    size = F.floor(F.log(F.greatest("_words", F.lit(1))) / F.log(F.lit(1 / params.similarity)) + 1e-9)
+    rows = cut(crowded.join(bags.select("_digest", "_words"), "_digest").select("key", "_digest", "root", (F.col("root") == F.col("main")).alias("main"), size.alias("size")))
+    cell = ["key", "main", "size"]
+    counts = rows.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / params.tile).alias("blocks"))
+    rows = rows.join(counts, cell).withColumn("block", F.pmod(F.xxhash64("_digest"), F.col("blocks")))
+    full = rows.join(bags, "_digest").groupBy(*cell, "block").agg(F.collect_list(F.struct("_digest", "root", "_keys", "_bag", "_words")).alias("texts"))
+    full = stored(full.withColumn("place", F.struct("main", "size", "block")))
+    places = full.select("key", "place")
+    tiles = places.alias("x").join(places.alias("y"), "key").select("key", F.col("x.place").alias("p"), F.col("y.place").alias("q"))
+    tiles = tiles.filter("p <= q and not (p.main and q.main) and abs(p.size - q.size) <= 1")
+    a, b = full.select("key", F.col("place").alias("p"), F.col("texts").alias("_a")), full.select("key", F.col("place").alias("q"), F.col("texts").alias("_b"))
+    both = tiles.join(a, ["key", "p"]).join(b, ["key", "q"]).select("key", (F.col("p") == F.col("q")).alias("same"), "_a", "_b")
+    return in_arrow(both, _tile_pairs(params), "u binary, v binary, words long")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, bags: DataFrame, params: Params) -> DataFrame:
     """The pairs (u, v) whose texts are similar."""
     first = pairs.join(bags.select(F.col("_digest").alias("u"), F.col("_bag").alias("_ba"), F.col("_words").alias("_na")), "u")
     both = first.join(bags.select(F.col("_digest").alias("v"), F.col("_bag").alias("_bb"), F.col("_words").alias("_nb")), "v")
     longer, shorter = F.greatest("_na", "_nb"), F.least("_na", "_nb")
-    likely = in_arrow(both.filter(shorter >= params.similarity * longer - 1e-9), _possible(params), "u binary, v binary")
+    return _aligned(in_arrow(both.filter(shorter >= params.similarity * longer - 1e-9), _possible(params), "u binary, v binary"), texts, params)
+
+
+def _aligned(likely: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     with_a = likely.join(texts.select(F.col("_digest").alias("u"), F.col("_text").alias("_a")), "u")
     with_both = with_a.join(texts.select(F.col("_digest").alias("v"), F.col("_text").alias("_b")), "v")
     return in_arrow(with_both.select("u", "v", "_a", "_b"), _verified(params), "u binary, v binary")
@@ -259,7 +324,7 @@ def _crossing(members: DataFrame, allowance: int) -> tuple[DataFrame, DataFrame]
     a = rows.filter("few").filter("root != main").select("key", F.col("_digest").alias("a"), F.col("root").alias("ra"))
     b = rows.filter("few").select("key", F.col("_digest").alias("b"), F.col("root").alias("rb"), "main")
     pairs = a.join(b, "key").filter("ra != rb and (rb = main or a < b)").select(*_ordered("a", "b")).distinct()
-    return pairs, rows.filter("not few").select("key", "_digest", "root")
+    return pairs, rows.filter("not few").select("key", "_digest", "root", "main")
 
 
 def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text") -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -281,7 +346,7 @@ def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text")
     one = rows.filter("_keys is not null").groupBy("_digest").agg(F.min("doc_id").alias("doc_id")).join(wanted, "_digest")
     source = digested(narrow, "_text").join(one.select("_digest", F.col("doc_id").alias("_id")), "_digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
     bodies = stored(source.select("_digest", "_text").dropDuplicates(["_digest"]))
-    bags = stored(rows.select("_digest", "_words", "_bag").join(wanted, "_digest").dropDuplicates(["_digest"]))
+    bags = stored(rows.select("_digest", "_words", "_bag", "_keys").join(wanted, "_digest").dropDuplicates(["_digest"]))
 
     star = members.filter("_digest != least").groupBy("_digest", "least").agg(F.count(F.lit(1)).alias("n"))
     best = star.groupBy("_digest").agg(F.max(F.struct("n", "least")).alias("x")).select(*_ordered("_digest", "x.least")).distinct()
@@ -304,14 +369,20 @@ def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text")
     placed = cut(_rooted(members.select("key", "_digest"), roots))
     pairs, crowded = _crossing(placed, params.pairs_a_member)
     crowded = cut(crowded)
-    # texts that share an uncrowded bucket have been searched, so only a second crowded one tells more
-    keys = crowded.groupBy("_digest", "root").agg(F.array_sort(F.collect_set("key")).alias("keys")).filter("size(keys) > 1")
-    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    more, still = _crossing(cut(keys.select(F.explode(both).alias("key"), "_digest", "root")), params.pairs_a_second)
-    pairs = cut(pairs.unionByName(more).distinct().join(tried, ["u", "v"], "left_anti"))
-    del placed, crowded, keys, more, still
+    pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
+    tried = tried.unionByName(pairs)
+    links = cut(links.unionByName(_links(pairs, bodies, bags, params)))
+    del placed, pairs
     release(docs.sparkSession)
-    links = cut(links.unionByName(_links(pairs, bodies, bags, params)).distinct())
+    if crowded.limit(1).count():
+        likely = cut(_tiled(crowded, bags, params).join(tried, ["u", "v"], "left_anti"))
+        work, room = likely.agg(F.sum("words")).first()[0] or 0, max(params.round_words, bags.agg(F.sum("_words")).first()[0])
+        rounds = -(-work // room)
+        for i in range(rounds):
+            release(docs.sparkSession)
+            some = likely.filter(F.pmod(F.xxhash64("u", "v"), F.lit(rounds)) == i).select("u", "v")
+            links = cut(links.unionByName(_aligned(some, bodies, params)))
+    links = cut(links.distinct())
     roots = components(links)
     degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
     return rows, cut(roots.join(degree, F.col("node") == F.col("u")).select(F.col("node").alias("_digest"), "root", "n_links"))

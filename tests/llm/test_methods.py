@@ -239,6 +239,19 @@ def test_near_dedup_recall_against_all_pairs(spark):
     assert near_dedup.keep_one(docs.withColumn("source", F.lit("x"))).count() == len(set(found.values()))
 
 
+def test_near_dedup_finds_pairs_that_share_only_a_crowds_passage(spark):
+    rng = random.Random(11)
+    passage = invented(rng, 150, 30000)
+    texts = [passage + invented(rng, 60, 30000) for _ in range(240)]
+    for i in range(0, 20, 2):  # every fourth word of the tail differs, so the two share no five words of it
+        texts[i + 1] = [w if j < 150 or j % 4 else "new" for j, w in enumerate(texts[i])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert found == {i: i - i % 2 if i < 20 else i for i in range(240)}
+    small = near_dedup.Params(tile=8, round_words=1)  # many tiles and rounds find the same
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs, small).collect()} == found
+
+
 # ------------------------------------------------------------------ 6 fertility
 
 
