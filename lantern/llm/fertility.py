@@ -35,8 +35,9 @@ class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
     #: half-widths of the bands, in standard deviations (1.4826 x MAD) and as least shares of the median
-    deviations: float = 8.0
-    least_width: float = 0.12
+    deviations: float = 3.0
+    #: (for tables of texts all alike; the languages of the given tables have wider bands by their deviations)
+    least_width: float = 0.04
     #: most byte-fallback tokens above the group's median share
     byte_share: float = 0.25
     #: tokens from which a figure is judged
@@ -169,14 +170,14 @@ def bands(figures: DataFrame, rules: Rules) -> DataFrame:
 def verdict(rows: DataFrame, limits: DataFrame, rules: Rules, language: str, f: dict[str, str], failed: str, kept: str) -> DataFrame:
     """``rows`` with the columns ``failed`` (base rules) and ``kept`` (base rules and bands)."""
     own = small(limits.filter(F.col("language").isNotNull()).select(F.struct("*").alias("_own"), F.col("language").alias("_key")))
-    every = F.broadcast(limits.filter(F.col("language").isNull()).select(F.struct("every_cl", "every_ch", "every_bm", "every_el").alias("_every")))  # one row
+    every = F.broadcast(limits.filter(F.col("language").isNull()).select(F.struct("every_cl", "every_ch", "every_bm", "every_el", "every_eh").alias("_every")))  # one row
     key, = fresh(rows, "_group")
     x = rows.withColumn(key, _group(F.col(f"`{language}`"))).join(own, F.col(key) == F.col("_key"), "left").crossJoin(every)
     g = lambda own, every: F.coalesce(F.col(f"_own.{own}"), F.col(f"_every.{every}"))
     tokens, base = F.col(f["n_tokens"]), (F.col(f["n_words"]) < rules.min_words) | (100 * F.col(f["n_repeat_words"]) > rules.max_repeat_percent * F.col(f["n_words"]))
     rate, entropy = F.col(f["chars_per_token"]), F.col(f["token_entropy"])
     odd = F.coalesce((rate < g("chars_per_token_low", "every_cl")) | (rate > g("chars_per_token_high", "every_ch")) | (F.col(f["byte_share"]) > g("byte_share_mid", "every_bm") + rules.byte_share), F.lit(False))
-    flat = F.coalesce(entropy < g("token_entropy_low", "every_el"), F.lit(False))
+    flat = F.coalesce((entropy < g("token_entropy_low", "every_el")) | (entropy > g("token_entropy_high", "every_eh")), F.lit(False))
     bad = (tokens >= rules.tokens_for_rate) & odd | (tokens >= rules.tokens_for_entropy) & flat
     return x.withColumn(failed, base).withColumn(kept, ~base & ~bad).drop(key, "_own", "_key", "_every")
 

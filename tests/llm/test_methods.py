@@ -293,6 +293,15 @@ def test_bands_reject_what_tokenises_oddly_and_keep_the_rest(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[1000 + i] for i in range(5))
 
 
+def test_bands_reject_most_labelled_bad_documents_and_few_good_ones(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("quality is not null")
+    rows = fertility.score(spark.read.parquet(f"{folder}/documents.parquet")).filter("not base_failed").join(labels, "doc_id").collect()
+    bad, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert bad and sum(bad) <= 0.4 * len(bad)
+    assert good and sum(good) >= 0.95 * len(good)
+
+
 # ------------------------------------------------------------------ 7 language
 
 
