@@ -94,7 +94,7 @@ def _evidence(model: np.ndarray, params: Params):
                 page = batch.column("html")[i].as_py() or ""
                 found = _HTML_LANG.search(page)
                 declared.append(found[1].lower() if found else "")
-                texts.append(main_text(page, "article"))
+                texts.append(main_text(page))
             parts = [log_likelihoods(p, model) for p in slices(pa.array(texts, pa.large_string()))]
             weight = params.temper * np.concatenate(parts) if parts else np.zeros((0, model.shape[1]))
             weight -= weight.max(axis=1, keepdims=True) if len(weight) else 0

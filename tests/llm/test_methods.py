@@ -1,7 +1,9 @@
 """The methods against brute force, exact round trips and held-out accuracy."""
 
+import json
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -365,24 +367,93 @@ def test_main_text_of_pages(spark):
 
 
 def test_a_page_ruled_out_whole_by_a_class_is_read_without_classes():
-    assert main_text.main_text('<div class="with-sidebar"><aside>x</aside><article>Text</article></div>', "article") == "Text"
-    assert main_text.main_text('<div class="ad">Buy</div><p>Text</p>', "article") == "Text"
-
-
-def test_wrappers_are_union_free_expressions():
-    fold = lambda s: main_text.folded(s.split(), 12)
-    assert fold("ul li # /li li # /li li # /li /ul") == ["ul", ["+", "li", "#", "/li"], "/ul"]
-    a, b = fold("body div # /div p # /p p # /p /body"), fold("body p # /p /body")
-    both = main_text.aligned(a, b)
-    assert both == ["body", ["?", "div", "#", "/div"], ["+", "p", "#", "/p"], "/body"]
-    assert main_text.aligned(both, b) == both
-
-
-def test_hosts_with_many_streams_get_one_wrapper(spark):
+    assert main_text.main_text('<div class="with-sidebar"><aside>x</aside><article>Text</article></div>') == "Text"
+    assert main_text.main_text('<div class="ad">Buy</div><p>Text</p>') == "Text"
+
+
+def expression(nodes):
+    """A wrapper as a regular expression over a page's tags and text checksums."""
+    out = ""
+    for n in nodes:
+        text = not isinstance(n[0], str)
+        body = f"#{n[0] or '[0-9]+'};" if text else expression(n[1]) if n[0] == "+" else f"<{re.escape(n[0])}>{expression(n[1])}</>"
+        out += f"(?:{body}){['', '?', '+', '*'][n[1 if text else 2]]}"
+    return out
+
+
+def invented_page(rng, depth=3):
+    """(html, the same as tags and text checksums)."""
+    page = tokens = ""
+    for _ in range(rng.randrange(1, 5)):
+        tag = rng.choice(["div", "section", "p", "p", "h2", "li"] if depth else ["p", "h2"])
+        if tag in ("div", "section"):
+            inner, inside = invented_page(rng, depth - 1)
+        else:
+            inner = rng.choice(["one", "two", "three", "four"])
+            inside = f"#{zlib.crc32(inner.encode())};"
+        page, tokens = f"{page}<{tag}>{inner}</{tag}>", f"{tokens}<{tag}>{inside}</>"
+    return page, tokens
+
+
+def test_wrappers_match_every_page_they_cover():
+    rng = random.Random(17)
+    for _ in range(120):
+        wrapper, seen = [], []
+        for i in range(5):
+            page, tokens = invented_page(rng)
+            found = main_text.read(page)
+            stream = main_text._marked(found.stream, found.mark)
+            wrapper = main_text.aligned(wrapper, stream) if i else stream
+            seen.append(tokens)
+            assert all(re.fullmatch(expression(wrapper), x) for x in seen)
+    assert not re.fullmatch(expression(main_text.read("<div><p>one</p></div>").stream), "<div><p>#7;</></>")
+
+
+def test_repeated_and_optional_groups_and_slots():
+    wrapper = lambda *pages: expression(__import__("functools").reduce(main_text.aligned, (main_text.read(x).stream for x in pages)))
+    text = lambda t: f"(?:#{zlib.crc32(t.encode())};)"
+    slot = "(?:#[0-9]+;)"
+    assert wrapper("<p>a</p><p>b</p><p>c</p>") == f"(?:<p>{slot}</>)+"
+    assert wrapper("<dt>a</dt><dd>b</dd><dt>a</dt><dd>c</dd>") == f"(?:(?:<dt>{text('a')}</>)(?:<dd>{slot}</>))+"
+    assert wrapper("<h2>a</h2><p>b</p>", "<h2>a</h2><ul><li>x</li></ul><p>c</p>") == f"(?:<h2>{text('a')}</>)(?:<ul>(?:<li>{text('x')}</>)</>)?(?:<p>{slot}</>)"
+
+
+HOST = """<html><body><nav><a href='/'>Home</a></nav><article class="teaser"><h2>Stories</h2><p>Read what the others read this week, it is good.</p></article>
+<div class="c7"><h1>%s</h1><div class="x1"><p>%s</p><p>All of our texts may be printed with our name.</p></div></div><div class="z">%s</div></body></html>"""
+
+
+def test_the_wrapper_and_not_a_container_name_says_what_the_article_is(spark):
+    rng = random.Random(23)
+    say = lambda n: " ".join(invented(rng, n))
+    rows = [(f"Head {i % 3}", "</p><p>".join(say(40) for _ in range(1 + i % 3)), "Join us" if i % 2 else "Write us") for i in range(8)]
+    pages = [(i, "http://own.example.org/", HOST % r) for i, r in enumerate(rows)]
+    lone = [(100, "http://lone.example.org/", HOST % rows[0])]
+    got = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(pages + lone, "page_id long, url string, html string")).collect()}
+    notice = "All of our texts may be printed with our name."
+    for i, (head, body, _) in enumerate(rows):
+        words = " ".join([head, body.replace("</p><p>", " ")])
+        assert got[i] in (words, f"{words} {notice}"), got[i]
+    assert got[100].startswith("Stories Read what")  # one page tells nothing, so the container's name decides
+
+
+def test_text_fixed_on_all_pages_of_a_host_is_left_out_of_the_article(spark):
+    rng = random.Random(29)
+    bodies = [" ".join(invented(rng, 50)) for _ in range(6)]
+    pages = [(i, "http://own.example.org/", f"<body><div class='q'><h1>News</h1><blockquote>Share this with all your friends</blockquote><p>{b}</p></div></body>") for i, b in enumerate(bodies)]
+    pages += [(10 + i, "http://same.example.org/", pages[0][2]) for i in range(4)]  # equal pages teach no fixed text
+    got = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"News {b}" for i, b in enumerate(bodies))
+    assert all(got[10 + i] == f"News Share this with all your friends {bodies[0]}" for i in range(4))
+
+
+def test_hosts_with_many_wrappers_get_one(spark):
     rng = random.Random(9)
-    pages = [(i, "http://big.example.org/", "<article>" + "".join(rng.choice(["<p>x</p>", "<h2>y</h2>", "<ul><li>z</li></ul>"]) for _ in range(rng.randrange(9))) + "</article>") for i in range(150)]
-    rows = main_text.wrappers(spark.createDataFrame(pages, "page_id long, url string, html string"), main_text.Params(chunk=8)).collect()
+    pages = [(i, "http://big.example.org/", "<article>" + "".join(rng.choice(["<p>x</p>", "<h2>y</h2>", "<ul><li>z</li></ul>"]) for _ in range(1 + rng.randrange(9))) + "</article>") for i in range(150)]
+    rows = main_text.wrappers(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(40), main_text.Params(chunk=8)).collect()
     assert len(rows) == 1
+    pattern = expression(json.loads(rows[0].wrapper))
+    deep = "<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000
+    assert main_text.main_text(deep) == "deep" and re.match(r"\(\?:<article>", pattern)
 
 
 # ------------------------------------------------------------------ 10 chat
