@@ -6,8 +6,9 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 #: White space that separates words: space and the code points 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the cluster names none."""
+    """The folder all executors share. Only in local mode, where there is one machine, it may be one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lantern-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
@@ -91,6 +94,19 @@ def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def row_key(df: DataFrame) -> Column:
+    """128 bits of all columns: rows with one key are equal, and may stand for one another."""
+    values = [F.map_entries(F.col(f"`{f.name}`")) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in df.schema]
+    values += [v.isNull() for v in values]  # the hash skips nulls
+    return F.struct(F.xxhash64(F.lit(1), *values).alias("a"), F.xxhash64(F.lit(2), *values).alias("b"))
+
+
+def one_of_each(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key; tasks leave one each before rows are dealt by the key, so a row repeated often is no hot key."""
+    place, = fresh(df, "_first")
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(place) == 1).drop(place)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that ``df`` does not have yet, whatever its case."""
     have, out = {c.lower() for c in df.columns}, []

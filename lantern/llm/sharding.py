@@ -12,7 +12,8 @@ The matrix has at most ``most_parts`` rows, a fixed bound; a larger input has la
 
 The rows law takes no account of equal texts; they are spread like any other rows. Null text counts as
 empty. Rows equal in id, size and checksum are numbered before they are dealt, so a key that holds a
-third of all rows is spread too. An empty table gives an empty result. Extra columns are kept by ``sharded``.
+third of all rows is spread too. Rows with equal random keys stand by id. Very long texts count whole. An empty table gives
+an empty result. ``sharded`` keeps all columns, whatever they are; rows equal in all columns stand for one another.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.llm.common import cut, fresh, small, unit
+from lantern.llm.common import cut, fresh, one_of_each, row_key, small, unit
 
 
 @dataclass(frozen=True)
@@ -90,13 +91,15 @@ def matrix(sizes: DataFrame, parts: int, total: int, params: Params) -> DataFram
     whole = [share + (s < more) for s in range(params.shards)]
     nodes = spark.range(1).select(F.lit(0).cast("long").alias("node"), F.lit(total).cast("long").alias("n"), F.array(*(F.lit(x).cast("long") for x in whole)).alias("counts"))
     for level in range(1, depth + 1):
-        below = cut(sizes.groupBy(F.shiftright("part", depth - level).alias("node")).agg(F.sum("n").alias("n")))
+        below = sizes.groupBy(F.shiftright("part", depth - level).alias("node")).agg(F.sum("n").alias("n"))
         lefts = F.broadcast(below.filter("node % 2 = 0").select(F.shiftright("node", 1).alias("node"), F.col("n").alias("_left")))  # at most most_parts rows
         halved = nodes.join(lefts, "node", "left").withColumn("_left", F.coalesce("_left", F.lit(0).cast("long")))
         halved = halved.withColumn("_counts", _left(F.col("counts"), F.col("n"), F.col("_left"), F.col("node"), level, params))
         rest = F.zip_with("counts", "_counts", lambda x, y: x - y)
         halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("_left").alias("n"), F.col("_counts").alias("counts")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("n") - F.col("_left")).alias("n"), rest.alias("counts")))
-        nodes = cut(halved.select(F.explode(halves).alias("x")).select("x.*").filter("n > 0"))
+        nodes = halved.select(F.explode(halves).alias("x")).select("x.*").filter("n > 0")
+        if level % 4 == 0:
+            nodes = cut(nodes)  # each level stands once in the next one's plan
     return nodes.select(F.col("node").alias("part"), "counts")
 
 
@@ -131,12 +134,11 @@ def shard(docs: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B00
 
 def sharded(docs: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
     """The documents with their own columns, shard and slot, laid out by them; clashing names get a ``_``."""
-    key, place = fresh(docs, "_key", "_place")
+    key, = fresh(docs, "_key")
     shard_name, slot_name = fresh(docs, "shard", "slot")
-    hashed = F.xxhash64("doc_id", "text", "source", "lang")
-    where = placed(docs.select(F.struct(hashed.alias("key")).alias("id")), params).groupBy(F.col("id.key").alias("_k")).agg(F.array_sort(F.collect_list(F.struct("no", "shard", "slot"))).alias("_w"))
-    own = docs.withColumn(key, hashed).withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    rows = own.join(where, F.col(key) == F.col("_k")).withColumn("_at", F.element_at("_w", F.col(place)))
-    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_at.shard").alias(shard_name), F.col("_at.slot").alias(slot_name))
+    own = docs.withColumn(key, row_key(docs))
+    where = placed(own.select(F.struct(F.col(key).alias("key")).alias("id")), params).select(F.col("id.key").alias("_k"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    rows = one_of_each(own, key).join(where, F.col(key) == F.col("_k"))
+    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_shard").alias(shard_name), F.col("_slot").alias(slot_name))
     n = max(params.shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartitionByRange(n, shard_name, slot_name).sortWithinPartitions(shard_name, slot_name)
