@@ -1,35 +1,42 @@
 """Near-duplicate detection by Order MinHash, verified by banded alignment.
 
-Every distinct text gets ``tables`` sketches. A sketch samples the ``per_sketch`` smallest of its
-five-word k-mers, each labelled with its occurrence number, under one random order, and keeps them in
-the order of the text, so it answers to edit similarity rather than to set overlap. Texts that share a
-sketch are candidates; a candidate is a link if the word edit distance, found by a banded alignment, is
-at most ``1 - similarity`` of the longer text. Classes are the connected components of the links.
+Every distinct text gets sketches. A sketch samples the smallest of its k-mers, each labelled with its occurrence
+number, under one random order, and keeps them in the order of the text, so it answers to edit similarity rather than
+to set overlap. Texts that share a sketch are candidates; a candidate is a link if the word edit distance, found by a
+banded alignment, is at most ``1 - similarity`` of the longer text. Classes are the connected components of the links.
 
-Exact copies meet first, as one text. Candidates are then taken in three linear steps:
+With edits spread evenly, two texts of similarity 0.8 share a third of their five-word k-mers, so their Jaccard
+coefficient J is 0.2; a sketch of two meets with J squared, one of a single k-mer with J. ``pairs`` tables of two and
+``singles`` of one miss (1 - 0.04) ** 20 x (1 - 0.2) ** 12 = 0.03 of such pairs. Short texts have too few five-word
+k-mers for that, so texts up to ``short`` words are searched by two-word k-mers, ``short_pairs`` tables of two. Up to ten
+words the similarity allows one edit, which keys of the words with each one left out find for certain; longer texts
+have the other sketches, and texts on both sides of a limit those of both sides.
+
+Exact copies meet first, as one text. Candidates are then taken in three steps:
 
 1. each text against the one hub that it shares most tables with; a bucket's hub is its text with most
    company in all its buckets, so many near copies meet the one in their middle,
 2. each text against the hubs of all its buckets, where the two have no class in common yet,
 3. all pairs of different classes in a bucket. They are listed while they are a few for each member. A crowd that
-   shares a long passage has more; its texts are dealt into tiles, which hold their word counts once and not once
-   a pair, and the pairs that the counts allow are aligned in rounds of bounded size. Nothing is left out, so the time
-   for a crowd grows with its square.
-
-Null and empty texts are copies of each other. Texts under five words have one k-mer, all their words.
-Repeated rows are copies. Null doc_ids are kept and stand last. Extra columns are kept by ``keep_one``.
+   shares a long passage has more; its texts are dealt into tiles, in which the words that two texts share are counted for
+   all pairs at once, and the pairs that this allows are aligned, in rounds of bounded size. Nothing is left out,
+   so the time for a crowd grows with its square.
+
+Null and empty texts are copies of each other, and so are texts without a word that are equal. Very long texts are
+sketched and aligned whole; an alignment takes time by the edits it allows. Repeated rows are copies. Of texts tied for a
+hub the one with the greater number is taken, which changes no class. Null doc_ids are kept and stand last. An empty table gives an
+empty result. Extra columns, whatever their names, are kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.llm.common import cut, fresh, in_arrow, release, stored
@@ -40,42 +47,47 @@ from lantern.llm.textscan import mix, runs, slices
 class Params:
     words: int = 5
     similarity: float = 0.8
-    tables: int = 24
-    per_sketch: int = 2
+    #: tables of two k-mers and of one
+    pairs: int = 20
+    singles: int = 12
+    #: texts up to so many words are searched by two-word k-mers, in so many tables of two
+    short: int = 64
+    short_pairs: int = 24
     #: a bucket is searched pair by pair while it has at most so many pairs of different classes for each member
     pairs_a_member: int = 16
-    #: texts in each side of a tile of a more crowded bucket
-    tile: int = 256
+    #: texts and words in each side of a tile of a more crowded bucket
+    tile: int = 1024
+    tile_words: int = 1 << 19
     #: words of the pairs aligned in one round: as many as the texts have, and at least so many
     round_words: int = 8_000_000
     #: bins of a text's word counts, which bound the edit distance from below
     bins: int = 256
 
+    @property
+    def one_edit(self) -> int:
+        """Words of the texts that are searched by leaving out one: the most that allow one edit, and one more."""
+        return max(n for n in range(1, 1000) if int((1 - self.similarity) * n + 1e-9) <= 1) + 1
 
-def _sketches(part, params: Params) -> np.ndarray:
-    """Keys [text, table]; texts without a word have zeros."""
-    words = part.words(fold=True)
-    at, gram = words.grams(params.words)
+
+def _minima(words, chosen: np.ndarray, k: int, tables: list[int], salt: int) -> np.ndarray:
+    """Keys [text, table] of the chosen texts, which have k words or more; a table samples that many k-mers."""
+    at, gram = words.grams(k)
+    stay = chosen[words.doc[at]]
+    at, gram = at[stay], gram[stay]
     doc = words.doc[at]
-    short = (words.counts > 0) & (words.counts < params.words)
-    if short.any():  # the whole text is the only k-mer
-        bounds = words.bounds
-        whole = np.array([np.bitwise_xor.reduce(mix(words.hash[a:b] + np.arange(b - a, dtype=np.uint64))) for a, b in zip(bounds[:-1][short], bounds[1:][short], strict=True)], np.uint64)
-        at, gram, doc = np.concatenate([at, bounds[:-1][short]]), np.concatenate([gram, whole]), np.concatenate([doc, np.flatnonzero(short)])
-        order = np.argsort(at, kind="stable")
-        at, gram, doc = at[order], gram[order], doc[order]
-    out = np.zeros((part.n, params.tables), np.uint64)
+    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    out = np.zeros((len(start), len(tables)), np.uint64)
     if not len(at):
         return out
     _, which, _ = runs(doc, gram)
     label = mix(gram + mix(which.astype(np.uint64)))
-    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    owner, size = doc[start], np.diff(np.append(start, len(doc)))
+    size = np.diff(np.append(start, len(doc)))
     most, index = np.uint64(0xFFFFFFFFFFFFFFFF), np.arange(len(label))
-    for table in range(params.tables):
-        value = mix(label + np.uint64((table + 1) * 0xA0761D6478BD642F % (1 << 64)))
-        places = np.full((len(start), params.per_sketch), len(label))
-        for j in range(params.per_sketch):
+    padded = np.append(label, np.uint64(0))
+    for table, sampled in enumerate(tables):
+        value = mix(label + np.uint64((salt + table + 1) * 0xA0761D6478BD642F % (1 << 64)))
+        places = np.full((len(start), sampled), len(label))
+        for j in range(sampled):
             least = np.minimum.reduceat(value, start)
             here = np.where(value == np.repeat(least, size), index, len(label))
             place = np.minimum.reduceat(here, start)
@@ -83,53 +95,69 @@ def _sketches(part, params: Params) -> np.ndarray:
             places[real, j] = place[real]
             value[place[real]] = most
         places.sort(axis=1)
-        key = np.full(len(start), np.uint64(table + 1))
-        padded = np.append(label, np.uint64(0))
-        for j in range(params.per_sketch):
+        key = np.full(len(start), np.uint64(salt + table + 1))
+        for j in range(sampled):
             key = mix(key * np.uint64(0xD6E8FEB86659FD93) + padded[places[:, j]])
-        out[owner, table] = key | np.uint64(1)
+        out[:, table] = key | np.uint64(1)
     return out
 
 
+def _left_out(words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of n words, and their keys: of all words, and of the words with each one left out."""
+    docs = np.flatnonzero(words.counts == n)
+    each = words.hash[words.bounds[:-1][docs][:, None] + np.arange(n)]
+    keys = []
+    for out in range(-1, n):
+        key = np.full(len(docs), np.uint64(n - (out >= 0)))
+        for i in range(n):
+            if i != out:
+                key = mix(key * np.uint64(0xD6E8FEB86659FD93) + each[:, i])
+        keys.append(key | np.uint64(1))
+    return docs, np.stack(keys, axis=1)
+
+
+def _sketches(part, params: Params) -> list[np.ndarray]:
+    """The keys of each text; none for texts without a word."""
+    words = part.words(fold=True)
+    found: list[list[np.ndarray]] = [[] for _ in range(part.n)]
+    long = words.counts >= min(params.short, int(params.similarity * (params.short + 1)))
+    brief = (words.counts > 1) & (words.counts <= params.short)
+    kinds = [(long & (words.counts >= params.words), params.words, [2] * params.pairs + [1] * params.singles, 0), (brief, 2, [2] * params.short_pairs, 1000)]
+    for chosen, k, tables, salt in kinds:
+        for i, keys in zip(np.flatnonzero(chosen), _minima(words, chosen, k, tables, salt), strict=True):
+            found[i].append(keys)
+    for n in range(1, params.one_edit + 1):
+        for i, keys in zip(*_left_out(words, n), strict=True):
+            found[i].append(keys)
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in found]
+
+
 def _bags(part, words, bins: int) -> np.ndarray:
     """Words of each text by bin of their hash, as 16-bit counts; the highest stands for as many or more."""
     cell = words.doc * bins + (words.hash >> np.uint64(40)).astype(np.int64) % bins
     return np.minimum(np.bincount(cell, minlength=part.n * bins), 65535).astype("<u2").reshape(part.n, bins)
 
 
-def _scan(params: Params, text: str, sketch: bool):
-    """Appends the digest of the text, and its word count, bag and sketches."""
+def _scan(params: Params):
+    """Replaces the text, the last column, by its word count, sketches and bag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            digests, counts, keys, bags = [], [], [], []
-            for part in slices(column):
-                digests += [hashlib.blake2b(part.text(i), digest_size=16).digest() for i in range(part.n)]
-                if sketch:
-                    found = _sketches(part, params)
-                    keys += list(found.view(np.int64))
-                    words = part.words(fold=True)
-                    counts.append(words.counts)
-                    bags += [b.tobytes() for b in _bags(part, words, params.bins)]
-            arrays, names = [*batch.columns], [*batch.schema.names]
-            arrays.append(pa.array(digests, pa.binary()))
-            names.append("_digest_")  # Spark takes the columns in order
-            if sketch:
-                arrays += [pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array([None if not k.any() else k for k in keys], pa.list_(pa.int64())), pa.array(bags, pa.binary())]
-                names += ["_words_", "_keys_", "_bag_"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            counts, keys, bags = [], [], []
+            for part in slices(batch.columns[-1]):
+                keys += [k.view(np.int64) if len(k) else None for k in _sketches(part, params)]
+                words = part.words(fold=True)
+                counts.append(words.counts)
+                bags += [b.tobytes() for b in _bags(part, words, params.bins)]
+            arrays = [*batch.columns[:-1], pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "_words", "_keys", "_bag"])
 
     return run
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
-def digested(docs: DataFrame, text: str = "text", name: str = "_digest") -> DataFrame:
-    """``docs`` with the digest of the text; null counts as empty."""
-    return in_arrow(docs, _scan(Params(), text, False), f"{_schema(docs)}, `{name}` binary")
+def digest(text: str = "text") -> Column:
+    """128 bits that stand for a text; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)), 1, 16)
 
 
 def edit_distance(a: list, b: list, most: int) -> int | None:
@@ -211,77 +239,111 @@ def _possible(params: Params):
     return run
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the text, the last column, by 32 bits of each word, labelled with its occurrence."""
+    for batch in batches:
+        rows = []
+        for part in slices(batch.columns[-1]):
+            words = part.words(fold=True)
+            _, which, _ = runs(words.doc, words.hash)
+            label = (mix(words.hash + mix(which.astype(np.uint64))) >> np.uint64(32)).astype("<u4")
+            rows += [label[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.binary())], names=[*batch.schema.names[:-1], "labels"])
+
+
+#: Of a word that more pairs of a tile share, the pairs are counted by a product of matrices.
+DENSE = 4096
+
+
+def shared_words(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Labelled words that text i of a and text j of b share, for all i and j; equal labels of unequal words count, too."""
+
+    def places(side: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(side)), [len(x) // 4 for x in side])
+        both = np.unique((np.frombuffer(b"".join(side), "<u4").astype(np.int64) << 20) | row)  # a label once a text
+        return both >> 20, both & ((1 << 20) - 1)
+
+    (la, ra), (lb, rb) = places(a), places(b)
+    common = np.intersect1d(la, lb)
+    left = [np.searchsorted(x, common, side) for x in (la, lb) for side in ("left", "right")]
+    na, nb = left[1] - left[0], left[3] - left[2]
+    out = np.zeros((len(a), len(b)), np.float32)
+    dense = na * nb > DENSE
+    for at in np.array_split(np.flatnonzero(dense), -(-int(dense.sum()) // 2048) or 1):
+        if len(at):
+            sides = []
+            for rows, first, size, n in ((ra, left[0], na, len(a)), (rb, left[2], nb, len(b))):
+                has = np.zeros((n, len(at)), np.float32)
+                column = np.repeat(np.arange(len(at)), size[at])
+                has[rows[np.repeat(first[at], size[at]) + np.arange(int(size[at].sum())) - np.repeat(np.cumsum(size[at]) - size[at], size[at])], column] = 1
+                sides.append(has)
+            out += sides[0] @ sides[1].T
+    at = np.flatnonzero(~dense)
+    for some in np.array_split(at, -(-int((na[at] * nb[at]).sum()) // (1 << 22)) or 1):
+        times = na[some] * nb[some]
+        k = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        i = ra[np.repeat(left[0][some], times) + k // np.repeat(nb[some], times)]
+        j = rb[np.repeat(left[2][some], times) + k % np.repeat(nb[some], times)]
+        out += np.bincount(i * len(b) + j, minlength=out.size).reshape(out.shape)
+    return out
+
+
 def _tile_pairs(params: Params):
-    """Pairs (u, v) of different classes of a tile that share their first sketch here and whose bags allow the similarity."""
+    """Pairs (u, v) of different classes of a tile whose words allow the similarity."""
 
     def side(column: pa.StructArray) -> tuple:
         part = {f.name: column.field(f.name) for f in column.type}
-        n = len(column)
-        keys = part["_keys"].flatten().to_numpy().reshape(n, params.tables)
-        bags = np.frombuffer(b"".join(part["_bag"].to_pylist()), "<u2").reshape(n, params.bins)
-        return part["_digest"].to_pylist(), part["root"].to_pylist(), keys, bags, part["_words"].to_numpy()
+        return part["tid"].to_numpy(), part["root"].to_numpy(), part["labels"].to_pylist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, same, a, b in zip(*(batch.column(n) for n in ("key", "same", "_a", "_b")), strict=True):
-                ids, roots, keys, bags, size = side(a.values)
-                ids_b, roots_b, keys_b, bags_b, size_b = side(b.values)
-                number = {r: i for i, r in enumerate({*roots, *roots_b})}
-                root_b = np.array([number[r] for r in roots_b])
-                u, v, words = [], [], []
-                for i, digest in enumerate(ids):
-                    equal = keys_b == keys[i]
-                    first = equal.argmax(axis=1)
-                    here = equal.any(axis=1) & (keys[i][first] == key.as_py()) & (root_b != number[roots[i]])
-                    if same.as_py():
-                        here[: i + 1] = False
-                    near = np.flatnonzero(here)
-                    longer, shorter = np.maximum(size_b[near], size[i]), np.minimum(size_b[near], size[i])
-                    near, longer = (x[shorter >= params.similarity * longer - 1e-9] for x in (near, longer))
-                    other = bags_b[near]
-                    clipped = (bags[i] == 65535).any() | (other == 65535).any(axis=1)
-                    near = near[clipped | (np.minimum(other, bags[i]).sum(axis=1, dtype=np.int64) >= params.similarity * longer - 1e-9)]
-                    u += [max(digest, ids_b[j]) for j in near]
-                    v += [min(digest, ids_b[j]) for j in near]
-                    words += (size_b[near] + size[i]).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(words, pa.int64())], names=["u", "v", "words"])
+            for a, b in zip(*(batch.column(n) for n in ("_a", "_b")), strict=True):
+                (ids_a, root_a, a), (ids_b, root_b, b) = side(a.values), side(b.values)
+                size_a, size_b = (np.array([len(x) // 4 for x in s]) for s in (a, b))
+                longer = np.maximum(size_a[:, None], size_b)
+                near = (shared_words(a, b) >= params.similarity * longer - 1e-3) & (root_a[:, None] != root_b)
+                i, j = np.nonzero(near)
+                u, v = np.maximum(ids_a[i], ids_b[j]), np.minimum(ids_a[i], ids_b[j])
+                both = np.unique(np.stack([u, v, size_a[i] + size_b[j]], axis=1), axis=0)  # a tile with itself has each pair twice
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, k], pa.int64()) for k in range(3)], names=["u", "v", "words"])
 
     return run
 
 
-def _tiled(crowded: DataFrame, bags: DataFrame, params: Params) -> DataFrame:
-    """Pairs (u, v) and their words, of the crowded buckets (columns key, _digest, root, main): every pair that can be similar.
+def _tiled(crowded: DataFrame, bags: DataFrame, bodies: DataFrame, params: Params) -> DataFrame:
+    """Pairs (u, v) and their words, of the crowded buckets (columns key, tid, root, main): every pair that can be similar.
 
     Blocks hold texts of one class of lengths, so only blocks of the same and of neighbouring classes meet; the texts of a
     bucket's largest class of near copies have blocks of their own, which do not meet each other.
     """
     size = F.floor(F.log(F.greatest("_words", F.lit(1))) / F.log(F.lit(1 / params.similarity)) + 1e-9)
-    rows = cut(crowded.join(bags.select("_digest", "_words"), "_digest").select("key", "_digest", "root", (F.col("root") == F.col("main")).alias("main"), size.alias("size")))
+    rows = cut(crowded.join(bags.select("tid", "_words"), "tid").select("key", "tid", "root", "_words", (F.col("root") == F.col("main")).alias("main"), size.alias("size")))
     cell = ["key", "main", "size"]
-    counts = rows.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / params.tile).alias("blocks"))
-    rows = rows.join(counts, cell).withColumn("block", F.pmod(F.xxhash64("_digest"), F.col("blocks")))
-    full = rows.join(bags, "_digest").groupBy(*cell, "block").agg(F.collect_list(F.struct("_digest", "root", "_keys", "_bag", "_words")).alias("texts"))
+    counts = rows.groupBy(*cell).agg(F.ceil(F.greatest(F.count(F.lit(1)) / params.tile, F.sum("_words") / params.tile_words)).alias("blocks"))
+    rows = rows.join(counts, cell).withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")))
+    labels = stored(in_arrow(bodies.join(rows.select("tid").distinct(), "tid").select("tid", "_text"), _labelled, "tid long, labels binary"))
+    full = rows.join(labels, "tid").groupBy(*cell, "block").agg(F.collect_list(F.struct("tid", "root", "labels")).alias("texts"))
     full = stored(full.withColumn("place", F.struct("main", "size", "block")))
     places = full.select("key", "place")
     tiles = places.alias("x").join(places.alias("y"), "key").select("key", F.col("x.place").alias("p"), F.col("y.place").alias("q"))
     tiles = tiles.filter("p <= q and not (p.main and q.main) and abs(p.size - q.size) <= 1")
     a, b = full.select("key", F.col("place").alias("p"), F.col("texts").alias("_a")), full.select("key", F.col("place").alias("q"), F.col("texts").alias("_b"))
-    both = tiles.join(a, ["key", "p"]).join(b, ["key", "q"]).select("key", (F.col("p") == F.col("q")).alias("same"), "_a", "_b")
-    return in_arrow(both, _tile_pairs(params), "u binary, v binary, words long")
+    both = tiles.join(a, ["key", "p"]).join(b, ["key", "q"]).select("_a", "_b")
+    return in_arrow(both, _tile_pairs(params), "u long, v long, words long").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, bags: DataFrame, params: Params) -> DataFrame:
     """The pairs (u, v) whose texts are similar."""
-    first = pairs.join(bags.select(F.col("_digest").alias("u"), F.col("_bag").alias("_ba"), F.col("_words").alias("_na")), "u")
-    both = first.join(bags.select(F.col("_digest").alias("v"), F.col("_bag").alias("_bb"), F.col("_words").alias("_nb")), "v")
+    first = pairs.join(bags.select(F.col("tid").alias("u"), F.col("_bag").alias("_ba"), F.col("_words").alias("_na")), "u")
+    both = first.join(bags.select(F.col("tid").alias("v"), F.col("_bag").alias("_bb"), F.col("_words").alias("_nb")), "v")
     longer, shorter = F.greatest("_na", "_nb"), F.least("_na", "_nb")
-    return _aligned(in_arrow(both.filter(shorter >= params.similarity * longer - 1e-9), _possible(params), "u binary, v binary"), texts, params)
+    return _aligned(in_arrow(both.filter(shorter >= params.similarity * longer - 1e-9), _possible(params), "u long, v long"), texts, params)
 
 
 def _aligned(likely: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
-    with_a = likely.join(texts.select(F.col("_digest").alias("u"), F.col("_text").alias("_a")), "u")
-    with_both = with_a.join(texts.select(F.col("_digest").alias("v"), F.col("_text").alias("_b")), "v")
-    return in_arrow(with_both.select("u", "v", "_a", "_b"), _verified(params), "u binary, v binary")
+    with_a = likely.join(texts.select(F.col("tid").alias("u"), F.col("_text").alias("_a")), "u")
+    with_both = with_a.join(texts.select(F.col("tid").alias("v"), F.col("_text").alias("_b")), "v")
+    return in_arrow(with_both.select("u", "v", "_a", "_b"), _verified(params), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -308,7 +370,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots.withColumnRenamed("node", "_digest"), "_digest", "left").withColumn("root", F.coalesce("root", "_digest"))
+    return rows.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
 
 
 def _ordered(a: str, b: str) -> list:
@@ -316,57 +378,58 @@ def _ordered(a: str, b: str) -> list:
 
 
 def _crossing(members: DataFrame, allowance: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of different classes inside buckets (columns key, _digest, root), and the members of the buckets that have too many."""
+    """Pairs of different classes inside buckets (columns key, tid, root), and the members of the buckets that have too many."""
     classes = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     buckets = classes.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n").cast("double") * F.col("n")).alias("square"), F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     buckets = buckets.withColumn("few", (F.col("size").cast("double") * F.col("size") - F.col("square")) / 2 <= allowance * F.col("size")).select("key", "few", F.col("top.root").alias("main"))
     rows = members.join(buckets, "key")
-    a = rows.filter("few").filter("root != main").select("key", F.col("_digest").alias("a"), F.col("root").alias("ra"))
-    b = rows.filter("few").select("key", F.col("_digest").alias("b"), F.col("root").alias("rb"), "main")
+    a = rows.filter("few").filter("root != main").select("key", F.col("tid").alias("a"), F.col("root").alias("ra"))
+    b = rows.filter("few").select("key", F.col("tid").alias("b"), F.col("root").alias("rb"), "main")
     pairs = a.join(b, "key").filter("ra != rb and (rb = main or a < b)").select(*_ordered("a", "b")).distinct()
-    return pairs, rows.filter("not few").select("key", "_digest", "root", "main")
+    return pairs, rows.filter("not few").select("key", "tid", "root", "main")
 
 
 def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text") -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """(rows, classes): doc_id and _digest of each row; _digest, root and n_links of each text that has links."""
-    narrow = docs.select("doc_id", F.col(f"`{text}`").alias("_text"))
-    scanned = in_arrow(narrow, _scan(params, "_text", True), f"{_schema(narrow)}, _digest binary, _words long, _keys array<long>, _bag binary")
-    rows = stored(scanned.select("doc_id", "_digest", "_words", "_keys", "_bag"))
-    texts = rows.filter("_keys is not null").groupBy("_digest").agg(F.first("_keys").alias("_keys"))
-    members = texts.select("_digest", F.explode("_keys").alias("key"))
+    narrow = docs.select("doc_id", digest(text).alias("_digest"), F.col(f"`{text}`").alias("_text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = stored(in_arrow(narrow, _scan(params), f"doc_id {kind}, _digest binary, _words long, _keys array<long>, _bag binary"))
+    texts = rows.filter("_keys is not null").groupBy("_digest").agg(F.first("_keys").alias("_keys"), F.min("doc_id").alias("doc_id"), F.first("_words").alias("_words"))
+    texts = stored(texts).withColumn("tid", F.monotonically_increasing_id())  # the table is written, so the numbers stay
+    texts = stored(texts)
+    members = texts.select("tid", F.explode("_keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(members.join(shared, "key"))
     # a bucket's hub is its text with most company in all its buckets: of many near copies, the one in their middle
-    company = members.groupBy("_digest").agg(F.sum("n").alias("company"))
-    hubs = members.join(company, "_digest").groupBy("key").agg(F.max_by("_digest", F.struct("company", "_digest")).alias("least"))
-    members = stored(members.join(hubs, "key").select("key", "_digest", "least"))
+    company = members.groupBy("tid").agg(F.sum("n").alias("company"))
+    hubs = members.join(company, "tid").groupBy("key").agg(F.max_by("tid", F.struct("company", "tid")).alias("hub"))
+    members = stored(members.join(hubs, "key").select("key", "tid", "hub"))
 
     # the text of one row for each text that shares a bucket
-    wanted = members.select("_digest").distinct()
-    one = rows.filter("_keys is not null").groupBy("_digest").agg(F.min("doc_id").alias("doc_id")).join(wanted, "_digest")
-    source = digested(narrow, "_text").join(one.select("_digest", F.col("doc_id").alias("_id")), "_digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-    bodies = stored(source.select("_digest", "_text").dropDuplicates(["_digest"]))
-    bags = stored(rows.select("_digest", "_words", "_bag", "_keys").join(wanted, "_digest").dropDuplicates(["_digest"]))
-
-    star = members.filter("_digest != least").groupBy("_digest", "least").agg(F.count(F.lit(1)).alias("n"))
-    best = star.groupBy("_digest").agg(F.max(F.struct("n", "least")).alias("x")).select(*_ordered("_digest", "x.least")).distinct()
-    best = cut(best)
-    del texts, shared, company, hubs, wanted, one, source, star
+    wanted = texts.join(company.select("tid"), "tid").select("tid", "_digest", F.col("doc_id").alias("_id"))
+    wanted = cut(wanted)
+    source = narrow.join(wanted, "_digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    bodies = stored(source.select("tid", "_text").dropDuplicates(["tid"]))
+    bags = stored(rows.select("_digest", "_words", "_bag").join(wanted, "_digest").select("tid", "_words", "_bag").dropDuplicates(["tid"]))
+
+    star = members.filter("tid != hub").groupBy("tid", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = cut(star.groupBy("tid").agg(F.max(F.struct("n", "hub")).alias("x")).select(*_ordered("tid", "x.hub")).distinct())
+    del shared, company, hubs, wanted, source, star
     release(docs.sparkSession)
     links = cut(_links(best, bodies, bags, params))
     roots = components(links)
 
-    placed = cut(_rooted(members, roots).select("key", "_digest", "least", "root"))
-    least = placed.filter("_digest = least").select("key", F.col("root").alias("least_root"))
-    rest = placed.join(least, "key").filter("root != least_root").select(*_ordered("_digest", "least")).distinct().join(best, ["u", "v"], "left_anti")
+    placed = cut(_rooted(members, roots).select("key", "tid", "hub", "root"))
+    hub = placed.filter("tid = hub").select("key", F.col("root").alias("hub_root"))
+    rest = placed.join(hub, "key").filter("root != hub_root").select(*_ordered("tid", "hub")).distinct().join(best, ["u", "v"], "left_anti")
     rest = cut(rest)
     tried = cut(best.unionByName(rest))
     links = cut(links.unionByName(_links(rest, bodies, bags, params)))
     roots = components(links)
 
-    del placed, least, best, rest
+    del placed, hub, best, rest
     release(docs.sparkSession)
-    placed = cut(_rooted(members.select("key", "_digest"), roots))
+    placed = cut(_rooted(members.select("key", "tid"), roots))
     pairs, crowded = _crossing(placed, params.pairs_a_member)
     crowded = cut(crowded)
     pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
@@ -375,7 +438,7 @@ def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text")
     del placed, pairs
     release(docs.sparkSession)
     if crowded.limit(1).count():
-        likely = cut(_tiled(crowded, bags, params).join(tried, ["u", "v"], "left_anti"))
+        likely = cut(_tiled(crowded, bags, bodies, params).join(tried, ["u", "v"], "left_anti"))
         work, room = likely.agg(F.sum("words")).first()[0] or 0, max(params.round_words, bags.agg(F.sum("_words")).first()[0])
         rounds = -(-work // room)
         for i in range(rounds):
@@ -385,29 +448,30 @@ def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text")
     links = cut(links.distinct())
     roots = components(links)
     degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
-    return rows, cut(roots.join(degree, F.col("node") == F.col("u")).select(F.col("node").alias("_digest"), "root", "n_links"))
+    named = roots.join(degree, F.col("node") == F.col("u")).select(F.col("node").alias("tid"), "root", "n_links")
+    return rows.select("doc_id", "_digest"), cut(named.join(texts.select("tid", "_digest"), "tid").select("_digest", "root", "n_links"))
 
 
 def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
     """One row a document: doc_id, class_id (the least doc_id of its class), n_links (links of its text to
-    other texts found), copies (rows with its very text), kept (one row of each class)."""
+    other texts that were found; texts of one class are not all compared, so it is a lower bound), copies (rows with
+    its very text), kept (one row of each class)."""
     rows, found = text_classes(docs, params)
     texts = rows.groupBy("_digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    texts = texts.join(found, "_digest", "left").withColumn("root", F.coalesce("root", "_digest"))
-    heads = texts.groupBy("root").agg(F.min("least").alias("class_id"))
-    texts = texts.join(heads, "root").select("_digest", "class_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.select("doc_id", "_digest").join(texts, "_digest").select("doc_id", "class_id", "n_links", "copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    texts = texts.join(found, "_digest", "left").withColumn("class", F.coalesce(F.col("root").cast("string").cast("binary"), "_digest"))
+    heads = texts.groupBy("class").agg(F.min("least").alias("class_id"))
+    texts = texts.join(heads, "class").select("_digest", "class_id", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(texts, "_digest").select("doc_id", "class_id", "n_links", "copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
     """One document of each class, with its own columns: the row with the least doc_id."""
     rows, found = text_classes(docs, params)
     texts = rows.groupBy("_digest").agg(F.min("doc_id").alias("least")).join(found.select("_digest", "root"), "_digest", "left")
-    heads = texts.groupBy(F.coalesce("root", "_digest").alias("root")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "_digest")).alias("x"))
+    heads = texts.groupBy(F.coalesce(F.col("root").cast("string").cast("binary"), "_digest").alias("class")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "_digest")).alias("x"))
     heads = heads.select(F.col("x._digest").alias("_d"), F.col("x.least").alias("_id"))
     name, = fresh(docs, "_digest")
-    own = digested(docs, name=name)
-    kept = own.join(heads, (F.col(name) == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    kept = docs.withColumn(name, digest()).join(heads, (F.col(name) == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     repeated = rows.groupBy("_digest", "doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     if repeated:  # rows repeated whole: one of them
         kept = kept.dropDuplicates(["_d"])
