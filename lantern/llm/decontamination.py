@@ -1,21 +1,25 @@
 """Benchmark decontamination: CGK embedding and bit-sampling LSH, then exact edit distance.
 
 The CGK embedding walks through a sequence: it reads a symbol, and a random bit of (step, symbol) says
-whether to move on. Two sequences at a small edit distance get embeddings at a small Hamming distance,
-as walks that fell apart at an edit meet again. Sampling a few steps of the walk then is an LSH for edit
-distance. Symbols are words (ASCII case folded, punctuation separates), and every word of every text
-starts a window of the size of each item.
-
-A repetition samples ``samples`` of the first ``steps`` steps and starts its walk at its own offset in the
-item, so that edits before that do not matter. The number of repetitions follows from the target recall:
-a walk of ``steps`` steps covers about steps / 2 + 1 words, all unedited with at least the probability
-similarity ** words. Samples are read one by one, and a window is dropped as soon as its samples so far
-are those of no item, which gives the same candidates as whole keys. Candidates are verified by the edit
-distance between the item and the best substring near the window.
+whether to move on. An item or a window of n words becomes 3 n steps. Two sequences at a small edit distance get
+embeddings at a small Hamming distance, as walks that fell apart at an edit meet again. Symbols are words (ASCII case
+folded, punctuation separates), and every word of every text starts a window of the size of each item.
+
+Sampling steps of the walk is an LSH for the Hamming distance, and so for edit distance. A repetition samples steps from
+its own offset in the item on, so that edits before that do not matter; its first samples are close together and the rest
+further and further apart. Short items are known by the first few samples and long ones by more (``Params.samples``),
+as a short item allows one edit only, but has few words without it. The repetitions are as many as ``target_recall`` asks for.
+Samples are read one by one, and a window is dropped as soon as its samples so far are those of no item, which gives
+the same candidates as whole keys.
+
+Candidates then have the Hamming distance of the whole embeddings of the item and its window taken, under several walks; one that is
+far under all of them is dropped. The rest is verified by the edit distance between the item and the best substring near the
+window. Of equal distances the first place is reported.
 
 Items are taken in blocks of a bounded size, so the index that executors get never grows with the
 benchmark. Null and empty texts and items match nothing; equal items are all reported; a row of
-``documents`` that is repeated is reported each time. Extra columns are kept by ``clean``.
+``documents`` that is repeated is reported each time. Very long texts are searched whole. Without documents or items nothing is found,
+and ``clean`` keeps all it gets. Extra columns, whatever their names, are kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -38,13 +42,22 @@ from lantern.llm.textscan import mix, slices
 class Params:
     similarity: float = 0.8
     target_recall: float = 0.99
-    samples: int = 7
-    steps: int = 12
+    #: (words, samples): an item of up to so many words is known by so many samples, a longer one by all
+    by_length: tuple[tuple[int, int], ...] = ((4, 7), (9, 3), (14, 4), (24, 5))
+    #: least and most steps between neighbouring samples
+    gaps: tuple[tuple[int, int], ...] = ((1, 2), (1, 2), (1, 3), (2, 3), (2, 3), (2, 4))
+    #: walks under which whole embeddings are compared, and the most of their steps that may differ under all of them
+    walks: int = 4
+    far: float = 0.92
     block_bytes: int = 16 << 20
 
+    def samples(self, words: int) -> int:
+        return next((m for n, m in self.by_length if words <= n), len(self.gaps) + 1)
+
     @property
     def repetitions(self) -> int:
-        covered = self.steps / 2 + 1
+        """A repetition meets if the words under its samples are unedited, which a walk passes at two steps a word."""
+        covered = 1 + sum(a + b for a, b in self.gaps) / 4
         return math.ceil(math.log(1 - self.target_recall) / math.log(1 - self.similarity**covered))
 
 
@@ -57,8 +70,8 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
 
 
 def _move(symbol: np.ndarray, repetition: int, step: int) -> np.ndarray:
-    odd = np.uint64((2 * repetition + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-    return (((symbol * odd) >> np.uint64(63 - step)) & np.uint64(1)).astype(np.int64)
+    odd = np.uint64((2 * (repetition + 4096 * (step // 64)) + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    return (((symbol * odd) >> np.uint64(63 - step % 64)) & np.uint64(1)).astype(np.int64)
 
 
 def _join(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -92,7 +105,7 @@ class Index:
         self.repetitions = []
         offsets = rng.permutation(params.repetitions)
         for r in range(params.repetitions):
-            steps = np.sort(np.append(0, 1 + rng.choice(params.steps - 1, params.samples - 1, replace=False)))
+            steps = np.cumsum([0, *(rng.integers(a, b + 1) for a, b in params.gaps)])
             go, end = self._levels(r, steps, (offsets[r] + 0.5) / params.repetitions)
             first = np.zeros(len(self.words), bool)
             first[go[0].find(_join(np.zeros(len(self.words), np.uint64), self.words))] = True
@@ -102,7 +115,8 @@ class Index:
         go = [[] for _ in steps]
         end = [([], [], []) for _ in steps]
         for i, item in enumerate(self.items):
-            at = offset = int(share * max(len(item) - self.params.steps // 2, 1))
+            last = min(self.params.samples(len(item)), len(steps)) - 1
+            at = offset = int(share * max(len(item) - steps[last] // 2, 1))
             key, level = np.zeros(1, np.uint64), -1
             for step in range(steps[-1] + 1):
                 if at >= len(item):
@@ -110,7 +124,7 @@ class Index:
                 if step == steps[level + 1]:
                     key, level = _join(key, item[at : at + 1]), level + 1
                     go[level].append(key[0])
-                    if level == len(steps) - 1:
+                    if level == last:
                         break
                 at += int(_move(item[at : at + 1], r, step)[0])
             end[level][0].append(key[0])
@@ -160,10 +174,36 @@ class Index:
                     start, at, key = start[stay], at[stay], key[stay]
         return np.unique(np.concatenate(found), axis=0)
 
+    def near(self, words, found: np.ndarray) -> np.ndarray:
+        """The candidates whose window's embedding is at a small Hamming distance from that of the item, under some walk."""
+        if not len(found):
+            return found
+        size = np.array([len(x) for x in self.items])
+        begin = np.cumsum(size) - size
+        every, n = np.concatenate(self.items), size[found[:, 1]]
+        low, high = words.bounds[found[:, 0]], words.bounds[found[:, 0] + 1]
+        start = np.clip(found[:, 2], low, high - 1)
+        stop, first = np.minimum(start + n, high), begin[found[:, 1]]
+        keep = np.zeros(len(found), bool)
+        for walk in range(self.params.walks):
+            a, b, same = first.copy(), start.copy(), np.zeros(len(found), np.int64)
+            live = np.flatnonzero(~keep)
+            for step in range(3 * int(n[live].max(initial=0))):
+                live = live[(step < 3 * n[live]) & (a[live] < first[live] + n[live]) & (b[live] < stop[live])]
+                if not len(live):
+                    break
+                x, y = every[a[live]], words.hash[b[live]]
+                same[live] += x == y
+                a[live] += _move(x, 1000 + walk, step)
+                b[live] += _move(y, 1000 + walk, step)
+            read = 2 * n  # a walk through n words ends after about so many steps; where both have ended, they agree
+            keep |= read - same <= self.params.far * read
+        return found[keep]
+
     def matches(self, words) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, distance, first word) of the best match of each text and item that verify."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for doc, i, start in self.candidates(words).tolist():
+        for doc, i, start in self.near(words, self.candidates(words)).tolist():
             item, low, high = self.items[i], int(words.bounds[doc]), int(words.bounds[doc + 1])
             if best.get((doc, i), (1,))[0] == 0:
                 continue
