@@ -1,12 +1,17 @@
 """Quality rules from tokeniser fertility.
 
 A public vocabulary (BPE with byte fallback) measures each whole text: characters per token, the
-share of byte-fallback tokens and the entropy of its tokens. Rejection bands are robust (median and
-median absolute deviation) per language over all documents; languages with few documents take the
-band of all documents together. Texts too short for a figure are not judged by it.
+share of byte-fallback tokens and the entropy of its tokens. Rejection bands per language come from all documents that
+pass the base rules: characters per token around the language's median, entropy around the median of the language's texts of
+like length, as it grows with the length, and the byte share up to a little above the median.
+
+A figure of few tokens varies more, so no text is too short to be judged: its deviation is divided by
+sqrt(1 + spread_tokens / tokens) first. Half the distance between the quartiles of these deviations, which is the MAD of a symmetric
+figure, gives the width. A language of few documents leans on the width of all languages, by ``prior_rows`` documents.
 
 Null or empty text: no words, so the base rule fails it. Null language: group ``und``. Repeated rows
-are judged alike. Extra columns, whatever their names, are kept as they are by ``keep``.
+are judged alike. A deviation that equals the band's edge is inside. Very long texts are measured whole. An empty table gives
+no rows. Extra columns, whatever their names, are kept as they are by ``keep``.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import cut, fresh, in_arrow, small
+from lantern.llm.common import cut, fresh, in_arrow, small, stored
 from lantern.llm.textscan import Slice, per_text, runs, slices
 
 #: Symbols counted by the base rules: # * $ % & | < >
@@ -35,16 +40,15 @@ class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
     #: half-widths of the bands, in standard deviations (1.4826 x MAD) and as least shares of the median
-    deviations: float = 3.0
+    deviations: float = 4.0
     #: (for tables of texts all alike; the languages of the given tables have wider bands by their deviations)
     least_width: float = 0.04
-    #: most byte-fallback tokens above the group's median share
+    #: most byte-fallback tokens above the language's median share
     byte_share: float = 0.25
-    #: tokens from which a figure is judged
-    tokens_for_rate: int = 50
-    tokens_for_entropy: int = 200
-    #: documents from which a language has a band of its own
-    group_rows: int = 100
+    #: tokens at which a text varies by as much again as texts do anyway
+    spread_tokens: int = 100
+    #: documents that the width of all languages counts for in that of one
+    prior_rows: int = 20
 
 
 FIGURES = (
@@ -144,57 +148,74 @@ def _group(language: Column) -> Column:
     return F.coalesce(language, F.lit("und"))
 
 
-def bands(figures: DataFrame, rules: Rules) -> DataFrame:
-    """One row a language with its bands, from columns language, n_tokens, chars_per_token, byte_share, token_entropy.
+def _base_failed(f: dict[str, str], rules: Rules) -> Column:
+    return (F.col(f["n_words"]) < rules.min_words) | (100 * F.col(f["n_repeat_words"]) > rules.max_repeat_percent * F.col(f["n_words"]))
+
+
+def _length(tokens: Column) -> Column:
+    """Texts of one class are at most twice as long as one another."""
+    return F.floor(F.log2(F.greatest(tokens, F.lit(1))) + 1e-9)
 
-    The percentiles are mergeable sketches, so a language with most rows is no hot key.
-    """
-    judged = figures.filter(F.col("n_tokens") >= rules.tokens_for_entropy).select(_group(F.col("language")).alias("language"), "chars_per_token", "byte_share", "token_entropy")
-    columns = ("chars_per_token", "byte_share", "token_entropy")
 
-    def of(rows: DataFrame, *keys: str) -> DataFrame:
-        # the deviation is half the distance between the quartiles, which is the MAD of a symmetric figure
-        quartiles = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *(F.percentile_approx(c, [0.25, 0.5, 0.75], 5000).alias(c) for c in columns))
-        out = [*keys, "rows"]
-        for c in columns:
-            q = F.col(c)
-            wide = F.greatest(rules.deviations * 1.4826 * (q[2] - q[0]) / 2, rules.least_width * q[1])
-            out += [(q[1] - wide).alias(f"{c}_low"), (q[1] + wide).alias(f"{c}_high"), q[1].alias(f"{c}_mid")]
-        return quartiles.select(*out)
+def _wide(tokens: Column, rules: Rules) -> Column:
+    """By how much a figure of so many tokens varies more than that of a long text."""
+    return F.sqrt(1 + F.lit(float(rules.spread_tokens)) / F.greatest(tokens, F.lit(1)))
 
-    every = of(judged).drop("rows").toDF("every_cl", "every_ch", "every_cm", "every_bl", "every_bh", "every_bm", "every_el", "every_eh", "every_em")
-    own = of(judged, "language").filter(F.col("rows") >= rules.group_rows)
-    return cut(own.crossJoin(F.broadcast(every)).unionByName(every.select(F.lit(None).cast("string").alias("language"), "*"), allowMissingColumns=True))  # every has one row
 
+_SAME = {name: name for name, _ in FIGURES}
 
-def verdict(rows: DataFrame, limits: DataFrame, rules: Rules, language: str, f: dict[str, str], failed: str, kept: str) -> DataFrame:
+
+def bands(figures: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """(by language: _language, _rate, _byte, _rate_width, _entropy_width; by language and class of lengths: _of, _length, _entropy).
+
+    From column language and the figures. The percentiles are mergeable sketches, so a language with most rows is no hot key.
+    """
+    judged = figures.filter(~_base_failed(_SAME, rules) & (F.col("n_tokens") > 0)).withColumn("language", _group(F.col("language")))
+    middle = lambda c: F.percentile_approx(c, 0.5, 5000)
+    mids = cut(judged.groupBy(F.col("language").alias("_language")).agg(middle("chars_per_token").alias("_rate"), middle("byte_share").alias("_byte")))
+    lengths = cut(judged.groupBy(F.col("language").alias("_of"), _length(F.col("n_tokens")).alias("_length")).agg(middle("token_entropy").alias("_entropy")))
+    both = judged.join(small(mids), F.col("language") == F.col("_language")).join(small(lengths), (F.col("language") == F.col("_of")) & (_length(F.col("n_tokens")) == F.col("_length")))
+    wide = _wide(F.col("n_tokens"), rules)
+    both = both.select("_language", ((F.col("chars_per_token") - F.col("_rate")) / wide).alias("r"), ((F.col("token_entropy") - F.col("_entropy")) / wide).alias("e"))
+    half = lambda c: (F.percentile_approx(c, [0.25, 0.75], 5000)[1] - F.percentile_approx(c, [0.25, 0.75], 5000)[0]) / 2
+    own = both.groupBy("_language").agg(F.count(F.lit(1)).alias("rows"), half("r").alias("r"), half("e").alias("e"))
+    every = F.broadcast(both.agg(half("r").alias("all_r"), half("e").alias("all_e")))  # one row
+    k = F.lit(rules.prior_rows)
+    width = lambda c: 1.4826 * rules.deviations * (F.col(c) * F.col("rows") + F.col(f"all_{c}") * k) / (F.col("rows") + k)
+    widths = own.crossJoin(every).select("_language", width("r").alias("_rate_width"), width("e").alias("_entropy_width"))
+    return cut(mids.join(widths, "_language")), lengths
+
+
+def verdict(rows: DataFrame, limits: tuple[DataFrame, DataFrame], rules: Rules, language: str, f: dict[str, str], failed: str, kept: str) -> DataFrame:
     """``rows`` with the columns ``failed`` (base rules) and ``kept`` (base rules and bands)."""
-    own = small(limits.filter(F.col("language").isNotNull()).select(F.struct("*").alias("_own"), F.col("language").alias("_key")))
-    every = F.broadcast(limits.filter(F.col("language").isNull()).select(F.struct("every_cl", "every_ch", "every_bm", "every_el", "every_eh").alias("_every")))  # one row
-    key, = fresh(rows, "_group")
-    x = rows.withColumn(key, _group(F.col(f"`{language}`"))).join(own, F.col(key) == F.col("_key"), "left").crossJoin(every)
-    g = lambda own, every: F.coalesce(F.col(f"_own.{own}"), F.col(f"_every.{every}"))
-    tokens, base = F.col(f["n_tokens"]), (F.col(f["n_words"]) < rules.min_words) | (100 * F.col(f["n_repeat_words"]) > rules.max_repeat_percent * F.col(f["n_words"]))
-    rate, entropy = F.col(f["chars_per_token"]), F.col(f["token_entropy"])
-    odd = F.coalesce((rate < g("chars_per_token_low", "every_cl")) | (rate > g("chars_per_token_high", "every_ch")) | (F.col(f["byte_share"]) > g("byte_share_mid", "every_bm") + rules.byte_share), F.lit(False))
-    flat = F.coalesce((entropy < g("token_entropy_low", "every_el")) | (entropy > g("token_entropy_high", "every_eh")), F.lit(False))
-    bad = (tokens >= rules.tokens_for_rate) & odd | (tokens >= rules.tokens_for_entropy) & flat
-    return x.withColumn(failed, base).withColumn(kept, ~base & ~bad).drop(key, "_own", "_key", "_every")
+    names = [c for table in limits for c in table.columns]
+    renamed = dict(zip(names, fresh(rows, *names), strict=True))
+    by_language, by_length = (small(t).select(F.struct("*").alias(n)) for t, n in zip(limits, fresh(rows, "_limits", "_lengths"), strict=True))
+    own, like = by_language.columns[0], by_length.columns[0]
+    key = _group(F.col(f"`{language}`"))
+    x = rows.join(by_language, key == F.col(f"{own}._language"), "left").join(by_length, (key == F.col(f"{like}._of")) & (_length(F.col(f["n_tokens"])) == F.col(f"{like}._length")), "left")
+    x = x.withColumns({renamed[c]: F.col(f"{own}.{c}") for c in limits[0].columns} | {renamed[c]: F.col(f"{like}.{c}") for c in limits[1].columns})
+    at = {c: F.col(renamed[c]) for c in names}
+    wide = _wide(F.col(f["n_tokens"]), rules)
+    off = lambda figure, middle, width: F.abs(F.col(f[figure]) - at[middle]) / wide > F.greatest(at[width], rules.least_width * at[middle]) * (1 + 1e-9)
+    odd = off("chars_per_token", "_rate", "_rate_width") | off("token_entropy", "_entropy", "_entropy_width") | (F.col(f["byte_share"]) > at["_byte"] + rules.byte_share)
+    base = _base_failed(f, rules)
+    return x.withColumn(failed, base).withColumn(kept, ~base & ~F.coalesce(odd, F.lit(False))).drop(own, like, *renamed.values())
 
 
 def score(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """doc_id, the base figures, base_failed, kept, then the fertility figures: one row a document."""
     rows = cut(measured(docs.select("doc_id", F.col("lang").alias("language"), "text"), rules).drop("text"))
-    judged = verdict(rows, bands(rows, rules), rules, "language", {n: n for n, _ in FIGURES}, "base_failed", "kept")
+    judged = verdict(rows, bands(rows, rules), rules, "language", _SAME, "base_failed", "kept")
     names = [n for n, _ in FIGURES]
     return judged.select("doc_id", *names[:5], "base_failed", "kept", *names[5:])
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
-    """The documents that pass, with their own columns; the bands come from a first pass over all of them."""
-    figures = measured(docs.select(F.col("lang").alias("language"), "text"), rules)
-    limits = bands(cut(figures.select("language", "n_tokens", "chars_per_token", "byte_share", "token_entropy")), rules)
+    """The documents that pass, with their own columns. They are measured once and written with their figures."""
     names = fresh(docs, *(f"_{n}" for n, _ in FIGURES), "_failed", "_kept")
     f = dict(zip((n for n, _ in FIGURES), names, strict=False))
-    judged = verdict(measured(docs, rules, names=names[: len(FIGURES)]), limits, rules, "lang", f, names[-2], names[-1])
+    rows = stored(measured(docs, rules, names=names[: len(FIGURES)]))
+    limits = bands(rows.select(F.col("lang").alias("language"), *(F.col(f[n]).alias(n) for n in f)), rules)
+    judged = verdict(rows, limits, rules, "lang", f, names[-2], names[-1])
     return judged.filter(F.col(names[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))
