@@ -9,11 +9,11 @@ Four kinds of evidence meet in one posterior per page:
 
 The counts are soft (sums of text posteriors) and come from grouped aggregation over all pages, so a host
 with most pages is summed before it is shuffled. The trigram models are trained on at most ``fit_rows``
-documents with a language, those with the least hash.
+documents with a language and ``fit_bytes`` of their texts, those with the least hash.
 
 Empty or null html: the other evidence decides. Null url: empty host, domain and suffix. No declaration:
-a value of its own. Ties: the language that is first by name. Repeated rows give equal rows. Without any
-labelled document the language is null. Extra columns are not carried.
+a value of its own. Ties: the language that is first by name. Repeated rows give equal rows. Very long pages are read whole. Without any
+labelled document the language is null. An empty table gives no rows. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import cut, in_arrow, small
+from lantern.llm.common import cut, in_arrow, sample, small
 from lantern.llm.main_text import host, main_text
 from lantern.llm.textscan import Slice, per_text, slices
 
@@ -40,6 +40,7 @@ _HTML_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", r
 class Params:
     fit_rows: int = 6000
     fit_chars: int = 20_000
+    fit_bytes: int = 24 << 20
     buckets: int = 1 << 15
     #: share of the log-likelihood that counts, as neighbouring trigrams tell much the same
     temper: float = 0.15
@@ -62,8 +63,8 @@ def train(docs: DataFrame, params: Params) -> tuple[list[str], np.ndarray]:
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= params.fit_chars))
     usable = usable.select("lang", "text", F.xxhash64("doc_id", "text", "lang").alias("h"))
     last = usable.groupBy("h").agg(F.lit(1).alias("one")).orderBy("h").limit(params.fit_rows).agg(F.max("h")).first()[0]
-    rows = usable.filter(F.col("h") <= (last if last is not None else 0)).groupBy("h").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).collect()  # fit_rows at most
-    rows.sort(key=lambda r: r.h)
+    rows = usable.filter(F.col("h") <= (last if last is not None else 0)).groupBy("h").agg(F.min("lang").alias("lang"), F.min("text").alias("text"))  # fit_rows at most
+    rows = sample(rows, "h", "text", params.fit_bytes)
     languages = sorted({r.lang for r in rows})
     counts = np.full((params.buckets, len(languages)), 0.1)
     for i, language in enumerate(languages):

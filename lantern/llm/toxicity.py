@@ -13,11 +13,12 @@ as quotation, else as abuse, and more if the reader is addressed. A logistic reg
 fitted on the same rows, gives the score.
 
 Training takes at most ``fit_toxic`` and ``fit_clean`` labelled rows, those with the least hash, of texts
-of at most ``fit_chars`` characters; held-out rows are never among them. Scoring reads every whole text.
+of at most ``fit_chars`` characters and ``fit_bytes`` in all; held-out rows are never among them. Scoring reads every whole text.
 
 Null or empty text: no hit, the score of a clean text. Null doc_id: not held out. Conflicting labels of
-one id: toxic. No label at all: the built-in list and fixed weights decide. Repeated rows are scored
-alike. Extra columns, language and source are neither read nor carried.
+one id: toxic. No label at all: the built-in list and fixed weights decide. Repeated rows and texts with equal hits are scored
+alike. Very long texts are scored whole, in time that grows with their length. An empty table gives no rows. Extra columns,
+language and source are neither read nor carried.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import in_arrow
+from lantern.llm.common import in_arrow, sample
 
 # Common insults, words of reporting, and words that address the reader.
 INSULTS = (
@@ -53,6 +54,7 @@ class Params:
     fit_toxic: int = 2000
     fit_clean: int = 4000
     fit_chars: int = 20_000
+    fit_bytes: int = 24 << 20
     #: false terms expected in a lexicon from labels that tell nothing
     false_terms: float = 0.5
     prefixes: tuple[int, ...] = (4, 5, 6)
@@ -156,7 +158,7 @@ class Lexicon:
             if word in self.terms or any(word.startswith(b) for b in self.by_start().get(word[:4], ())):
                 found = 1
             else:
-                found = 2 if 4 <= len(word) <= 40 and word not in self.benign and self.misspelt(word) else 0
+                found = 2 if len(word) >= 4 and word not in self.benign and self.misspelt(word) else 0
             self.memo[token] = found
         return found
 
@@ -203,11 +205,11 @@ def learn(toxic: list[str], clean: list[str], params: Params) -> Lexicon:
     return Lexicon(lexicon.terms, beginnings, {w for w in seen if lexicon.find(w) == 2} - lexicon.terms)
 
 
-def _window(text: str, spans: list[tuple[int, int]], words: list[str], i: int, params: Params) -> float:
-    """How far the hit at word i is abuse: less in quotation, 1.5 if the reader is addressed."""
+def _window(low: str, spans: list[tuple[int, int]], words: list[str], i: int, params: Params) -> float:
+    """How far the hit at word i of a lowered text is abuse: less in quotation, 1.5 if the reader is addressed."""
     start, end = spans[i]
-    line = text.rfind("\n", 0, start) + 1
-    left, right = text[max(line, start - 120) : start], text[end : end + 120].split("\n")[0]
+    left = low[low.rfind("\n", max(0, start - 120), start) + 1 or max(0, start - 120) : start]
+    right = low[end : end + 120].split("\n")[0]
     around = words[max(0, i - params.window) : i + params.window + 1]
     for o, c in zip(OPENING, CLOSING, strict=True):
         opened = left.count(o) % 2 == 1 if o == c else left.rfind(o) > left.rfind(c)
@@ -220,16 +222,16 @@ def _window(text: str, spans: list[tuple[int, int]], words: list[str], i: int, p
 
 def features(text: str, lexicon: Lexicon, params: Params) -> list[float]:
     """Sums over the hits: abuse, misspelt abuse, quotations, and abuse among all words."""
-    words = tokens(text)
-    find = lexicon.find
-    kinds = [find(w) for w in words]
+    low = text.lower()
+    words = _TOKEN.findall(low)
+    kinds = [lexicon.find(w) for w in words]
     hits = [i for i, k in enumerate(kinds) if k]
     if not hits:
         return [0.0] * 5
-    spans = [m.span() for m in _TOKEN.finditer(text.lower())]
+    spans = [m.span() for m in _TOKEN.finditer(low)]
     abuse = bent = quoted = 0.0
     for i in hits:
-        weight = _window(text.lower(), spans, words, i, params)
+        weight = _window(low, spans, words, i, params)
         if weight < 1:
             quoted += 1
         if kinds[i] == 1:
@@ -266,8 +268,9 @@ def train(docs: DataFrame, labels: DataFrame, params: Params) -> tuple[Lexicon,
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = docs.filter(F.col("text").isNotNull() & (F.length("text") <= params.fit_chars) & F.col("doc_id").isNotNull())
     picked = [known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, params.fit_toxic), (0, params.fit_clean))]
-    sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most fit_toxic + fit_clean rows
-    rows = short.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    few = F.broadcast(picked[0].unionByName(picked[1]))  # at most fit_toxic + fit_clean rows
+    rows = short.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = sample(rows.withColumn("at", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")), "at", "text", params.fit_bytes)
     rows.sort(key=lambda r: r.doc_id)
     toxic, clean = [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
     lexicon = learn(toxic, clean, params)
@@ -281,10 +284,10 @@ def _scorer(lexicon: Lexicon, weights: np.ndarray, params: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            x = np.array([[1.0, *features(column[i].as_py() or "", lexicon, params)] for i in range(len(column))]).reshape(len(column), -1)
-            score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))) if len(column) else np.zeros(0)
+            x = np.array([[1.0, *features(column[i].as_py() or "", lexicon, params)] for i in range(len(column))], float).reshape(len(column), len(weights))
+            score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             arrays = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= params.threshold).astype(np.int32))]
-            hits = x[:, 1:] if len(column) else np.zeros((0, 5))
+            hits = x[:, 1:]
             arrays += [pa.array(np.expm1(hits[:, i])) for i in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted", "abuse", "misspelt", "quoted"])
 
