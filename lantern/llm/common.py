@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
@@ -49,6 +49,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sample(rows: DataFrame, order: str, text: str, most_bytes: int) -> list[Row]:
+    """Rows to fit a model on, collected: the first by ``order`` whose texts have at most so many bytes in all. ``rows`` are few."""
+    rows = cut(rows)
+    room, n = most_bytes, 0
+    for r in rows.select(order, F.octet_length(text).alias("n")).orderBy(order).collect():
+        room -= r.n
+        if room < 0:
+            break
+        n += 1
+    return rows.orderBy(order).limit(n).collect()
+
+
+def packed(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+    """A table of about so many narrow rows in no more partitions than they need, four for each core at least; it never adds any."""
+    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As cut(), for wide rows: a Parquet table in the shared folder."""
     spark = df.sparkSession

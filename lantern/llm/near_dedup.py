@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.llm.common import cut, fresh, in_arrow, release, stored
+from lantern.llm.common import cut, fresh, in_arrow, packed, release, stored
 from lantern.llm.textscan import mix, runs, slices
 
 
@@ -51,7 +51,7 @@ class Params:
     pairs: int = 20
     singles: int = 12
     #: texts up to so many words are searched by two-word k-mers, in so many tables of two
-    short: int = 64
+    short: int = 80
     short_pairs: int = 24
     #: a bucket is searched pair by pair while it has at most so many pairs of different classes for each member
     pairs_a_member: int = 16
@@ -82,23 +82,24 @@ def _minima(words, chosen: np.ndarray, k: int, tables: list[int], salt: int) ->
     _, which, _ = runs(doc, gram)
     label = mix(gram + mix(which.astype(np.uint64)))
     size = np.diff(np.append(start, len(doc)))
-    most, index = np.uint64(0xFFFFFFFFFFFFFFFF), np.arange(len(label))
-    padded = np.append(label, np.uint64(0))
+
+    def smallest(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least value of each text, and its place."""
+        least = np.minimum.reduceat(value, start)
+        place = np.flatnonzero(value == np.repeat(least, size))
+        if len(place) != len(start):  # equal values: the first
+            place = place[np.unique(np.searchsorted(start, place, "right"), return_index=True)[1]]
+        return least, place
+
     for table, sampled in enumerate(tables):
-        value = mix(label + np.uint64((salt + table + 1) * 0xA0761D6478BD642F % (1 << 64)))
-        places = np.full((len(start), sampled), len(label))
-        for j in range(sampled):
-            least = np.minimum.reduceat(value, start)
-            here = np.where(value == np.repeat(least, size), index, len(label))
-            place = np.minimum.reduceat(here, start)
-            real = least < most
-            places[real, j] = place[real]
-            value[place[real]] = most
-        places.sort(axis=1)
-        key = np.full(len(start), np.uint64(salt + table + 1))
-        for j in range(sampled):
-            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + padded[places[:, j]])
-        out[:, table] = key | np.uint64(1)
+        value = label * np.uint64((2 * (salt + table) + 1) * 0xA0761D6478BD642F % (1 << 64) | 1)  # labels are mixed already
+        least, first = smallest(value)
+        key = np.full(len(start), np.uint64(salt + table + 1)) + (least if sampled == 1 else np.uint64(0))
+        if sampled > 1:
+            value[first] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            _, second = smallest(value)  # of a text of one k-mer, that one again
+            key = mix(key + label[np.minimum(first, second)]) * np.uint64(0xD6E8FEB86659FD93) + label[np.maximum(first, second)]
+        out[:, table] = mix(key) | np.uint64(1)
     return out
 
 
@@ -116,10 +117,9 @@ def _left_out(words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return docs, np.stack(keys, axis=1)
 
 
-def _sketches(part, params: Params) -> list[np.ndarray]:
+def _sketches(words, params: Params) -> list[np.ndarray]:
     """The keys of each text; none for texts without a word."""
-    words = part.words(fold=True)
-    found: list[list[np.ndarray]] = [[] for _ in range(part.n)]
+    found: list[list[np.ndarray]] = [[] for _ in words.counts]
     long = words.counts >= min(params.short, int(params.similarity * (params.short + 1)))
     brief = (words.counts > 1) & (words.counts <= params.short)
     kinds = [(long & (words.counts >= params.words), params.words, [2] * params.pairs + [1] * params.singles, 0), (brief, 2, [2] * params.short_pairs, 1000)]
@@ -129,13 +129,13 @@ def _sketches(part, params: Params) -> list[np.ndarray]:
     for n in range(1, params.one_edit + 1):
         for i, keys in zip(*_left_out(words, n), strict=True):
             found[i].append(keys)
-    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in found]
+    return [x[0] if len(x) == 1 else np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in found]
 
 
-def _bags(part, words, bins: int) -> np.ndarray:
+def _bags(words, bins: int) -> np.ndarray:
     """Words of each text by bin of their hash, as 16-bit counts; the highest stands for as many or more."""
     cell = words.doc * bins + (words.hash >> np.uint64(40)).astype(np.int64) % bins
-    return np.minimum(np.bincount(cell, minlength=part.n * bins), 65535).astype("<u2").reshape(part.n, bins)
+    return np.minimum(np.bincount(cell, minlength=len(words.counts) * bins), 65535).astype("<u2").reshape(-1, bins)
 
 
 def _scan(params: Params):
@@ -145,10 +145,10 @@ def _scan(params: Params):
         for batch in batches:
             counts, keys, bags = [], [], []
             for part in slices(batch.columns[-1]):
-                keys += [k.view(np.int64) if len(k) else None for k in _sketches(part, params)]
                 words = part.words(fold=True)
+                keys += [k.view(np.int64) if len(k) else None for k in _sketches(words, params)]
                 counts.append(words.counts)
-                bags += [b.tobytes() for b in _bags(part, words, params.bins)]
+                bags += [b.tobytes() for b in _bags(words, params.bins)]
             arrays = [*batch.columns[:-1], pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "_words", "_keys", "_bag"])
 
@@ -239,15 +239,20 @@ def _possible(params: Params):
     return run
 
 
+#: Texts of fewer words have labels of 16 bits; of two texts with labels of unequal width the narrow ones are compared.
+WIDE = 4096
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the text, the last column, by 32 bits of each word, labelled with its occurrence."""
+    """Replaces the text, the last column, by some bits of each word, labelled with its occurrence."""
     for batch in batches:
         rows = []
         for part in slices(batch.columns[-1]):
             words = part.words(fold=True)
             _, which, _ = runs(words.doc, words.hash)
             label = (mix(words.hash + mix(which.astype(np.uint64))) >> np.uint64(32)).astype("<u4")
-            rows += [label[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+            short = (label >> np.uint32(16)).astype("<u2")
+            rows += [(label if b - a >= WIDE else short)[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.binary())], names=[*batch.schema.names[:-1], "labels"])
 
 
@@ -255,12 +260,17 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 DENSE = 4096
 
 
-def shared_words(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Labelled words that text i of a and text j of b share, for all i and j; equal labels of unequal words count, too."""
+def shared_words(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """At least as many words as text i of a and text j of b share, by their labels, for all i and j.
 
-    def places(side: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(side)), [len(x) // 4 for x in side])
-        both = np.unique((np.frombuffer(b"".join(side), "<u4").astype(np.int64) << 20) | row)  # a label once a text
+    Labels that a text has twice, by chance, are counted once and made up for.
+    """
+    twice = []
+
+    def places(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        both = np.unique((np.concatenate(side).astype(np.int64) << 20) | row)
+        twice.append(np.array([len(x) for x in side]) - np.bincount(both & ((1 << 20) - 1), minlength=len(side)))
         return both >> 20, both & ((1 << 20) - 1)
 
     (la, ra), (lb, rb) = places(a), places(b)
@@ -285,27 +295,30 @@ def shared_words(a: list[bytes], b: list[bytes]) -> np.ndarray:
         i = ra[np.repeat(left[0][some], times) + k // np.repeat(nb[some], times)]
         j = rb[np.repeat(left[2][some], times) + k % np.repeat(nb[some], times)]
         out += np.bincount(i * len(b) + j, minlength=out.size).reshape(out.shape)
-    return out
+    return out + np.minimum(twice[0][:, None], twice[1])
 
 
 def _tile_pairs(params: Params):
-    """Pairs (u, v) of different classes of a tile whose words allow the similarity."""
-
-    def side(column: pa.StructArray) -> tuple:
-        part = {f.name: column.field(f.name) for f in column.type}
-        return part["tid"].to_numpy(), part["root"].to_numpy(), part["labels"].to_pylist()
+    """Pairs (u, v) and their words, of different classes of a tile, whose words allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(*(batch.column(n) for n in ("_a", "_b")), strict=True):
-                (ids_a, root_a, a), (ids_b, root_b, b) = side(a.values), side(b.values)
-                size_a, size_b = (np.array([len(x) // 4 for x in s]) for s in (a, b))
-                longer = np.maximum(size_a[:, None], size_b)
-                near = (shared_words(a, b) >= params.similarity * longer - 1e-3) & (root_a[:, None] != root_b)
-                i, j = np.nonzero(near)
-                u, v = np.maximum(ids_a[i], ids_b[j]), np.minimum(ids_a[i], ids_b[j])
-                both = np.unique(np.stack([u, v, size_a[i] + size_b[j]], axis=1), axis=0)  # a tile with itself has each pair twice
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, k], pa.int64()) for k in range(3)], names=["u", "v", "words"])
+            for column in batch.column("texts"):
+                part = column.values
+                tid, root, size, second = (part.field(f).to_numpy(zero_copy_only=False) for f in ("tid", "root", "_words", "second"))
+                raw = part.field("labels").to_pylist()
+                wide = [len(x) > 2 * n for x, n in zip(raw, size, strict=True)]
+                labels = [np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(raw, wide, strict=True)]
+                if not all(wide):
+                    labels = [x >> np.uint32(16) if w else x for x, w in zip(labels, wide, strict=True)]
+                a = np.flatnonzero(~second)
+                b = np.flatnonzero(second) if second.any() else a  # a tile of one block meets itself
+                longer = np.maximum(size[a][:, None], size[b])
+                near = (shared_words([labels[i] for i in a], [labels[i] for i in b]) >= params.similarity * longer - 1e-3) & (root[a][:, None] != root[b])
+                i, j = np.nonzero(near & (tid[a][:, None] > tid[b]) if b is a else near)
+                i, j = a[i], b[j]
+                columns = np.maximum(tid[i], tid[j]), np.minimum(tid[i], tid[j]), size[i] + size[j]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["u", "v", "words"])
 
     return run
 
@@ -313,23 +326,25 @@ def _tile_pairs(params: Params):
 def _tiled(crowded: DataFrame, bags: DataFrame, bodies: DataFrame, params: Params) -> DataFrame:
     """Pairs (u, v) and their words, of the crowded buckets (columns key, tid, root, main): every pair that can be similar.
 
-    Blocks hold texts of one class of lengths, so only blocks of the same and of neighbouring classes meet; the texts of a
-    bucket's largest class of near copies have blocks of their own, which do not meet each other.
+    A bucket that fits is one tile. The texts of a larger one are dealt into blocks, and every two blocks are a tile. Blocks hold texts
+    of one class of lengths, so only blocks of the same and of neighbouring classes meet; the texts of a bucket's largest
+    class of near copies have blocks of their own, which do not meet each other. Tiles are made up of narrow rows; the labels come to them once.
     """
-    size = F.floor(F.log(F.greatest("_words", F.lit(1))) / F.log(F.lit(1 / params.similarity)) + 1e-9)
-    rows = cut(crowded.join(bags.select("tid", "_words"), "tid").select("key", "tid", "root", "_words", (F.col("root") == F.col("main")).alias("main"), size.alias("size")))
+    length = F.floor(F.log(F.greatest("_words", F.lit(1))) / F.log(F.lit(1 / params.similarity)) + 1e-9)
+    rows = cut(crowded.join(bags.select("tid", "_words"), "tid").select("key", "tid", "root", "_words", (F.col("root") == F.col("main")).alias("main"), length.alias("size")))
+    fill = F.greatest(F.count(F.lit(1)) / params.tile, F.sum("_words") / params.tile_words)
+    whole = rows.groupBy("key").agg(fill.alias("fill"))
+    rows = rows.join(whole, "key").withColumn("main", (F.col("fill") > 1) & F.col("main")).withColumn("size", F.when(F.col("fill") > 1, F.col("size")).otherwise(0))
     cell = ["key", "main", "size"]
-    counts = rows.groupBy(*cell).agg(F.ceil(F.greatest(F.count(F.lit(1)) / params.tile, F.sum("_words") / params.tile_words)).alias("blocks"))
-    rows = rows.join(counts, cell).withColumn("block", F.pmod(F.xxhash64("tid"), F.col("blocks")))
-    labels = stored(in_arrow(bodies.join(rows.select("tid").distinct(), "tid").select("tid", "_text"), _labelled, "tid long, labels binary"))
-    full = rows.join(labels, "tid").groupBy(*cell, "block").agg(F.collect_list(F.struct("tid", "root", "labels")).alias("texts"))
-    full = stored(full.withColumn("place", F.struct("main", "size", "block")))
-    places = full.select("key", "place")
-    tiles = places.alias("x").join(places.alias("y"), "key").select("key", F.col("x.place").alias("p"), F.col("y.place").alias("q"))
-    tiles = tiles.filter("p <= q and not (p.main and q.main) and abs(p.size - q.size) <= 1")
-    a, b = full.select("key", F.col("place").alias("p"), F.col("texts").alias("_a")), full.select("key", F.col("place").alias("q"), F.col("texts").alias("_b"))
-    both = tiles.join(a, ["key", "p"]).join(b, ["key", "q"]).select("_a", "_b")
-    return in_arrow(both, _tile_pairs(params), "u long, v long, words long").distinct()
+    counts = rows.groupBy(*cell).agg(F.ceil(fill).alias("blocks"))
+    rows = rows.join(counts, cell).withColumn("p", F.struct("main", "size", F.pmod(F.xxhash64("tid"), F.col("blocks")).alias("block"))).select("key", "tid", "root", "_words", "p")
+    blocks = counts.select("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct("main", "size", i.alias("block")))).alias("q"))
+    meets = ~(F.col("p.main") & F.col("q.main")) & (F.abs(F.col("p.size") - F.col("q.size")) <= 1)
+    dealt = rows.join(blocks, "key").filter(meets).select("key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), (F.col("p") > F.col("q")).alias("second"), "tid", "root", "_words")
+    labels = stored(in_arrow(bodies.join(crowded.select("tid").distinct(), "tid").select("tid", "_text"), _labelled, "tid long, labels binary"))
+    text = F.struct("tid", "root", "_words", "second", "labels")
+    tiles = dealt.join(labels, "tid").groupBy("key", "x", "y").agg(F.collect_list(text).alias("texts"))
+    return in_arrow(tiles.select("texts"), _tile_pairs(params), "u long, v long, words long").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, bags: DataFrame, params: Params) -> DataFrame:
@@ -346,15 +361,42 @@ def _aligned(likely: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     return in_arrow(with_both.select("u", "v", "_a", "_b"), _verified(params), "u long, v long")
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) from each node to the least one that the edges of a task connect it to."""
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    if not held:
+        return
+    nodes, places = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    a, b = places.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    leaf = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], names=["u", "v"])
+
+
+#: Edges that a task connects on its own.
+EDGES_A_TASK = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (u, v): columns node, root (the least node).
+    """Connected components of edges (u, v) of longs: columns node, root (the least node).
 
-    Alternating large-star and small-star steps: each works on edges and grouped minima only, so a hub
-    is never gathered in one row. Rounds grow with the logarithm of a component's diameter.
+    Tasks connect up to ``EDGES_A_TASK`` edges each, which leaves stars. Where there is more than one task, alternating large-star
+    and small-star steps go on from there: each works on edges and grouped minima only, so a hub is never gathered in one row. Rounds
+    grow with the logarithm of a component's diameter.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
+    ordered = cut(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).filter("u > v").distinct())
+    tasks = max(1, -(-ordered.count() // EDGES_A_TASK))
+    dealt = ordered.coalesce(tasks) if ordered.rdd.getNumPartitions() >= tasks else ordered.repartition(tasks)
+    now = cut(in_arrow(dealt, _stars, "u long, v long"))
     mark = None
-    while True:
+    while tasks > 1:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
@@ -365,8 +407,9 @@ def components(edges: DataFrame) -> DataFrame:
         release(now.sparkSession)
         new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == mark:
-            return cut(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+            break
         mark = new
+    return cut(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -395,44 +438,48 @@ def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(in_arrow(narrow, _scan(params), f"doc_id {kind}, _digest binary, _words long, _keys array<long>, _bag binary"))
     texts = rows.filter("_keys is not null").groupBy("_digest").agg(F.first("_keys").alias("_keys"), F.min("doc_id").alias("doc_id"), F.first("_words").alias("_words"))
-    texts = stored(texts).withColumn("tid", F.monotonically_increasing_id())  # the table is written, so the numbers stay
     texts = stored(texts)
+    size = texts.count()
+
+    def keep(df: DataFrame, each: int = 1) -> DataFrame:
+        return cut(packed(df, size * each))
+
+    texts = keep(texts.withColumn("tid", F.monotonically_increasing_id()))  # written twice, so that the numbers stay
     members = texts.select("tid", F.explode("_keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(members.join(shared, "key"))
+    members = keep(members.join(shared, "key"), 8)
     # a bucket's hub is its text with most company in all its buckets: of many near copies, the one in their middle
     company = members.groupBy("tid").agg(F.sum("n").alias("company"))
     hubs = members.join(company, "tid").groupBy("key").agg(F.max_by("tid", F.struct("company", "tid")).alias("hub"))
-    members = stored(members.join(hubs, "key").select("key", "tid", "hub"))
+    members = keep(members.join(hubs, "key").select("key", "tid", "hub"), 8)
 
     # the text of one row for each text that shares a bucket
-    wanted = texts.join(company.select("tid"), "tid").select("tid", "_digest", F.col("doc_id").alias("_id"))
-    wanted = cut(wanted)
+    wanted = keep(texts.join(company.select("tid"), "tid").select("tid", "_digest", F.col("doc_id").alias("_id")))
     source = narrow.join(wanted, "_digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
     bodies = stored(source.select("tid", "_text").dropDuplicates(["tid"]))
     bags = stored(rows.select("_digest", "_words", "_bag").join(wanted, "_digest").select("tid", "_words", "_bag").dropDuplicates(["tid"]))
 
     star = members.filter("tid != hub").groupBy("tid", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = cut(star.groupBy("tid").agg(F.max(F.struct("n", "hub")).alias("x")).select(*_ordered("tid", "x.hub")).distinct())
+    best = keep(star.groupBy("tid").agg(F.max(F.struct("n", "hub")).alias("x")).select(*_ordered("tid", "x.hub")).distinct())
     del shared, company, hubs, wanted, source, star
     release(docs.sparkSession)
     links = cut(_links(best, bodies, bags, params))
     roots = components(links)
 
-    placed = cut(_rooted(members, roots).select("key", "tid", "hub", "root"))
+    placed = keep(_rooted(members, roots).select("key", "tid", "hub", "root"), 8)
     hub = placed.filter("tid = hub").select("key", F.col("root").alias("hub_root"))
     rest = placed.join(hub, "key").filter("root != hub_root").select(*_ordered("tid", "hub")).distinct().join(best, ["u", "v"], "left_anti")
-    rest = cut(rest)
-    tried = cut(best.unionByName(rest))
+    rest = keep(rest)
+    tried = best.unionByName(rest)
     links = cut(links.unionByName(_links(rest, bodies, bags, params)))
     roots = components(links)
 
     del placed, hub, best, rest
     release(docs.sparkSession)
-    placed = cut(_rooted(members.select("key", "tid"), roots))
+    placed = keep(_rooted(members.select("key", "tid"), roots), 8)
     pairs, crowded = _crossing(placed, params.pairs_a_member)
-    crowded = cut(crowded)
-    pairs = cut(pairs.join(tried, ["u", "v"], "left_anti"))
+    crowded = keep(crowded, 8)
+    pairs = keep(pairs.join(tried, ["u", "v"], "left_anti"))
     tried = tried.unionByName(pairs)
     links = cut(links.unionByName(_links(pairs, bodies, bags, params)))
     del placed, pairs
@@ -445,7 +492,7 @@ def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text")
             release(docs.sparkSession)
             some = likely.filter(F.pmod(F.xxhash64("u", "v"), F.lit(rounds)) == i).select("u", "v")
             links = cut(links.unionByName(_aligned(some, bodies, params)))
-    links = cut(links.distinct())
+    links = keep(links.distinct())
     roots = components(links)
     degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
     named = roots.join(degree, F.col("node") == F.col("u")).select(F.col("node").alias("tid"), "root", "n_links")

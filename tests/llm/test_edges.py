@@ -99,6 +99,34 @@ def test_sharding(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_rows_repeated_often_and_few_columns(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("a few words").alias("text"))
+    out = sharding.sharded(rows)
+    assert out.columns == ["doc_id", "text", "shard", "slot"] and out.filter("doc_id = 7").count() == 4000
+    assert out.select("shard", "slot").distinct().count() == 6000
+    sized = rows.withColumn("source", F.lit("s")).withColumn("extra", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert mixing.mixed(sized).count() == 6000  # one source, which is its own target
+    assert sorted(r["count"] for r in sharding.shard(rows).groupBy("shard").count().collect()) == [250] * 24
+
+
+def test_rows_that_differ_in_extra_columns_only_are_kept_apart(spark):
+    rows = spark.createDataFrame([(1, "a b", None, "x"), (1, "a b", "x", None), (1, "a b", "x", "x")], "doc_id int, text string, source string, more string")
+    assert sorted(map(str, sharding.sharded(rows).drop("shard", "slot").collect())) == sorted(map(str, rows.collect()))
+
+
+def test_ties(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron"
+    docs = spark.createDataFrame([(i, words, "en", "s") for i in range(6)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int")
+    assert len({r.score for r in toxicity.score(docs, labels).collect()}) == 1
+    items = spark.createDataFrame([(1, words), (2, words)], "item_id long, text string")
+    found = decontamination.leaks(docs.limit(1).withColumn("text", F.concat("text", F.lit(" "), "text")), items).collect()
+    assert [(r.item_id, r.distance, r.first_word) for r in sorted(found)] == [(1, 0, 0), (2, 0, 0)]
+    assert {r.kept for r in fertility.score(docs).collect()} == {True}
+    pages = spark.createDataFrame([(i, "http://h.org/", "<html></html>") for i in range(4)], "page_id long, url string, html string")
+    assert len({(r.lang, r.confidence) for r in language_id.identify(pages, docs).collect()}) == 1
+
+
 def test_pages(spark, docs):
     kind = "page_id long, url string, html string, text string, host int"
     pages = spark.createDataFrame([(1, None, None, "t", 1), (1, None, None, "t", 1), (None, "http://a.example.org/x", "", "t", 1), (3, "not a url", "<p>unclosed <b>bold &amp; " + "long " * 50_000, "t", 1)], kind)

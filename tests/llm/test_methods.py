@@ -85,6 +85,46 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert a == b
 
 
+def test_windows_and_score_against_a_plain_reading():
+    """The weight of each hit, read again from the text around it, and the sums and the score that follow."""
+    params, rng = toxicity.Params(), random.Random(41)
+    lexicon = toxicity.Lexicon({"idiot", "pathetic"}, {"moro"})
+    parts = ["idiot", "idi0t", "pathetic", "moronic", '"', "«", "»", "you", "said", "calm", "sea", "day", "\n", ",", "word " * 30]
+    for _ in range(300):
+        text = " ".join(rng.choices(parts, k=rng.randrange(30)))
+        found = [(m.group(), *m.span()) for m in toxicity._TOKEN.finditer(text)]
+        sums = {"abuse": 0.0, "bent": 0.0, "quoted": 0}
+        for i, (word, start, end) in enumerate(found):
+            kind = "abuse" if word in ("idiot", "pathetic") or word.startswith("moro") else "bent" if min(levenshtein(word, t) - toxicity.edits(t) for t in ("idiot", "pathetic")) <= 0 and len(word) >= 4 else None
+            if kind:
+                line = text[:start].split("\n")[-1][-120:], text[end : end + 120].split("\n")[0]
+                quoted = line[0].count('"') % 2 == 1 and '"' in line[1] or line[0].rfind("«") > line[0].rfind("»") and "»" in line[1]
+                before, around = {w for w, *_ in found[max(0, i - 5) : i]}, {w for w, *_ in found[max(0, i - 5) : i + 6]}
+                if quoted or "said" in before:
+                    sums["quoted"] += 1
+                    sums[kind] += 0.25
+                else:
+                    sums[kind] += 1.5 if "you" in around else 1.0
+        got = toxicity.features(text, lexicon, params)
+        a, b, q = sums["abuse"], sums["bent"], sums["quoted"]
+        assert np.allclose(got, [min(a, 1), np.log1p(a), np.log1p(b), np.log1p(q), np.sqrt((a + b) / max(1, len(found)))]), text
+    score = next(toxicity._scorer(lexicon, toxicity.PRIOR, params)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([False]), pa.array([text])], names=["doc_id", "held_out", "text"])])))
+    assert abs(score.column("score")[0].as_py() - 1 / (1 + np.exp(-(np.r_[1, toxicity.features(text, lexicon, params)] @ toxicity.PRIOR)))) < 1e-12
+    none = pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.bool_()), pa.array([], pa.string())], names=["doc_id", "held_out", "text"])
+    assert next(toxicity._scorer(lexicon, toxicity.PRIOR, params)(iter([none]))).num_rows == 0
+
+
+def test_long_texts_with_many_hits_are_scored_in_linear_time():
+    import time
+
+    lexicon, took = toxicity.Lexicon({"idiot"}, set()), []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        toxicity.features("you idiot calm " * n, lexicon, toxicity.Params())
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0]  # eight times the text
+
+
 # ------------------------------------------------------------------ 2 licences
 
 
@@ -123,6 +163,23 @@ def test_license_against_all_runs(spark):
     assert all(abs(found[k] - expected[k]) < 1e-9 for k in found)
 
 
+def test_of_licences_that_differ_in_a_word_the_nearest_is_best(spark):
+    noise = " ".join(invented(random.Random(6), 40))
+    names = ["gpl-2.0-header", "gpl-3.0-header", "lgpl-3.0-header", "agpl-3.0-header", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "apache-2.0-header"]
+    rows = []
+    for i, name in enumerate(names):
+        words = license_scan.TEMPLATES[name].split()
+        for k in range(max(1, len(words) // 40)):  # a Dice coefficient of 0.9 to 0.99
+            words[5 + 37 * k % (len(words) - 10)] = f"edited{k}"
+        rows += [(i, f"{noise} {' '.join(words)} {noise}"), (100 + i, f"{noise} {license_scan.TEMPLATES[name]} {noise}")]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    best = {i: [r.license_id for r in found if r.doc_id == i and r.best] for i, _ in rows}
+    assert all(best[i] == [name] and best[100 + i] == [name] for i, name in enumerate(names)), best
+    near = [r.dice for r in found if r.doc_id < 100 and r.best]
+    assert all(0.9 <= d < 1 for d in near)
+    assert license_scan.uncovered([(1.0, 0, 10), (0.9, 0, 12), (1.0, 4, 20), (0.95, 30, 5)]) == [False, False, True, True]
+
+
 # ------------------------------------------------------------------ 3 decontamination
 
 
@@ -153,6 +210,37 @@ def test_decontamination_recall_against_brute_force(spark):
         assert r.distance <= 0.2 * n and r.distance == min(levenshtein(words[r.item_id], text[a:b]) for a in range(max(0, r.first_word - 12), min(len(text), r.first_word + 13)) for b in range(a + n - 12, a + n + 13) if a <= b)
 
 
+def test_recall_at_the_bound_for_each_length():
+    rng = random.Random(12)
+    for n in (4, 5, 6, 7, 9, 10, 12, 14, 15, 20, 30, 60, 120):
+        allowed = int(0.2 * n + 1e-9)
+        items, texts = [[f"i{j}x{k}" for k in range(n)] for j in range(60)], []
+        for item in items:
+            copy = list(item)
+            for k in sorted(rng.sample(range(n), allowed), reverse=True):
+                copy[k : k + 1] = rng.choice([[], [f"new{rng.random()}"[5:]], [copy[k], f"more{rng.randrange(10**6)}"]])
+            texts.append(" ".join([*invented(rng, 25, 10**6), *copy, *invented(rng, 25, 10**6)]))
+        index, found, truth = decontamination.Index(list(range(60)), [" ".join(x) for x in items], decontamination.Params()), set(), set()
+        for part in textscan.slices(pa.array(texts)):
+            found |= {(part.first + doc, i) for doc, i, *_ in index.matches(part.words(fold=True, punctuation=True))}
+        codes = decontamination.word_hashes([" ".join(x) for x in items]), decontamination.word_hashes(texts)
+        for j in range(60):
+            if decontamination.substring_distance(codes[0][j], codes[1][j], allowed) is not None:
+                truth.add((j, j))
+        assert len(truth) >= 50 and len(truth & found) >= 0.95 * len(truth) and found <= truth, n
+
+
+def test_embedding_keeps_short_edit_distances_short():
+    """Whole embeddings of an item and its window: far for unrelated words, nearer for edited ones."""
+    rng = random.Random(13)
+    item = [f"i{k}" for k in range(40)]
+    edited = [w if k % 8 else f"e{k}" for k, w in enumerate(item)]
+    index = decontamination.Index([0], [" ".join(item)], decontamination.Params())
+    words = next(textscan.slices(pa.array([" ".join(edited), " ".join(invented(rng, 40))]))).words(fold=True, punctuation=True)
+    both = np.array([[0, 0, 0], [1, 0, 0]])
+    assert index.near(words, both).tolist() == [[0, 0, 0]]
+
+
 # ------------------------------------------------------------------ 4 mixing
 
 
@@ -202,7 +290,7 @@ def test_banded_alignment(a, b, most):
     assert near_dedup.edit_distance(a, b, most) == (exact if exact <= most else None)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 460)]
     root = list(range(500))
@@ -214,8 +302,10 @@ def test_components(spark):
 
     for u, v in edges:
         root[max(find(u), find(v))] = min(find(u), find(v))
-    got = near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()
-    assert {r.node: r.root for r in got} == {x: find(x) for e in edges for x in e if e[0] != e[1]} | {u: find(u) for u, v in edges if u != v}
+    for most in (500_000, 40):  # in one task, and in several with rounds
+        monkeypatch.setattr(near_dedup, "EDGES_A_TASK", most)
+        got = near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert {r.node: r.root for r in got} == {x: find(x) for e in edges for x in e if e[0] != e[1]} | {u: find(u) for u, v in edges if u != v}
 
 
 def test_near_dedup_recall_against_all_pairs(spark):
@@ -241,6 +331,37 @@ def test_near_dedup_recall_against_all_pairs(spark):
     assert near_dedup.keep_one(docs.withColumn("source", F.lit("x"))).count() == len(set(found.values()))
 
 
+def test_sketches_reach_the_recall_at_each_length_and_similarity():
+    rng, params = random.Random(14), near_dedup.Params()
+    for n in (5, 6, 8, 10, 11, 20, 64, 80, 81, 100, 500):
+        for similarity in (0.8, 0.85):
+            texts, pairs = [], 80
+            for _ in range(pairs):
+                base = invented(rng, n, 30000)
+                copy = list(base)
+                for k in sorted(rng.sample(range(n), int((1 - similarity) * n + 1e-9)), reverse=True):
+                    copy[k : k + 1] = [[f"new{rng.randrange(10**6)}"], [f"new{rng.randrange(10**6)}"], [], [copy[k], "more"]][rng.randrange(4)]
+                texts += [base, copy]
+            keys = [k for part in textscan.slices(pa.array([" ".join(t) for t in texts])) for k in near_dedup._sketches(part.words(fold=True), params)]
+            meets = [len(np.intersect1d(keys[i], keys[i + 1])) > 0 for i in range(0, 2 * pairs, 2) if near_dedup.similar(texts[i], texts[i + 1], 0.8)]
+            assert sum(meets) >= 0.9 * len(meets), (n, similarity, np.mean(meets))
+
+
+def test_shared_words_of_a_tile_against_counters():
+    rng = random.Random(15)
+    texts = [invented(rng, rng.randrange(0, 60), 40) for _ in range(150)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(t) for t in texts])], names=["_text"])
+    raw = next(near_dedup._labelled(iter([batch]))).column("labels").to_pylist()
+    for width, slack in (("<u2", 2), ("u1", 60)):  # with labels of 8 bits some meet by chance
+        labels = [np.frombuffer(x, "<u2").astype(width) for x in raw]
+        for dense in (0, 100, 4096):
+            near_dedup.DENSE, before = dense, near_dedup.DENSE
+            got = near_dedup.shared_words(labels[:70], labels[70:])
+            near_dedup.DENSE = before
+            exact = np.array([[sum((Counter(a) & Counter(b)).values()) for b in texts[70:]] for a in texts[:70]])
+            assert (got >= exact).all() and (got <= exact + slack).all()
+
+
 def test_near_dedup_finds_pairs_that_share_only_a_crowds_passage(spark):
     rng = random.Random(11)
     passage = invented(rng, 150, 30000)
@@ -300,10 +421,45 @@ def test_bands_reject_most_labelled_bad_documents_and_few_good_ones(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet").filter("quality is not null")
     rows = fertility.score(spark.read.parquet(f"{folder}/documents.parquet")).filter("not base_failed").join(labels, "doc_id").collect()
     bad, good = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
-    assert bad and sum(bad) <= 0.4 * len(bad)
+    assert bad and sum(bad) <= 0.2 * len(bad)
     assert good and sum(good) >= 0.95 * len(good)
 
 
+def test_bands_and_verdict_against_plain_loops(spark):
+    rng = random.Random(31)
+    common = "time people water house world school story night river music paper light green small great young".split()
+    rows = []
+    for i in range(240):
+        pool = common if i % 8 else ["".join(rng.choices("qxzjkvw0987", k=9)) for _ in range(40)]
+        rows.append((i, " ".join(rng.choices(pool + [f"n{i}"], k=rng.choice([5, 12, 40, 90, 400]))), ["en", "de", None][i % 3]))
+    rules = fertility.Rules(max_repeat_percent=100)
+    got = fertility.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rules).collect()
+    language = {i: lang or "und" for i, _, lang in rows}
+    at = lambda values, share: sorted(values)[max(0, int(np.ceil(share * len(values))) - 1)]
+    passed = [r for r in got if r.n_words >= 10]
+    length = lambda r: int(np.floor(np.log2(r.n_tokens)))
+    wide = lambda r: np.sqrt(1 + 100 / max(r.n_tokens, 1))
+    rate, byte, entropy = {}, {}, {}
+    for name in set(language.values()):
+        mine = [r for r in passed if language[r.doc_id] == name]
+        rate[name], byte[name] = at([r.chars_per_token for r in mine], 0.5), at([r.byte_share for r in mine], 0.5)
+        for k in {length(r) for r in mine}:
+            entropy[name, k] = at([r.token_entropy for r in mine if length(r) == k], 0.5)
+    off = {r.doc_id: ((r.chars_per_token - rate[language[r.doc_id]]) / wide(r), (r.token_entropy - entropy[language[r.doc_id], length(r)]) / wide(r)) for r in passed}
+    half = lambda values: (at(values, 0.75) - at(values, 0.25)) / 2
+    kept = {r.doc_id: False for r in got}
+    for r in passed:
+        name = language[r.doc_id]
+        mine = [off[x.doc_id] for x in passed if language[x.doc_id] == name]
+        inside = r.byte_share <= byte[name] + 0.25
+        for k, middle in ((0, rate[name]), (1, entropy[name, length(r)])):
+            own, every = half([o[k] for o in mine]), half([o[k] for o in off.values()])
+            width = 4 * 1.4826 * (own * len(mine) + every * 20) / (len(mine) + 20)
+            inside &= abs(off[r.doc_id][k]) <= max(width, 0.04 * middle) * (1 + 1e-9)
+        kept[r.doc_id] = bool(inside)
+    assert {r.doc_id: r.kept for r in got} == kept and 0 < sum(kept.values()) < len(passed)
+
+
 # ------------------------------------------------------------------ 7 language
 
 
@@ -318,6 +474,43 @@ def test_language_accuracy_and_fusion(spark):
     assert got[99] == "de" and got[100] == "fr"
 
 
+def test_fusion_against_plain_loops(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    params = language_id.Params(fit_rows=100)
+    languages, model = language_id.train(docs, params)
+    texts = [r.text for r in docs.filter(F.length("text") > 60).select("text").orderBy("doc_id").limit(40).collect()]
+    rng = random.Random(16)
+    rows = []
+    for i in range(120):
+        host = rng.choice(["a.site.de", "b.site.de", "www.x.fr", "y.org", "lone.example.es"])
+        declared = rng.choice(["de", "fr", "en", "", "xx"])
+        body = rng.choice(["", rng.choice(texts)[: rng.randrange(4, 200)]])
+        rows.append((i, f"http://{host}/{i}" if i % 17 else None, f"<html{f' lang={declared!r}' if declared else ''}><article>{body}</article></html>"))
+    rows += [(500, None, None), (501, rows[1][1], rows[1][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in language_id.identify(pages, docs, params).collect()}
+
+    hosts = {r.page_id: r.host for r in pages.select("page_id", main_text.host().alias("host")).collect()}
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.string()), pa.array([hosts[r[0]] for r in rows])], names=["page_id", "url", "html", "host"])
+    seen = next(language_id._evidence(model, params)(iter([batch]))).to_pylist()
+    n, k = len(languages), params.strength
+    add = lambda key: {v: np.sum([r["post"] for r in seen if key(r) == v], axis=0) for v in {key(r) for r in seen}}
+    domain = lambda host: ".".join(host.split(".")[-2:])
+    suffix = lambda host: host.split(".")[-1]
+    every = np.sum([r["post"] for r in seen], axis=0)
+    by_host, by_domain, by_suffix, said = add(lambda r: r["host"]), add(lambda r: domain(r["host"])), add(lambda r: suffix(r["host"])), add(lambda r: r["declared"])
+    smooth = lambda counts, prior, strength: (counts + strength * prior) / (counts.sum() + strength)
+    for r in seen:
+        prior = smooth(every, np.full(n, 1 / n), 1)
+        for counts in (by_suffix[suffix(r["host"])], by_domain[domain(r["host"])], np.maximum(by_host[r["host"]] - r["post"], 0)):
+            prior = smooth(counts, prior, k)
+        total = np.array(r["weight"]) + np.log(prior) + np.log((said[r["declared"]] + 1) / (every + len(said)))
+        share = np.exp(total - total.max())
+        out = got[r["page_id"]]
+        assert out.lang == languages[int(total.argmax())] and abs(out.confidence - share.max() / share.sum()) < 1e-6
+    assert any(r.lang != r.text_lang for r in got.values())  # the other evidence decides some
+
+
 # ------------------------------------------------------------------ 8 sharding
 
 
