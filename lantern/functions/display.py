@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Bands of a score from -100 to 100 as (highest value, label), colours, labels and names.
-SCORE_LABELS = [(-40, "Mayoritas menolak"), (-10, "Cenderung negatif"), (15, "Terbelah / netral"), (45, "Cenderung positif"), (100, "Mayoritas mendukung")]
-SCORE_EMOJI = [(-40, "😡"), (-10, "🙁"), (15, "😐"), (45, "🙂"), (100, "😄")]
-SCORE_COLOURS = [(-10, "#c0392b"), (15, "#9b7b3f"), (100, "#2e7a52")]
-RECORD_EMOJI = [(-30, "😠"), (-10, "🙁"), (10, "😐"), (30, "🙂"), (100, "😊")]
+# Bands of a score from -100 to 100 as (comparison, limit, value) in order, the last for the rest; colours, labels and names.
+SCORE_LABELS = [("<=", -40, "Mayoritas menolak"), ("<=", -10, "Cenderung negatif"), ("<", 16, "Terbelah / netral"), ("<", 46, "Cenderung positif"), ("", 0, "Mayoritas mendukung")]
+SCORE_EMOJI = [("<=", -40, "😡"), ("<=", -10, "🙁"), ("<", 16, "😐"), ("<", 46, "🙂"), ("", 0, "😄")]
+SCORE_COLOURS = [("<=", -10, "#c0392b"), ("<", 16, "#9b7b3f"), ("", 0, "#2e7a52")]
+RECORD_EMOJI = [("<=", -30, "😠"), ("<=", -10, "🙁"), ("<=", 10, "😐"), ("<=", 30, "🙂"), ("", 0, "😊")]
 TYPE_COLOURS = {
     "Pidato": "#8b5e3c", "Debat": "#c0392b", "Demonstrasi": "#a93226", "Kebijakan": "#2e7a52", "Kunjungan": "#3a7ca5",
     "Pertemuan": "#5b6c8a", "Wawancara": "#7a6f58", "Konferensi Pers": "#6b3a6b", "Pernyataan": "#6b645b", "Pelantikan": "#9b7b3f",
@@ -29,11 +29,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def band(score: str | Column, bands: list[tuple[int, str]]) -> Column:
-    """The value of the first band whose highest whole score is not exceeded."""
-    out = F.lit(bands[-1][1])
-    for highest, value in reversed(bands[:-1]):
-        out = F.when(_c(score) <= highest, value).otherwise(out)
+def band(score: str | Column, bands: list[tuple[str, float, str]]) -> Column:
+    """The value of the first band that holds the score, whole or not."""
+    out = F.lit(bands[-1][2])
+    for how, limit, value in reversed(bands[:-1]):
+        out = F.when(_c(score) <= limit if how == "<=" else _c(score) < limit, value).otherwise(out)
     return F.when(_c(score).isNotNull(), out)
 
 
@@ -80,6 +80,11 @@ def ordinal(x: str | Column) -> Column:
     return F.lpad(_c(x).cast("string"), 2, "0")
 
 
+def logos(outlets: str | Column, names: dict[str, str]) -> Column:
+    """[A24, J21] The logos of a list of outlets, each once, where it stands first; an outlet without one has its initial."""
+    return F.array_distinct(F.transform(F.coalesce(_c(outlets), F.array().cast("array<string>")), lambda o: lookup(o, names, initial(o))))
+
+
 def initial(x: str | Column) -> Column:
     """The first character of a name, or a question mark."""
     return F.substring(F.coalesce(F.nullif(_c(x), F.lit("")), F.lit("?")), 1, 1)

@@ -112,6 +112,16 @@ def labels(response: str | Column, n: str | Column, valid: list[str], default: s
     return F.when(_c(n) > 0, F.transform(F.sequence(F.lit(1), _c(n).cast("int")), at)).otherwise(F.array().cast("array<string>"))
 
 
+def json_field(x: str | Column, name: str) -> Column:
+    """A field of a JSON text; null where the text is no JSON or lacks it."""
+    return F.get_json_object(_c(x), f"$.{name}")
+
+
+def json_length(x: str | Column) -> Column:
+    """[F28, A20] Items of a JSON array; 0 for null and for what is none."""
+    return F.coalesce(F.json_array_length(_c(x)), F.lit(0))
+
+
 def stance_score(x: str | Column) -> Column:
     """[F46]"""
     out = None
@@ -170,11 +180,12 @@ def linked(x: str | Column, pages: dict[str, str]) -> Column:
 
 
 def segments(x: str | Column, names: list[str]) -> Column:
-    """The text as an array of (text, is_name) in order."""
+    """The text as an array of (text, is_name) in order. Names stand in their exact case; of two that begin together the first given counts."""
     import re
 
-    names = sorted(names, key=lambda n: (-len(n), n))
-    marked = F.regexp_replace(_c(x), "(?i)(" + "|".join(re.escape(n) for n in names) + ")", "\u0001\u0002$1\u0001")
+    if not names:
+        return F.transform(F.filter(F.array(_c(x)), lambda p: p != ""), lambda p: F.struct(p.alias("text"), F.lit(False).alias("is_name")))
+    marked = F.regexp_replace(_c(x), "(" + "|".join(re.escape(n) for n in names) + ")", "\u0001\u0002$1\u0001")
     parts = F.filter(F.split(marked, "\u0001"), lambda p: p != "")
     return F.transform(parts, lambda p: F.struct(F.replace(p, F.lit("\u0002"), F.lit("")).alias("text"), F.startswith(p, F.lit("\u0002")).alias("is_name")))
 

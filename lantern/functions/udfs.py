@@ -6,6 +6,7 @@ need neither network nor model.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from html import unescape
@@ -30,32 +31,37 @@ FREQUENT = {
 
 
 class _Paragraphs(HTMLParser):
-    """Text of p elements. The buffer lives from one closing p to the next, so an unclosed p runs on."""
+    """Text of open p elements outside the skipped ones.
+
+    Paragraphs nest. The buffer is emptied by each closing p, not by an opening one, so an unclosed p runs on, and
+    what follows a nested p belongs to the outer one. An opening p inside a skipped element does not count, nor does a
+    closing one while none is open.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.found: list[str] = []
         self.buffer: list[str] = []
-        self.inside = False
-        self.skipped = 0
+        self.open = self.skipped = 0
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.skipped += 1
-        elif tag == "p":
-            self.inside = True
+        elif tag == "p" and not self.skipped:
+            self.open += 1
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skipped = max(0, self.skipped - 1)
-        elif tag == "p":
+        elif tag == "p" and self.open:
+            self.open -= 1
             text = " ".join("".join(self.buffer).split())
-            self.buffer, self.inside = [], False
+            self.buffer.clear()
             if len(text) > PARAGRAPH_OVER:
                 self.found.append(text)
 
     def handle_data(self, data):
-        if self.inside and not self.skipped:
+        if self.open and not self.skipped:
             self.buffer.append(data)
 
 
@@ -78,17 +84,19 @@ def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unescape(t))
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one bit a letter."""
+def lcs(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence, one bit a letter; once it cannot reach ``least`` any more, something below that."""
     if len(a) < len(b):
         a, b = b, a
     masks: dict[str, int] = {}
     for i, letter in enumerate(a):
         masks[letter] = masks.get(letter, 0) | 1 << i
     row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for letter in b:
+    for i, letter in enumerate(b):
         hit = row & masks.get(letter, 0)
         row = ((row + hit) | (row - hit)) & full
+        if i % 256 == 255 and len(a) - row.bit_count() + len(b) - i - 1 < least:
+            break
     return len(a) - row.bit_count()
 
 
@@ -97,28 +105,24 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-@F.pandas_udf(T.DoubleType())
-def indel(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
+def reaches(a: str, b: str, least: float) -> bool:
+    """Whether the indel ratio is ``least`` or more."""
+    n = len(a) + len(b)
+    need = math.ceil(least * n / 200 - 1e-9)
+    return n == 0 or lcs(a, b, need) >= need
 
-def language_of(text: str | None) -> str:
-    """[U5] The language with most frequent words in the text; Indonesian for short texts and none."""
-    text = (text or "").strip()
-    if len(text) < 20:
-        return "id"
-    words = re.findall(r"\w+", text.lower())
-    counts = {name: sum(w in frequent for w in words) for name, frequent in _FREQUENT.items()}
-    best = max(sorted(counts), key=counts.get)
-    return best if counts[best] else "id"
 
+def language(text: str | Column) -> Column:
+    """[F23, U5] The language with most frequent words in the text, the first by name of equal ones; Indonesian for short texts and none."""
+    text = F.trim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
-_FREQUENT = {name: set(words) for name, words in FREQUENT.items()}
+    def frequent(listed: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(listed)))
 
-
-@F.pandas_udf(T.StringType())
-def language(texts: pd.Series) -> pd.Series:
-    return texts.map(language_of)
+    found = [F.struct(frequent(listed).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, listed) in enumerate(sorted(FREQUENT.items()))]
+    best = F.array_max(F.array(*found))
+    return F.when((F.length(text) < 20) | (best["n"] == 0), "id").otherwise(best["name"])
 
 
 def hashed_embedding(texts: list[str], dimension: int = 64) -> np.ndarray:
@@ -170,6 +174,20 @@ def stance(provider: Callable[[list[str]], list[str]] = lexicon_stance) -> Calla
     return classify
 
 
+def replies(prompts: str | Column, provider: Callable[[list[str]], list[str]]) -> Column:
+    """[S19, T8] What a chat or completion provider answers to each prompt, as (body, status); a failing batch is an error value, not an exception."""
+
+    @F.pandas_udf("body string, status string")
+    def ask(texts: pd.Series) -> pd.DataFrame:
+        try:
+            out = list(provider(list(texts)))
+        except Exception as e:  # the provider's own errors become values
+            return pd.DataFrame({"body": [None] * len(texts), "status": [f"error:provider:{type(e).__name__}"] * len(texts)})
+        return pd.DataFrame({"body": out, "status": ["ok" if x else "error:empty" for x in out]})
+
+    return ask(F.col(prompts) if isinstance(prompts, str) else prompts)
+
+
 def same(texts: list[str]) -> list[str]:
     """[U6] The default translator leaves texts as they are."""
     return texts

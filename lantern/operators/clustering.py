@@ -2,11 +2,13 @@
 
 An article joins the most similar open event of its figure whose anchor is at most ``days`` away, that
 shares at least ``least_shared`` tokens and reaches ``least_similarity``; of equal ones the latest. Else it
-opens an event, anchored at its own time. An event's centre moves with each article.
+opens an event, anchored at its own time. An event's centre moves with each article. Events that were open before
+take part with the centre and the tokens of their articles.
 
 The order matters, so a figure's timeline is walked in one place, but it may be cut wherever two
-consecutive articles are more than ``days`` apart: no event reaches over such a gap, as anchors are times of
-articles. Each piece is then a group of its own.
+consecutive times, of articles or of anchors, are more than ``days`` apart: no event reaches over such a gap. Each piece is
+then a group of its own. Cuts are found on narrow rows; vectors and tokens are only dealt out by piece. In a piece, an event is
+forgotten once its anchor is further back than ``days``, as articles come in time order.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.functions.vectors import mean_vector
+
 
 @dataclass(frozen=True)
 class Params:
@@ -56,26 +60,62 @@ class Walk:
         found[4] += 1
         return found[0]
 
+    def forget(self, when: float) -> None:
+        """Lets go of events that no article from ``when`` on can join."""
+        since = when - self.params.days * 86400
+        if any(event[1] < since for event in self.events):
+            self.events = [event for event in self.events if event[1] >= since]
+
+
+def open_events(events: DataFrame, articles: DataFrame, dimension: int, statuses: tuple[str, ...] = ("new", "summarized")) -> DataFrame:
+    """[J12, T2, A12, A13] Events that still take articles (figure_id, event_id, event_date, centre, words, size), from those they have.
+
+    ``articles``: event_id, embedding, tokens. Events without an article are left out.
+    """
+    some = articles.join(events.filter(F.col("status").isin(*statuses)).select("event_id"), "event_id", "left_semi")
+    centres = mean_vector(some, "event_id", "embedding", dimension)
+    words = some.select("event_id", F.explode("tokens").alias("word")).distinct().groupBy("event_id").agg(F.collect_list("word").alias("words"))
+    sizes = some.groupBy("event_id").agg(F.count(F.lit(1)).alias("size"))
+    rows = events.select("event_id", "figure_id", "event_date").join(centres, "event_id").join(sizes, "event_id").join(words, "event_id", "left")
+    return rows.select("figure_id", "event_id", "event_date", F.col("centroid").alias("centre"), F.coalesce("words", F.array().cast("array<string>")).alias("words"), "size")
+
 
-def cluster(articles: DataFrame, params: Params = Params(), as_of: float = 0.0) -> DataFrame:  # noqa: B008
-    """article_id, event_id (the id of the article that opened it).
+def cluster(articles: DataFrame, params: Params = Params(), as_of: float = 0.0, stored: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """article_id, event_id (that of the stored event joined, or the id of the article that opened it).
 
     ``articles``: figure_id, article_id, published_at (null counts as ``as_of``, epoch seconds), embedding, tokens.
+    ``stored``: what ``open_events`` gives; event and article ids are of one kind. Of equally similar events the later one in the order of
+    stored dates, then of opening, is joined.
     """
-    seconds = F.unix_micros(F.col("published_at").cast("timestamp")) / F.lit(1e6)
-    rows = articles.select("figure_id", "article_id", F.coalesce(seconds, F.lit(as_of)).alias("seconds"), F.col("published_at").isNull().cast("int").alias("late"), "embedding", "tokens")
-    order = Window.partitionBy("figure_id").orderBy("seconds", "late", "article_id")
+    kind = articles.schema["article_id"].dataType.simpleString()
+
+    def seconds(at: str) -> Column:
+        return F.coalesce(F.unix_micros(F.col(at).cast("timestamp")) / F.lit(1e6), F.lit(as_of))
+
+    rows = articles.select(F.col("article_id").alias("id"), F.col("figure_id"), seconds("published_at").alias("seconds"), F.col("published_at").isNull().cast("int").alias("late"), F.lit(0).alias("size"), F.col("embedding").cast("array<double>").alias("vector"), F.col("tokens").alias("words"))
+    if stored is not None:
+        known = stored.select(F.col("event_id").cast(kind).alias("id"), "figure_id", seconds("event_date").alias("seconds"), F.lit(0).alias("late"), F.col("size").cast("int").alias("size"), F.col("centre").cast("array<double>").alias("vector"), "words")
+        rows = rows.unionByName(known)
+    order = Window.partitionBy("figure_id").orderBy("seconds", "late", "id", "size")
     gap = F.col("seconds") - F.lag("seconds").over(order)
     cut = F.when(gap.isNull() | (gap > params.days * 86400), 1).otherwise(0)
-    pieces = rows.withColumn("_cut", cut).withColumn("piece", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    narrow = rows.select("figure_id", "id", "seconds", "late", "size").withColumn("_cut", cut)
+    narrow = narrow.withColumn("piece", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = narrow.select(F.col("figure_id").alias("_figure"), F.col("id").alias("_id"), (F.col("size") > 0).alias("_known"), "piece")
+    same = F.col("figure_id").eqNullSafe(F.col("_figure")) & F.col("id").eqNullSafe(F.col("_id")) & ((F.col("size") > 0) == F.col("_known"))
+    pieces = rows.join(pieces, same).drop("_figure", "_id", "_known")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         state = Walk(params)
-        group = group.sort_values(["seconds", "late", "article_id"])
-        events = [state.add(k, t, np.asarray(v, float), set(w)) for k, t, v, w in zip(group["article_id"], group["seconds"], group["embedding"], group["tokens"], strict=True)]
-        return pd.DataFrame({"article_id": group["article_id"].to_numpy(), "event_id": events})
+        group = group.sort_values(["seconds", "late", "id"])
+        for e in group[group["size"] > 0].itertuples():
+            state.open(e.id, e.seconds, np.asarray(e.vector, float), set(e.words), e.size)
+        new, events = group[group["size"] == 0], []
+        for a in new.itertuples():
+            state.forget(a.seconds)
+            events.append(state.add(a.id, a.seconds, np.asarray(a.vector, float), set(a.words)))
+        return pd.DataFrame({"article_id": new["id"].to_numpy(), "event_id": pd.Series(events, dtype=new["id"].dtype).to_numpy()})
 
-    kind = articles.schema["article_id"].dataType.simpleString()
     return pieces.groupBy("figure_id", "piece").applyInPandas(walk, f"article_id {kind}, event_id {kind}")
 
 

@@ -58,6 +58,11 @@ def orphans(rows: DataFrame, parents: DataFrame, foreign: str, key: str) -> Data
     return rows.join(parents.select(F.col(key).alias(foreign)), foreign, "left_anti")
 
 
+def with_children(rows: DataFrame, children: DataFrame, key: str, foreign: str) -> DataFrame:
+    """[J6] Rows whose key some child refers to."""
+    return rows.join(children.select(F.col(foreign).alias(key)), key, "left_semi")
+
+
 def checked(value: Column, allowed: list[str], what: str) -> Column:
     """[P13] The value; one that is not allowed raises when the row is computed."""
     return F.when(value.isin(allowed), value).otherwise(F.raise_error(F.concat(F.lit(f"{what} not allowed: "), F.coalesce(value, F.lit("null")))))

@@ -26,13 +26,21 @@ def attributed(articles: DataFrame, figures: list[tuple[str, list[str]]]) -> Dat
 def attributed_by_table(articles: DataFrame, terms: DataFrame, block: int = 10_000) -> DataFrame:
     """[J3] As ``attributed`` for a table of terms (figure_ord, figure_id, term).
 
-    The terms are counted and taken in blocks of about ``block``, each of which is broadcast.
+    The terms are counted and taken in blocks of about ``block``. Each block is broadcast as the terms under their first letters, as many as
+    the shortest term has, at most four; a text meets a term only where those letters stand in it.
     """
-    n = max(1, math.ceil(terms.count() / block))
-    text, found = F.lower(F.concat_ws("\n", "title", "summary")), []
-    for k in range(n):
-        some = F.broadcast(terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k))
-        found.append(articles.join(some, text.contains(F.lower("term"))).groupBy("article_id").agg(F.min(F.struct("figure_ord", "figure_id")).alias("first")))
+    terms = terms.select("figure_ord", "figure_id", F.lower("term").alias("term")).filter(F.length("term") > 0)
+    count, least = terms.agg(F.count(F.lit(1)), F.min(F.length("term"))).first()
+    n, k = max(1, math.ceil(count / block)), min(least or 1, 4)
+    texts = articles.select("article_id", F.lower(F.concat_ws("\n", "title", "summary")).alias("_text"))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - (k - 1), F.lit(1))), lambda i: F.substring(F.col("_text"), i, F.lit(k))))
+    found = []
+    for part in range(n):
+        some = terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == part).withColumn("_start", F.substring("term", 1, k))
+        known = F.broadcast(some.agg(F.collect_set("_start").alias("_known")))  # one row of ``block`` starts
+        met = texts.crossJoin(known).select("article_id", "_text", F.explode(F.array_intersect(starts, "_known")).alias("_start"))
+        hit = met.join(F.broadcast(some), "_start").filter(F.contains("_text", "term"))
+        found.append(hit.groupBy("article_id").agg(F.min(F.struct("figure_ord", "figure_id")).alias("first")))
     first = reduce(DataFrame.unionByName, found).groupBy("article_id").agg(F.min("first").alias("first")).select("article_id", "first.figure_id")
     return articles.drop("figure_id").join(first, "article_id")
 
@@ -60,7 +68,30 @@ def figure_counts(events: DataFrame) -> DataFrame:
 def figure_meta(events: DataFrame, articles: DataFrame) -> DataFrame:
     """[Q11, J10] Per figure: rows of events joined to articles, distinct events, distinct outlets."""
     joined = events.select("event_id", "figure_id").join(articles.select("event_id", "source"), "event_id")
-    return joined.groupBy("figure_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_events"), F.count_distinct("source").alias("n_outlets"))
+    by_event = joined.groupBy("figure_id", "event_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = by_event.groupBy("figure_id").agg(F.sum("n").alias("n_rows"), F.count("event_id").alias("n_events"))
+    outlets = joined.groupBy("figure_id", "source").agg(F.lit(1).alias("one")).groupBy("figure_id").agg(F.count("source").alias("n_outlets"))
+    return counts.join(outlets, "figure_id")
+
+
+def events_fanout(events: DataFrame, articles: DataFrame, people: DataFrame) -> DataFrame:
+    """[J9, Q12] Per event: rows of its articles, distinct outlets and a label of its figure; events without articles keep one row."""
+    joined = events.join(articles, "event_id", "left").join(people, "figure_id", "left")
+    pairs = joined.groupBy("event_id", "source").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("label"))
+    return pairs.groupBy("event_id").agg(F.sum("n").alias("n_rows"), F.count("source").alias("n_outlets"), F.max("label").alias("label"))
+
+
+def chosen(rows: DataFrame, mode: str, value: str | None = None) -> DataFrame:
+    """[P15] All rows, or those of a type or a category."""
+    columns = {"all": None, "type": "event_type", "category": "category"}
+    if mode not in columns:
+        raise ValueError(f"no such filter: {mode}")
+    return rows if columns[mode] is None else rows.filter(F.col(columns[mode]) == value)
+
+
+def toggled(current: tuple[str, str | None], picked: tuple[str, str | None]) -> tuple[str, str | None]:
+    """[P15] The filter after one is picked: picking the one that holds lifts it."""
+    return ("all", None) if current == picked else picked
 
 
 def queue(events: DataFrame, summaries: DataFrame, articles: DataFrame, status: str = "summarized") -> DataFrame:

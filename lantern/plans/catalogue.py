@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import display
 from lantern.functions import text as t
-from lantern.functions.udfs import language, paragraphs
+from lantern.functions.udfs import FREQUENT, language, paragraphs
 from lantern.functions.vectors import mean_vector
 from lantern.operators import clustering, sentiment, signals, tables, timeline
 from lantern.sources import landed
@@ -48,8 +48,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def comments(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     keys = {"type": F.col("event_type"), "day": F.date_format("ts", "yyyy-MM-dd"), "hour": F.date_format("ts", "yyyy-MM-dd HH")}
     return read(spark, sf_dir, "events").select(
-        keys[key].alias("event_id"), F.col("event_id").alias("comment_id"), F.col("user_id").alias("author_id"), F.expr(STANCE).alias("stance"), F.col("ts").alias("published_at")
-    )
+        keys[key].alias("event_id"), F.col("event_id").alias("comment_id"), F.col("user_id").alias("author_id"), F.expr(STANCE).alias("stance"), F.col("ts").alias("published_at"),
+        F.when(F.col("event_type") == "error", F.sha2(F.concat_ws(" ", t.json_field("props", "k"), F.floor("value").cast("string")), 256)).otherwise("").alias("text"),
+    )
 
 
 def orders_as_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,13 +109,15 @@ def extreme_comments(spark, sf_dir):
 
 
 @query(f"""{_MAJORITY},
-    k as (select {HOUR} as event_id, event_id as comment_id, user_id as author_id, ts from events),
+    k as (select {HOUR} as event_id, event_id as comment_id, user_id as author_id, ts,
+        case when event_type = 'error' then concat_ws(' ', json_extract_string(props, '$.k'), cast(floor(value) as bigint)) end as said from events),
     x as (select author_id from k group by 1 having count(distinct event_id) >= 95),
     f as (select author_id, event_id, min(ts) as first_at from k group by 1, 2),
     v as (select distinct author_id from (select author_id, epoch_us(first_at) - lag(epoch_us(first_at)) over (partition by author_id order by first_at, event_id) as gap from f) where gap <= 60000000),
     d as (select event_id, author_id from (select event_id, author_id, count(*) as n, sum(count(*)) over (partition by event_id) as total from k group by 1, 2) where n * 100 > total * 20),
     s as (
         select event_id, comment_id, 'cross_event' as signal, 0 as place, 30 as weight from k where author_id in (select author_id from x)
+        union all select event_id, comment_id, 'copypasta', 1, 25 from k where said in (select said from k group by 1 having count(distinct author_id) > 1)
         union all select event_id, comment_id, signal, 2, 20 from ({_EXTREME})
         union all select event_id, comment_id, 'velocity', 3, 15 from k where author_id in (select author_id from v)
         union all select k.event_id, k.comment_id, 'volume', 4, 10 from k join d on d.event_id = k.event_id and d.author_id = k.author_id),
@@ -125,8 +128,9 @@ def extreme_comments(spark, sf_dir):
         round_even(coalesce(i.n, 0) * 100.0 / n_comments, 1)::double as anomaly_pct
     from a left join w on w.event_id = a.event_id left join i on i.event_id = a.event_id""")
 def composite_anomaly(spark, sf_dir):
+    """All five signals. Comments of errors have a checksum for a text, and checksums are never alike, so SQL can say what is a copy."""
     rows = comments(spark, sf_dir, "hour")
-    found = signals.signals(rows, cross=95, seconds=60, with_copies=False)
+    found = signals.signals(rows, cross=95, seconds=60)
     return signals.composite(rows, found).select("event_id", "n_comments", "anomaly_score", "signals", "n_suspicious", "anomaly_pct")
 
 
@@ -175,8 +179,7 @@ def figures_without_events(spark, sf_dir):
 
 @query("select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey)")
 def figures_with_events(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return rows.join(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    return tables.with_children(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
 
 
 @query("""
@@ -239,28 +242,29 @@ def figure_meta(spark, sf_dir):
     from orders left join lineitem on l_orderkey = o_orderkey left join customer on c_custkey = o_custkey group by 1""")
 def figure_events_fanout(spark, sf_dir):
     people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("figure_id"), F.col("c_mktsegment").alias("label"))
-    joined = orders_as_events(spark, sf_dir).join(lines_as_articles(spark, sf_dir), "event_id", "left").join(people, "figure_id", "left")
-    return joined.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("source").alias("n_outlets"), F.max("label").alias("label"))
+    return timeline.events_fanout(orders_as_events(spark, sf_dir), lines_as_articles(spark, sf_dir), people)
 
 
 @query("""
     with a as (select l_orderkey, string_agg(concat(strftime(l_shipdate, '%Y-%m-%d'), '/', l_suppkey, '/', l_partkey), ' ' order by l_shipdate, l_linenumber, l_suppkey, l_partkey) as articles, count(*) as n from lineitem group by 1)
     select o_orderkey as event_id, o_orderdate as event_date, articles, coalesce(n, 0) as n_articles from orders left join a on l_orderkey = o_orderkey where o_orderstatus = 'O'""")
 def review_queue_nested(spark, sf_dir):
-    lists = lines_as_articles(spark, sf_dir).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("published_at", "no", "source", "article_id"))).alias("a"))
-    rows = orders_as_events(spark, sf_dir).filter(F.col("status") == "summarized").join(lists, "event_id", "left")
-    text = F.array_join(F.transform("a", lambda x: F.concat_ws("/", F.date_format(x["published_at"], "yyyy-MM-dd"), x["source"].cast("string"), x["article_id"].cast("string"))), " ")
-    return rows.select("event_id", "event_date", text.alias("articles"), F.when(F.col("a").isNotNull(), long(F.size("a"))).otherwise(F.lit(0).cast("long")).alias("n_articles"))
+    events = orders_as_events(spark, sf_dir)
+    summaries = events.select("event_id", F.lit("").alias("summary_text"), F.array("title").alias("citations"), F.lit(0).alias("single_source_flag"))
+    lines = lines_as_articles(spark, sf_dir).select("event_id", "published_at", F.col("no").alias("article_id"), "source", F.col("article_id").cast("string").alias("title"), F.lit("").alias("url"))
+    rows = timeline.queue(events, summaries, lines)
+    text = F.array_join(F.transform("articles", lambda x: F.concat_ws("/", F.date_format(x["published_at"], "yyyy-MM-dd"), x["source"].cast("string"), x["title"])), " ")
+    return rows.select("event_id", "event_date", text.alias("articles"), F.when(F.col("articles").isNotNull(), long(F.size("articles"))).otherwise(F.lit(0).cast("long")).alias("n_articles"))
 
 
 @query("""
     with last as (select l_orderkey, l_linestatus, l_quantity from lineitem qualify row_number() over (partition by l_orderkey order by l_shipdate desc, l_linenumber desc, l_partkey desc, l_suppkey desc) = 1)
     select o_orderkey as event_id, o_custkey as figure_id, l_linestatus as label, l_quantity as score from orders left join last on l_orderkey = o_orderkey where o_orderstatus = 'F'""")
 def timeline_latest(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linestatus").alias("label"), F.col("l_quantity").alias("score"))
-    last = tables.latest(lines, "event_id", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").select("event_id", "label", "score")
-    rows = orders_as_events(spark, sf_dir).filter(F.col("status") == "approved")
-    return rows.join(last, "event_id", "left").select("event_id", "figure_id", "label", "score")
+    events = orders_as_events(spark, sf_dir)
+    number = F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("sentiment_id")
+    moods = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), number, F.col("l_shipdate").alias("collected_at"), F.lit("").alias("channel"), F.col("l_quantity").alias("score"), F.col("l_linestatus").alias("label"), F.lit(1).alias("sample_size"))
+    return timeline.timeline(events, events.select("event_id", F.lit("").alias("summary_text")), moods).select("event_id", "figure_id", "label", "score")
 
 
 @query("""
@@ -395,7 +399,7 @@ def month_groups(spark, sf_dir):
 
 @query("select cast(json_extract_string(props, '$.k') as bigint) as k, count(*) as n from events group by 1")
 def json_props(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return read(spark, sf_dir, "events").groupBy(t.json_field("props", "k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double))"
@@ -430,15 +434,14 @@ def centroid_by_label(spark, sf_dir):
     with n as (select doc_id, source, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as x from documents)
     select doc_id from n where length(x) >= 15 and x in (select x from n group by 1 having count(distinct source) > 1)""")
 def exact_copypasta(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", "source", signals.normal_text("text").alias("x")).filter(F.length("x") >= 15)
-    shared = rows.groupBy("x").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).filter("lo != hi")
-    return rows.join(shared, "x", "left_semi").select("doc_id")
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("author_id"), "text")
+    return signals.exact_copies(rows).select("doc_id")
 
 
 @query()
 def fuzzy_copypasta(spark, sf_dir):
-    """No SQL: the indel ratio is not built in. Tested against all pairs."""
-    rows = read(spark, sf_dir, "benchmark").select(F.lit(0).alias("event_id"), F.col("item_id").alias("comment_id"), F.col("item_id").alias("author_id"), "text")
+    """No SQL: the indel ratio is not built in. Tested against all pairs. Over all documents, whole, of their sources."""
+    rows = read(spark, sf_dir, "documents").select(F.lit(0).alias("event_id"), F.col("doc_id").alias("comment_id"), F.col("source").alias("author_id"), "text")
     return signals.copypasta(rows).select("event_id", "comment_id")
 
 
@@ -449,18 +452,39 @@ def html_paragraphs(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", body.alias("body")).select("page_id", "body", F.when(F.col("body").isNull(), "error:extract").otherwise("ok").alias("status"))
 
 
-@query()
+_FREQUENT = ", ".join("{'n': len(list_filter(words, lambda w: w in (" + ", ".join(f"'{w}'" for w in words) + f"))), 'place': {-i}, 'name': '{name}'}}" for i, (name, words) in enumerate(sorted(FREQUENT.items())))
+
+
+@query(f"""
+    with w as (select doc_id, length(trim(text)) as n, regexp_extract_all(lower(trim(text)), '[\\p{{L}}\\p{{N}}_]+') as words from documents),
+    b as (select doc_id, n, list_sort([{_FREQUENT}])[-1] as best from w)
+    select doc_id, case when n < 20 or best.n = 0 then 'id' else best.name end as language from b""")
 def detect_language(spark, sf_dir):
-    """No SQL: a function of ours. Tested for accuracy."""
     return read(spark, sf_dir, "documents").select("doc_id", language("text").alias("language"))
 
 
+_SAID = "pidato|debat|unjuk rasa|peraturan|kunjungan|rapat|wawancara|jumpa pers|pernyataan|pelantikan|putusan|pemilu|kandidat|mundur|cuaca".split("|")
+_RULE_CASES = " ".join(f"when regexp_matches(said, '{pattern}') then '{name}'" for pattern, name in clustering.EVENT_TYPES)
+
+
+@query(f"""
+    with s as (select event_id, concat('Hari ini ', [{', '.join(f"'{w}'" for w in _SAID)}][event_id % {len(_SAID)} + 1], ' dan ', [{', '.join(f"'{w}'" for w in _SAID)}][user_id % {len(_SAID)} + 1], ' lagi') as said from events)
+    select event_id, case {_RULE_CASES} else 'other' end as event_type from s""")
+def event_type_rules(spark, sf_dir):
+    """The fourteen rules over sentences made of their words."""
+    said = t.literals(_SAID)
+    word = lambda c: F.element_at(said, (F.col(c) % len(_SAID) + 1).cast("int"))
+    rows = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Hari ini "), word("event_id"), F.lit(" dan "), word("user_id"), F.lit(" lagi")).alias("said"))
+    return rows.select("event_id", t.first_rule("said", clustering.EVENT_TYPES, "other").alias("event_type"))
+
+
 @query()
 def greedy_cluster(spark, sf_dir):
     """No SQL: each step depends on all before. Tested against a plain loop."""
     at = F.timestamp_micros((F.lit(1_700_000_000) + F.col("vec_id") * 600) * 1_000_000)
-    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("figure_id"), F.col("vec_id").alias("article_id"), at.alias("published_at"), "embedding", F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("tokens"))
-    return clustering.cluster(rows, clustering.Params(least_similarity=0.3))
+    words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), t.tokens("text").alias("tokens"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("figure_id"), F.col("vec_id").alias("article_id"), at.alias("published_at"), "embedding").join(words, "article_id", "left")
+    return clustering.cluster(rows.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>"))), clustering.Params(least_similarity=0.3))
 
 
 @query("select date_trunc('hour', ts)::timestamp as start_at, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
@@ -495,7 +519,7 @@ def sql_dump(spark, sf_dir):
 @query("select distinct event_type, upper(substring(event_type, 1, 1)) as initial, lpad(cast(length(event_type) as varchar), 2, '0') as no from events order by 1")
 def filter_chips(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_type").distinct()
-    return rows.select("event_type", F.upper(F.substring("event_type", 1, 1)).alias("initial"), F.lpad(F.length("event_type").cast("string"), 2, "0").alias("no")).orderBy("event_type")
+    return rows.select("event_type", F.upper(display.initial("event_type")).alias("initial"), display.ordinal(F.length("event_type")).alias("no")).orderBy("event_type")
 
 
 @query("""

@@ -36,6 +36,34 @@ def ingest(inputs: Inputs, known: DataFrame | None, as_of: datetime) -> DataFram
     return rows if known is None else rows.join(known.select("article_id"), "article_id", "left_anti")
 
 
+def to_fetch(articles: DataFrame, retry_failed: bool = False, limit: int | None = None) -> DataFrame:
+    """[P8, T3, O3] Articles never tried, and failed ones if asked for, the first fetched first."""
+    waiting = F.col("fetch_status").isNull()
+    waiting = waiting | F.startswith("fetch_status", F.lit("error:")) if retry_failed else waiting
+    return _first(articles.filter(waiting), limit, "fetched_at", "article_id")
+
+
+def to_cluster(articles: DataFrame) -> DataFrame:
+    """[P7, T3] Articles without an event."""
+    return articles.filter("event_id is null")
+
+
+def to_summarise(event_rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """[T3, O3] New events, the first created first."""
+    return _first(event_rows.filter(F.col("status") == "new"), limit, "created_at", "event_id")
+
+
+def to_translate(articles: DataFrame, domestic: tuple[str, ...], limit: int | None = None) -> DataFrame:
+    """[P6, T3, O4] Bodies of foreign outlets without a translation, in the order of their ids; a failed one comes again."""
+    outlet = F.regexp_replace("source", "^YouTube/", "")
+    foreign = ~outlet.isin(*domestic) if domestic else F.lit(True)
+    return _first(articles.filter(F.col("body").isNotNull() & F.col("body_original").isNull() & foreign), limit, "article_id")
+
+
+def _first(rows: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    return rows if limit is None else tables.top(rows, limit, *(F.col(c).asc_nulls_first() for c in order))
+
+
 def with_bodies(articles: DataFrame, pages: DataFrame) -> DataFrame:
     """Bodies of the pages; what went wrong is a value of fetch_status."""
     body = udfs.paragraphs("html")
@@ -54,11 +82,15 @@ def with_translations(articles: DataFrame, domestic: tuple[str, ...], provider=u
     return rows.withColumn("body_original", F.when(F.col("_new").isNotNull(), F.col("body"))).withColumn("body", F.coalesce("_new", "body")).drop("_new")
 
 
-def with_events(articles: DataFrame, names: list[str], as_of: datetime, params: clustering.Params = clustering.Params(), embed=udfs.hashed_embedding) -> DataFrame:  # noqa: B008
-    """Articles with the event that the clusterer gives them."""
+def with_events(articles: DataFrame, names: list[str], as_of: datetime, params: clustering.Params = clustering.Params(), embed=udfs.hashed_embedding, stored: tuple[DataFrame, DataFrame] | None = None, dimension: int = 64) -> DataFrame:  # noqa: B008
+    """Articles with the event that the clusterer gives them. ``stored``: events and articles of earlier runs; those still open take articles, too."""
     text = t.joined_text("title", "summary", "body")
-    rows = articles.withColumn("embedding", udfs.embedding(embed)(text)).withColumn("tokens", t.tokens(text, names))
-    found = clustering.cluster(rows, params, as_of.timestamp())
+
+    def measured(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("embedding", udfs.embedding(embed)(text)).withColumn("tokens", t.tokens(text, names))
+
+    known = None if stored is None else clustering.open_events(stored[0], measured(stored[1]), dimension)
+    found = clustering.cluster(measured(articles), params, as_of.timestamp(), known)
     return articles.drop("event_id").join(found, "article_id")
 
 

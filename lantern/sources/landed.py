@@ -6,15 +6,19 @@ feeds can be read through the Python data source ``FeedSource``, one input parti
 
 from __future__ import annotations
 
+import re
 import tomllib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lantern.functions.text import non_empty, sql_literal, url_id
+from lantern.functions.display import lookup, request
+from lantern.functions.text import contains_any, non_empty, sql_literal, url_id
+from lantern.functions.udfs import unescaped
 
 FIGURE = "figure_ord int, figure_id string, name string, role string, aliases array<string>, active boolean"
 SOURCE = "source_ord int, name string, rss string, weight double"
@@ -73,6 +77,75 @@ def feed_articles(entries: DataFrame) -> DataFrame:
     )
 
 
+# Channels of video searches, by handle, and international ones by what their titles hold, in order of precedence.
+DOMESTIC_CHANNELS = {
+    "kompastv": "Kompas TV", "metrotvnews": "Metro TV", "cnnindonesiaofficial": "CNN Indonesia TV", "tvOneNews": "tvOne", "inewsdotid": "iNews", "beritasatu": "Berita Satu",
+}
+INTERNATIONAL_CHANNELS = [
+    ("al jazeera", "Al Jazeera"), ("bloomberg", "Bloomberg"), ("bbc news", "BBC News"), ("reuters", "Reuters"), ("associated press", "Associated Press"),
+    ("channel newsasia", "Channel NewsAsia"), ("cna", "Channel NewsAsia"), ("south china morning post", "South China Morning Post"), ("dw news", "DW News"),
+    ("france 24", "France 24"), ("abc news", "ABC News"), ("nikkei asia", "Nikkei Asia"), ("guardian news", "The Guardian"),
+]
+#: Parameters of a search at home, and abroad.
+DOMESTIC_SEARCH = {"part": "snippet", "type": "video", "maxResults": "5", "relevanceLanguage": "id", "regionCode": "ID", "order": "date", "videoDuration": "medium"}
+INTERNATIONAL_SEARCH = {"part": "snippet", "type": "video", "maxResults": "5", "order": "date", "videoDuration": "medium"}
+
+
+def search_request(base: str, query: str, international: bool = False) -> Column:
+    """[S4, S8, S9, F39] The address of a search for the texts of a column."""
+    values = INTERNATIONAL_SEARCH if international else DOMESTIC_SEARCH
+    return request(base, **{k: F.lit(v) for k, v in values.items()}, q=F.col(query))
+
+
+def domestic_videos(found: DataFrame) -> DataFrame:
+    """[S8] Videos with their channel's name: that of a handle, whatever spaces and case its title has, else the title, else ``YouTube``."""
+    plain = F.lower(F.regexp_replace(F.coalesce("channel", F.lit("")), r"\s+", ""))
+    names = {k.lower(): v for k, v in DOMESTIC_CHANNELS.items()} | {v.replace(" ", "").lower(): v for v in DOMESTIC_CHANNELS.values()}
+    return found.withColumn("channel", lookup(plain, names, F.coalesce(F.nullif("channel", F.lit("")), F.lit("YouTube"))))
+
+
+def international_videos(found: DataFrame, channels: list[tuple[str, str]] | None = None) -> DataFrame:
+    """[S9, J19] Videos of known channels, under the name of the first whose key the title holds; others go."""
+    pairs = [(name, key) for key, name in channels or INTERNATIONAL_CHANNELS]
+    return found.withColumn("channel", contains_any(F.coalesce("channel", F.lit("")), pairs)).filter("channel is not null")
+
+
+def responses(requests: DataFrame, get: Callable[[str], bytes | str], url: str = "url") -> DataFrame:
+    """[S2, S3, S4, S11, T8] What a connector gets for each address: the rows with ``value`` and ``status``. An error is a value, never an exception.
+
+    ``get`` is handed in (an HTTP client with its headers, tokens and pauses), is run where the rows are, and gives text, or bytes of UTF-8.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, states = [], []
+            for address in batch.column(batch.schema.get_field_index(url)).to_pylist():
+                try:
+                    got = get(address)
+                    text = got.decode("utf-8", "replace") if isinstance(got, bytes) else got
+                    values.append(text or None)
+                    states.append("ok" if text else "error:empty")
+                except Exception as e:  # whatever a client raises
+                    values.append(None)
+                    states.append(f"error:download:{type(e).__name__}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.string()), pa.array(states, pa.string())], names=[*batch.schema.names, "value", "status"])
+
+    kept = requests.select(*(c for c in requests.columns if c not in ("value", "status")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, f"{schema}, value string, status string")
+
+
+def ingest_counts(entries: DataFrame, attributed: DataFrame, known: DataFrame | None) -> DataFrame:
+    """[A21] One row: entries fetched, entries with link that a figure matches, articles inserted, and those skipped as known or repeated.
+
+    ``attributed``: the matched articles before repeated and known ones are left out; ``known``: article_id of those stored.
+    """
+    ids = attributed.groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = ids.withColumn("is_new", F.lit(True)) if known is None else ids.join(known.select("article_id").distinct().withColumn("_known", F.lit(True)), "article_id", "left").withColumn("is_new", F.col("_known").isNull())
+    counts = ids.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matched"), F.count_if("is_new").alias("inserted"))
+    return entries.agg(F.count(F.lit(1)).alias("fetched")).crossJoin(F.broadcast(counts)).withColumn("skipped_existing", F.col("matched") - F.col("inserted"))  # a row each
+
+
 def videos(responses: DataFrame, body: str = "value") -> DataFrame:
     """[S5, S8] Videos of landed search responses; items without id go."""
     items = responses.select(F.posexplode(F.from_json(body, VIDEOS)["items"]).alias("video_ord", "item"))
@@ -107,10 +180,10 @@ def forum_comments(responses: DataFrame, body: str = "value") -> DataFrame:
 
 
 def transcripts(lines: DataFrame, preference: list[str]) -> DataFrame:
-    """[S10] One transcript a video (video_id, language, lines): in the most preferred language."""
+    """[S10, F26] One transcript a video (video_id, language, lines): in the most preferred language, character references as characters."""
     rank = F.array_position(F.array(*(F.lit(p) for p in preference)), F.col("language"))
     ranked = lines.withColumn("_rank", rank).filter("_rank > 0")
-    return ranked.groupBy("video_id").agg(F.min_by(F.array_join("lines", " "), "_rank").alias("text"))
+    return ranked.groupBy("video_id").agg(F.min_by(F.array_join("lines", " "), "_rank").alias("text")).withColumn("text", unescaped("text"))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -122,6 +195,11 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def table_columns(tables: dict[str, DataFrame]) -> list[tuple[str, int, str, str, bool]]:
+    """[S18] (table, place, column, type, nullable) of each column: the catalogue listing, from the schemas alone."""
+    return [(name, i, f.name, f.dataType.simpleString(), f.nullable) for name, rows in sorted(tables.items()) for i, f in enumerate(rows.schema)]
+
+
 def sql_dump(rows: DataFrame, table: str) -> DataFrame:
     """[K9] One INSERT statement a row; null columns are left out."""
     names = [F.when(F.col(c).isNotNull(), F.lit(c)) for c in rows.columns]
@@ -129,11 +207,27 @@ def sql_dump(rows: DataFrame, table: str) -> DataFrame:
     return rows.select(F.concat(F.lit(f"INSERT INTO {table} ("), F.concat_ws(", ", *names), F.lit(") VALUES ("), F.concat_ws(", ", *values), F.lit(");")).alias("statement"))
 
 
+def statements(script: str) -> list[str]:
+    """The statements of a SQL script. Semicolons inside quotes and comments do not end one."""
+    parts = re.findall(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|;|[^;'\"`/-]+|.", script, re.S)
+    out = [""]
+    for part in parts:
+        if part == ";":
+            out.append("")
+        elif not part.startswith(("--", "/*")):
+            out[-1] += part
+    return [s.strip() for s in out if s.strip()]
+
+
 def run_script(spark: SparkSession, script: str) -> None:
     """[F45, K10] Runs the statements of a SQL script."""
-    for statement in (s.strip() for s in script.split(";")):
-        if statement:
-            spark.sql(statement)
+    for statement in statements(script):
+        spark.sql(statement)
+
+
+def stage_output(rows: DataFrame, path: str, stage: str, run: str) -> None:
+    """[K1, K12] Appends what a stage of a run gives, in one commit; the same run written again replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{path}/stage={stage}/run={run}")
 
 
 def copy_table(rows: DataFrame, columns: list[str], write: Callable[[DataFrame], None]) -> None:

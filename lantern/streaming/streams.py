@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.operators.clustering import Params, Walk
+from lantern.operators.tables import latest
 
 
 def distinct_articles(articles: DataFrame, key: str = "article_id", at: str = "fetched_at", late: str = "7 days") -> DataFrame:
@@ -58,8 +59,11 @@ def clustered(articles: DataFrame, params: Params = Params()) -> DataFrame:  # n
     )
 
 
-def keep_latest(batch: DataFrame, path: str, key: str, *order: str) -> None:
-    """[K3, K12] A foreachBatch sink: each batch's latest rows, as one more version under ``path``."""
-    from lantern.operators.tables import latest
+def keep_latest(batch: DataFrame, batch_id: int, path: str, key: str, *order: str) -> None:
+    """[K1, K12] A foreachBatch sink: each batch's latest rows under its own number, so a batch that is run again replaces itself."""
+    latest(batch, key, *order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    latest(batch, key, *order).write.mode("append").parquet(path)
+
+def current(spark: SparkSession, path: str, key: str, *order: str) -> DataFrame:
+    """[K3] The latest row of each key over all batches that ``keep_latest`` wrote: the upserted table."""
+    return latest(spark.read.parquet(path).drop("batch"), key, *order)

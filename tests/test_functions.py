@@ -54,7 +54,9 @@ def test_local_dates(spark, given, shown):
 
 def test_score_bands(spark):
     bands = [value(spark, display.band("x", display.SCORE_LABELS), x=s) for s in (-40, -39, -10, -9, 15, 16, 45, 46)]
-    names = [n for _, n in display.SCORE_LABELS]
+    names = [n for *_, n in display.SCORE_LABELS]
+    assert [value(spark, display.band("x", display.SCORE_LABELS), x=x) for x in (-39.5, -9.5, 15.5, 45.5, 46.0)] == [names[i] for i in (1, 2, 2, 3, 4)]
+    assert [value(spark, display.band("x", display.SCORE_COLOURS), x=x) for x in (-10.0, 15.9, 16.0)] == ["#c0392b", "#9b7b3f", "#2e7a52"]
     assert bands == [names[i] for i in (0, 1, 1, 2, 2, 3, 3, 4)]
     assert [value(spark, display.band("x", display.RECORD_EMOJI), x=s) for s in (-30, -10, 10, 11, 31)] == ["😠", "🙁", "😐", "🙂", "😊"]
 
@@ -78,7 +80,9 @@ def test_query_builder(spark):
 def test_links_are_never_linked_again(spark):
     got = value(spark, t.linked("x", {"Jane": "j", "Jane Doe": "d", "href": "h"}), x="Jane Doe & jane\nend")
     assert got == '<a href="/figure/d" class="fig-link">Jane Doe</a> &amp; <a href="/figure/j" class="fig-link">Jane</a><br>end'
-    assert [(s.text, s.is_name) for s in value(spark, t.segments("x", ["Jane"]), x="a Jane b")] == [("a ", False), ("Jane", True), (" b", False)]
+    assert [(s.text, s.is_name) for s in value(spark, t.segments("x", ["Jane"]), x="a Jane b jane")] == [("a ", False), ("Jane", True), (" b jane", False)]
+    assert [(s.text, s.is_name) for s in value(spark, t.segments("x", ["Jane", "Jane Doe"]), x="Jane Doe")] == [("Jane", True), (" Doe", False)]  # the first given
+    assert [(s.text, s.is_name) for s in value(spark, t.segments("x", []), x="plain")] == [("plain", False)]
 
 
 def test_sql_literals(spark):
@@ -93,6 +97,45 @@ def test_paragraphs_follow_the_parser_state():
     assert udfs.paragraphs_of(f"<nav><p>{long * 9}</p></nav><script>{long}</script>") is None
     merged = udfs.paragraphs_of(f"<p>{'a' * 150}<p>{'b' * 150}</p>")
     assert merged == "a" * 150 + "b" * 150
+    nested = udfs.paragraphs_of(f"<p>{'a' * 100}<p>{'b' * 100}</p>{'c' * 100}</p>")  # the tail is the outer paragraph's
+    assert nested == "a" * 100 + "b" * 100 + "\n\n" + "c" * 100
+    assert udfs.paragraphs_of(f"<nav><p>menu</nav>{'t' * 250}") is None  # opened inside a skipped element
+    assert udfs.paragraphs_of(f"<nav><p>menu</nav>{'t' * 250}</p><p>{'u' * 250}</p>") == "u" * 250
+    assert udfs.paragraphs_of(f"<p>{'a' * 150}<nav>{'n' * 90}</p>{'m' * 90}</nav>{'z' * 90}</p><p>{'b' * 60}</p>") == "a" * 150 + "\n\n" + "b" * 60  # closed inside one
+    assert udfs.paragraphs_of(f"</p></p><p>{'a' * 250}</p></p>{'z' * 90}") == "a" * 250  # closing while none is open
+
+
+class ModelOfParagraphs:
+    """The same states kept as counts over a list of tokens."""
+
+    @staticmethod
+    def read(tokens):
+        depth = skipped = 0
+        held, out = "", []
+        for kind, name in tokens:
+            if kind == "open":
+                skipped += name == "nav"
+                depth += name == "p" and skipped == 0
+            elif kind == "close" and name == "nav":
+                skipped -= skipped > 0
+            elif kind == "close" and depth:
+                depth -= 1
+                out += [held] if len(held) > 40 else []
+                held = ""
+            elif kind == "text" and depth and not skipped:
+                held += name
+        return "\n\n".join(out) if len("\n\n".join(out)) >= 200 else None
+
+
+def test_paragraphs_equal_a_model_on_random_pages():
+    rng = random.Random(5)
+    some = 0
+    for _ in range(400):
+        tokens = [rng.choice([("open", "p"), ("open", "p"), ("close", "p"), ("close", "p"), ("open", "nav"), ("close", "nav"), ("text", rng.choice("abc") * rng.randrange(20, 260))]) for _ in range(20)]
+        page = "".join({"open": f"<{n}>", "close": f"</{n}>", "text": n}[k] for k, n in tokens)
+        assert udfs.paragraphs_of(page) == ModelOfParagraphs.read(tokens), page
+        some += udfs.paragraphs_of(page) is not None
+    assert some > 50
 
 
 def test_indel_ratio_against_a_table():
@@ -105,13 +148,18 @@ def test_indel_ratio_against_a_table():
                 rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
         expected = 200 * rows[-1][-1] / (len(a) + len(b)) if a or b else 100
         assert udfs.indel_ratio(a, b) == expected
+        assert all(udfs.reaches(a, b, least) == (expected >= least) for least in (50, 85, 100))
+    a = "".join(rng.choices("abcd", k=2000))
+    assert udfs.reaches(a, a[:900] + "x" * 50 + a[900:], 85) and not udfs.reaches(a, "".join(rng.choices("efgh", k=2000)), 85)
 
 
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(F.length("text") > 300)
     rows = docs.select("lang", udfs.language("text").alias("got")).collect()
     assert np.mean([r.lang == r.got for r in rows]) > 0.85
-    assert udfs.language_of("x" * 19) == "id"
+    cases = {"x" * 19: "id", "xxxx " * 9: "id", "the of and THE dog is in the house": "en", "le chat et la maison, les des une": "fr"}
+    table = spark.createDataFrame([(x,) for x in [*cases, None]], "x string")
+    assert [r.v for r in table.select(udfs.language("x").alias("v")).collect()] == [*cases.values(), "id"]
 
 
 def test_vectors(spark):
@@ -127,3 +175,19 @@ def test_providers(spark):
     shout = udfs.translation(lambda xs: [x.upper() for x in xs])
     assert [r.v for r in spark.createDataFrame([("short",), ("a text of more than twenty characters",)], "x string").select(shout("x").alias("v")).collect()] == ["short", "A TEXT OF MORE THAN TWENTY CHARACTERS"]
     assert udfs.first_sentences(["One. Two.", "Three"]) == "One. [Sumber 1] Three [Sumber 2]"
+
+
+def test_logos_and_json(spark):
+    got = value(spark, display.logos("x", {"Kompas": "k.png"}), x=["Kompas", "Tempo", "", "Kompas"])
+    assert got == ["k.png", "T", "?"]
+    assert value(spark, t.json_field("x", "a"), x='{"a": "b"}') == "b" and value(spark, t.json_field("x", "a"), x="junk") is None
+    assert [value(spark, t.json_length("x"), x=x) for x in ("[1, 2]", "junk", None)] == [2, 0, 0]
+
+
+def test_providers_that_fail_give_error_values(spark):
+    def broken(texts):
+        raise TimeoutError
+
+    rows = spark.createDataFrame([("ask",)], "x string")
+    assert tuple(rows.select(udfs.replies("x", lambda xs: [x.upper() for x in xs]).alias("v")).first().v) == ("ASK", "ok")
+    assert tuple(rows.select(udfs.replies("x", broken).alias("v")).first().v) == (None, "error:provider:TimeoutError")

@@ -71,6 +71,29 @@ def test_copypasta_equals_all_pairs(spark):
     assert got == expected and expected
 
 
+def test_close_texts_in_many_tiles(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [" ".join(sorted(rng.choices([f"w{i}" for i in range(60)], k=rng.randrange(6, 14)))) for _ in range(60)]
+    texts = sorted({*base, *(b[:-1] + "z" for b in base), *(b + " qqq" for b in base[::3])})
+    rows = spark.createDataFrame([(x,) for x in texts], "sorted string")
+    expected = {(a, b) for a, b in itertools.combinations(texts, 2) if indel_ratio(a, b) >= 85}
+    for tile in (128, 8):
+        monkeypatch.setattr(signals, "TILE", tile)
+        got = [tuple(sorted(r)) for r in signals.close_texts(rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected and expected
+
+
+def test_attribution_by_table_equals_the_literal_form(spark):
+    rng = random.Random(22)
+    docs = [(i, rng.choice(["", "Jane", "x"]), " ".join(rng.choices(["Doe", "john", "JOHNSON", "a", "lorem", "Ann"], k=6)) if i % 5 else None) for i in range(60)]
+    figures = [("j", ["john", "Jo"]), ("d", ["jane", "doe john"]), ("n", ["ann a"])]
+    rows = spark.createDataFrame(docs, "article_id int, title string, summary string")
+    terms = spark.createDataFrame([(i, f, x) for i, (f, names) in enumerate(figures) for x in names], "figure_ord int, figure_id string, term string")
+    expected = {(r.article_id, r.figure_id) for r in timeline.attributed(rows, figures).collect()}
+    for block in (10_000, 2):
+        assert {(r.article_id, r.figure_id) for r in timeline.attributed_by_table(rows, terms, block).collect()} == expected
+
+
 def test_composite_weights_and_order(spark):
     rows = [(1, "a", 0, "", ""), (1, "b", 0, "", ""), (2, "c", 0, "", "")]
     kinds = [(1, 0, s) for s in ("volume", "velocity", "extremity", "copypasta", "cross_event")]
@@ -138,6 +161,45 @@ def test_clusterer_equals_a_plain_loop_whatever_the_partitions(spark):
         assert {r.article_id: r.event_id for r in clustering.cluster(frame.repartition(parts), p).collect()} == expected
 
 
+def test_a_second_batch_joins_the_stored_open_events(spark):
+    rng, p = np.random.default_rng(9), clustering.Params(least_similarity=0.6, least_shared=2)
+    unit = lambda v: v / np.sqrt(v @ v)
+    rows, now = [], 0.0
+    for i in range(60):
+        now += float(rng.choice([7200, 2 * 86400, 9 * 86400], p=[0.7, 0.25, 0.05]))
+        rows.append((f"a{i:03}", now, unit(rng.normal(size=3)), {f"w{x}" for x in rng.integers(0, 5, 4)}))
+    late = [(f"b{i:03}", t - 3600.0 * 30, v, w) for i, (_, t, v, w) in enumerate(rows[30:50])]
+    frame = lambda r: spark.createDataFrame([("f", k, BASE + timedelta(seconds=t), [float(x) for x in v], sorted(w)) for k, t, v, w in r], "figure_id string, article_id string, published_at timestamp, embedding array<double>, tokens array<string>")
+    first = frame(rows)
+    given = clustering.cluster(first, p)
+    held = first.join(given, "article_id").cache()
+    status = F.when(F.substring("event_id", 4, 1).isin("3", "7"), "approved").otherwise("new")
+    events = held.filter("article_id = event_id").select("event_id", "figure_id", F.col("published_at").alias("event_date"), status.alias("status"))
+    got = {r.article_id: r.event_id for r in clustering.cluster(frame(late), p, stored=clustering.open_events(events, held, 3)).collect()}
+
+    # the same as one loop: events that are open start with the mean of their articles, then articles in time order
+    member = {r.article_id: r.event_id for r in given.collect()}
+    state = []
+    for key, when, _, _ in rows:
+        if member[key] == key and key[3] not in "37":
+            mine = [(v, w) for k, _, v, w in rows if member[k] == key]
+            mean = np.mean([v for v, _ in mine], axis=0)
+            state.append({"k": key, "t": when, "c": unit(mean), "w": set().union(*(w for _, w in mine)), "n": len(mine)})
+    expected = {}
+    for key, when, v, w in sorted(late, key=lambda r: (r[1], r[0])):
+        best, found = p.least_similarity, None
+        for e in state:
+            if abs(when - e["t"]) <= 7 * 86400 and len(w & e["w"]) >= 2 and v @ e["c"] >= best:
+                best, found = v @ e["c"], e
+        if found is None:
+            state.append({"k": key, "t": when, "c": v, "w": w, "n": 1})
+            expected[key] = key
+        else:
+            found["c"], found["w"], found["n"] = unit(found["c"] * found["n"] + v), found["w"] | w, found["n"] + 1
+            expected[key] = found["k"]
+    assert got == expected and any(e.startswith("a") for e in got.values())
+
+
 def test_clusterer_guards(spark):
     walk = clustering.Walk(clustering.Params())
     v, near = np.array([1.0, 0.0]), np.array([0.58, np.sqrt(1 - 0.58**2)])
@@ -192,8 +254,53 @@ def test_landed_responses(spark):
     child = lambda kind, body: {"kind": kind, "data": {"body": body, "author": "u"}}
     listing = json.dumps({"data": {"children": [child("t1", "yes"), child("t1", "[removed]"), child("more", "no"), child("t1", "")]}})
     assert [r.text for r in landed.forum_comments(spark.createDataFrame([("p", listing)], "post_id string, value string")).collect()] == ["yes"]
-    lines = spark.createDataFrame([("v", "en", ["a", "b"]), ("v", "id", ["c"]), ("w", "fr", ["d"])], "video_id string, language string, lines array<string>")
-    assert [r.text for r in landed.transcripts(lines, ["id", "en"]).collect()] == ["c"]
+    lines = spark.createDataFrame([("v", "en", ["a", "b"]), ("v", "id", ["c &amp; d", "&#39;e"]), ("w", "fr", ["d"])], "video_id string, language string, lines array<string>")
+    assert [r.text for r in landed.transcripts(lines, ["id", "en"]).collect()] == ["c & d 'e"]
+
+
+def test_channels(spark):
+    rows = spark.createDataFrame([("BBC News Indonesia",), ("CNA | news",), ("Kompas TV",), ("cooking",), ("iNews",), (None,)], "channel string")
+    assert [r.channel for r in landed.international_videos(rows).collect()] == ["BBC News", "Channel NewsAsia"]
+    assert [r.channel for r in landed.domestic_videos(rows).collect()][2:] == ["Kompas TV", "cooking", "iNews", "YouTube"]
+    asked = rows.limit(1).select(landed.search_request("http://s", "channel").alias("v")).first().v
+    assert asked.startswith("http://s?part=snippet&type=video") and asked.endswith("regionCode=ID&order=date&videoDuration=medium&q=BBC+News+Indonesia")
+
+
+def test_connectors_give_errors_as_values(spark):
+    def get(url):
+        if "bad" in url:
+            raise TimeoutError
+        return b"" if "empty" in url else "caf\xe9".encode()
+
+    rows = landed.responses(spark.createDataFrame([("http://a",), ("http://bad",), ("http://empty",)], "url string"), get).collect()
+    assert [tuple(r) for r in rows] == [("http://a", "café", "ok"), ("http://bad", None, "error:download:TimeoutError"), ("http://empty", None, "error:empty")]
+
+
+def test_ingest_counts(spark):
+    entries = spark.createDataFrame([(x,) for x in "abcde"], "link string")
+    matched = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "article_id string")
+    assert tuple(landed.ingest_counts(entries, matched, spark.createDataFrame([("b",)], "article_id string")).first()) == (5, 4, 2, 2)
+    assert tuple(landed.ingest_counts(entries, matched, None).first()) == (5, 4, 3, 1)
+    assert tuple(landed.ingest_counts(entries.limit(0), matched.limit(0), None).first()) == (0, 0, 0, 0)
+
+
+def test_scripts_and_columns(spark, tmp_path):
+    script = "select 'a;b' as x; -- no; comment\nselect \"q;r\" from t /* ; */ ;\n ; select 1 - 2"
+    assert landed.statements(script) == ["select 'a;b' as x", 'select "q;r" from t', "select 1 - 2"]
+    assert landed.table_columns({"t": spark.range(1)}) == [("t", 0, "id", "bigint", False)]
+    for n in (1, 2):
+        landed.stage_output(spark.range(n), str(tmp_path), "ingest", "r1")
+    landed.stage_output(spark.range(5), str(tmp_path), "ingest", "r2")
+    assert spark.read.parquet(str(tmp_path)).count() == 7
+
+
+def test_filters(spark):
+    rows = spark.createDataFrame([(1, "Debat", "a"), (2, "Rapat", "b")], "event_id int, event_type string, category string")
+    ids = lambda *a: [r.event_id for r in timeline.chosen(rows, *a).collect()]
+    assert (ids("all"), ids("type", "Rapat"), ids("category", "a")) == ([1, 2], [2], [1])
+    assert timeline.toggled(("type", "Debat"), ("type", "Debat")) == ("all", None) and timeline.toggled(("all", None), ("type", "x")) == ("type", "x")
+    with pytest.raises(ValueError, match="no such"):
+        timeline.chosen(rows, "colour")
 
 
 def test_configuration_and_feeds(spark, tmp_path):
@@ -220,7 +327,7 @@ def test_dump_leaves_out_nulls(spark):
     assert [r.statement for r in landed.sql_dump(rows, "t").orderBy("a").collect()] == ["INSERT INTO t (a, b) VALUES ('1', 'it''s');", "INSERT INTO t (a) VALUES ('2');"]
 
 
-@pytest.mark.parametrize("name", ["velocity_authors", "composite_anomaly", "stale_refresh", "upsert", "corroboration", "event_types_by_event"])
+@pytest.mark.parametrize("name", ["velocity_authors", "composite_anomaly", "stale_refresh", "upsert", "corroboration", "event_types_by_event", "review_queue_nested", "timeline_latest", "figure_events_fanout", "figure_meta", "detect_language", "event_type_rules", "attribute_by_table", "json_props", "filter_chips"])
 def test_catalogue_against_sql(spark, name):
     import duckdb
 

@@ -41,3 +41,12 @@ def test_stream_clusterer_equals_the_batch(spark, tmp_path):
     got = drained(streams.clustered(landed(spark, tmp_path, rows, schema)), "clustered", path=tmp_path / "c")
     batch = spark.createDataFrame(rows, schema).withColumn("published_at", F.timestamp_micros((F.col("seconds") * 1e6).cast("long")))
     assert sorted(map(tuple, got)) == sorted(map(tuple, clustering.cluster(batch).collect()))
+
+
+def test_replayed_batches_replace_themselves(spark, tmp_path):
+    place, schema = str(tmp_path / "out"), "key int, at int, v string"
+    one, two = (spark.createDataFrame(r, schema) for r in ([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], [(1, 3, "d")]))
+    for batch, n in ((one, 0), (two, 1), (two, 1), (one, 0)):
+        streams.keep_latest(batch, n, place, "key", "at")
+    assert spark.read.parquet(place).count() == 3
+    assert sorted(map(tuple, streams.current(spark, place, "key", "at").collect())) == [(1, 3, "d"), (2, 1, "c")]

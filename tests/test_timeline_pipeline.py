@@ -43,3 +43,24 @@ def test_status_log_and_schemas(spark):
     for name in schemas.DDL:
         empty = schemas.conform(spark.range(0).select(F.lit(None).cast("string").alias("event_id")), name)
         assert [f.name for f in empty.schema] == [f.name for f in schemas.schema(name)]
+
+
+def test_work_queues(spark):
+    rows = spark.createDataFrame([("a", None, datetime(2024, 1, 2), "Kompas", "text", None), ("b", "error:empty", datetime(2024, 1, 1), "Tempo", "text", None), ("c", "ok", None, "YouTube/Kompas", None, None), ("d", "ok", None, "BBC", "text", "was"), ("e", "ok", None, "BBC", "text", None)], "article_id string, fetch_status string, fetched_at timestamp, source string, body string, body_original string")
+    ids = lambda d: [r.article_id for r in d.collect()]
+    assert ids(p.to_fetch(rows)) == ["a"] and ids(p.to_fetch(rows, retry_failed=True, limit=5)) == ["b", "a"] and ids(p.to_fetch(rows, True, 1)) == ["b"]
+    assert ids(p.to_translate(rows, ("Kompas",), 5)) == ["b", "e"] and ids(p.to_translate(rows, ("Kompas",), 1)) == ["b"]
+    events = spark.createDataFrame([(1, "new", datetime(2024, 1, 2)), (2, "new", datetime(2024, 1, 1)), (3, "approved", None)], "event_id int, status string, created_at timestamp")
+    assert [r.event_id for r in p.to_summarise(events, 2).collect()] == [2, 1]
+    assert p.to_cluster(rows.withColumn("event_id", F.when(F.col("article_id") > "c", "x"))).count() == 3
+
+
+def test_a_later_run_adds_to_an_open_event(spark):
+    kind = "article_id string, figure_id string, title string, summary string, body string, source string, published_at timestamp, event_id string"
+    text = "Presiden berpidato tentang sekolah dan jalan raya besar"
+    first = spark.createDataFrame([("a", "f", text, "", "", "x", datetime(2024, 5, 1), None)], kind)
+    grouped = p.with_events(first, [], NOW)
+    second = spark.createDataFrame([("b", "f", text, "", "", "y", datetime(2024, 5, 3), None)], kind)
+    known = p.events(grouped, NOW)
+    assert [r.event_id for r in p.with_events(second, [], NOW, stored=(known, grouped)).collect()] == ["a"]
+    assert [r.event_id for r in p.with_events(second, [], NOW, stored=(known.withColumn("status", F.lit("approved")), grouped)).collect()] == ["b"]
