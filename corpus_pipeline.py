@@ -2,6 +2,14 @@
 
 Each stage gets what its predecessor wrote and works on all of it. All but the last return the columns of
 documents; the last adds shard and slot.
+
+Null and empty texts fail the quality rules, so later stages of ``run`` do not see any; on their own, near_duplicates takes them for
+copies of each other, decontamination and mixing find nothing in them (mixing decides texts without a word by a coin each), and sharding
+deals them out like any row. Null languages are judged as one group, null sources are a source of their own, and a null doc_id is kept as it is.
+Very long texts are read whole by every stage. Rows repeated whole are judged alike by quality, one of them stays in near_duplicates, and
+mixing and sharding count each. Of near-duplicates the row with the least doc_id stays; other ties are named by the operators. An
+empty table passes as an empty table. Extra columns are kept by all stages; where documents have a shard or slot, those added
+get a ``_``.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ more backslash, so the rendered form of the tokens can be parsed too.
 
 Rows of a conversation stand by turn (null first), then role, then text; repeated rows are turns of their
 own. Null role or text: empty. Null conv_id: a conversation of its own. A conversation's turns are never
-gathered: they are sorted and read as a stream, however many there are. Other columns are not carried.
+gathered: they are sorted and read as a stream, however many there are. Turns tied in all three stand in any order, as they are equal.
+Very long texts are encoded whole. An empty table gives no rows. Other columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations

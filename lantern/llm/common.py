@@ -67,10 +67,12 @@ def packed(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As cut(), for wide rows: a Parquet table in the shared folder."""
+    """As cut(), for wide rows: a Parquet table in the shared folder, which goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.parquet(path)
 
 

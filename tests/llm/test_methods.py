@@ -89,7 +89,7 @@ def test_windows_and_score_against_a_plain_reading():
     """The weight of each hit, read again from the text around it, and the sums and the score that follow."""
     params, rng = toxicity.Params(), random.Random(41)
     lexicon = toxicity.Lexicon({"idiot", "pathetic"}, {"moro"})
-    parts = ["idiot", "idi0t", "pathetic", "moronic", '"', "«", "»", "you", "said", "calm", "sea", "day", "\n", ",", "word " * 30]
+    parts = ["idiot", "idi0t", "pathetic", "moronic", '"', "«", "»", "you", "said", "calm", "sea", "day", "\n", ",", "blue " * 30]
     for _ in range(300):
         text = " ".join(rng.choices(parts, k=rng.randrange(30)))
         found = [(m.group(), *m.span()) for m in toxicity._TOKEN.finditer(text)]

@@ -42,6 +42,19 @@ def test_stages_take_effect(spark, tmp_path):
     assert last.select("shard", "slot").distinct().count() == last.count()
 
 
+def test_stages_on_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string, _digest string"
+    text = "seven wizards quietly mix jugs of vodka near the old quay while a brown fox watches them from afar"
+    rows = [(1, text, "en", "a", 1, "x", "y"), (1, text, "en", "a", 1, "x", "y"), (2, None, None, None, None, None, None), (None, text + " today", None, None, 1, "x", "y"), (3, "", "en", "a", 0, "", ""), (4, "word " * 30_000, "en", "a", 1, "x", "y")]
+    docs, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    left = {"quality": 3, "near_duplicates": 3, "decontamination": 6, "mixing": None, "sharding": 6}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == [*docs.columns, *(["shard_", "slot"] if name == "sharding" else [])]
+        assert left[name] is None or out.count() == left[name], name
+        assert stage(spark, none, SMALL).count() == 0
+
+
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.count() > 100 and rows.columns[-2:] == ["shard", "slot"]
