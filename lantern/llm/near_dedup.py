@@ -19,8 +19,8 @@ Exact copies meet first, as one text. Candidates are then taken in three steps:
 2. each text against the hubs of all its buckets, where the two have no class in common yet,
 3. all pairs of different classes in a bucket. They are listed while they are a few for each member. A crowd that
    shares a long passage has more; its texts are dealt into tiles, in which the words that two texts share are counted for
-   all pairs at once, and the pairs that this allows are aligned, in rounds of bounded size. Nothing is left out,
-   so the time for a crowd grows with its square.
+   all pairs at once, and the pairs that this allows are aligned, unless links that the tile has found connect their classes.
+   Nothing else is left out, so the time for a crowd grows with its square. Only links leave a tile, fewer than it has classes.
 
 Null and empty texts are copies of each other, and so are texts without a word that are equal. Very long texts are
 sketched and aligned whole; an alignment takes time by the edits it allows. Repeated rows are copies. Of texts tied for a
@@ -33,6 +33,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,6 @@ class Params:
     #: texts and words in each side of a tile of a more crowded bucket
     tile: int = 1024
     tile_words: int = 1 << 19
-    #: words of the pairs aligned in one round: as many as the texts have, and at least so many
-    round_words: int = 8_000_000
     #: bins of a text's word counts, which bound the edit distance from below
     bins: int = 256
 
@@ -239,21 +238,23 @@ def _possible(params: Params):
     return run
 
 
-#: Texts of fewer words have labels of 16 bits; of two texts with labels of unequal width the narrow ones are compared.
-WIDE = 4096
-
-
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the text, the last column, by some bits of each word, labelled with its occurrence."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the text, the last column, by 32 bits of each word."""
     for batch in batches:
         rows = []
         for part in slices(batch.columns[-1]):
             words = part.words(fold=True)
-            _, which, _ = runs(words.doc, words.hash)
-            label = (mix(words.hash + mix(which.astype(np.uint64))) >> np.uint64(32)).astype("<u4")
-            short = (label >> np.uint32(16)).astype("<u2")
-            rows += [(label if b - a >= WIDE else short)[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.binary())], names=[*batch.schema.names[:-1], "labels"])
+            short = (words.hash >> np.uint64(32)).astype("<u4")
+            rows += [short[a:b].tobytes() for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.binary())], names=[*batch.schema.names[:-1], "words"])
+
+
+def labelled(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """The words of each text with their occurrence, as 32 bits."""
+    size = np.array([len(x) for x in texts])
+    flat = np.concatenate(texts).astype(np.uint64)
+    _, which, _ = runs(np.repeat(np.arange(len(texts)), size), mix(flat))
+    return np.split(mix(mix(flat) + mix(which.astype(np.uint64))) >> np.uint64(32), np.cumsum(size)[:-1])
 
 
 #: Of a word that more pairs of a tile share, the pairs are counted by a product of matrices.
@@ -298,37 +299,53 @@ def shared_words(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out + np.minimum(twice[0][:, None], twice[1])
 
 
-def _tile_pairs(params: Params):
-    """Pairs (u, v) and their words, of different classes of a tile, whose words allow the similarity."""
+def _tile_links(params: Params):
+    """Links (u, v) that connect the classes of a tile.
+
+    Pairs of different classes whose words allow the similarity are aligned, those that share most first, unless
+    links found before connect their classes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[tuple[int, int]] = []
             for column in batch.column("texts"):
                 part = column.values
-                tid, root, size, second = (part.field(f).to_numpy(zero_copy_only=False) for f in ("tid", "root", "_words", "second"))
-                raw = part.field("labels").to_pylist()
-                wide = [len(x) > 2 * n for x, n in zip(raw, size, strict=True)]
-                labels = [np.frombuffer(x, "<u4" if w else "<u2") for x, w in zip(raw, wide, strict=True)]
-                if not all(wide):
-                    labels = [x >> np.uint32(16) if w else x for x, w in zip(labels, wide, strict=True)]
+                tid, root, second = (part.field(f).to_numpy(zero_copy_only=False) for f in ("tid", "root", "second"))
+                texts = [np.frombuffer(x, "<u4") for x in part.field("words").to_pylist()]
                 a = np.flatnonzero(~second)
                 b = np.flatnonzero(second) if second.any() else a  # a tile of one block meets itself
+                labels, size = labelled(texts), np.array([len(x) for x in texts])
                 longer = np.maximum(size[a][:, None], size[b])
-                near = (shared_words([labels[i] for i in a], [labels[i] for i in b]) >= params.similarity * longer - 1e-3) & (root[a][:, None] != root[b])
-                i, j = np.nonzero(near & (tid[a][:, None] > tid[b]) if b is a else near)
-                i, j = a[i], b[j]
-                columns = np.maximum(tid[i], tid[j]), np.minimum(tid[i], tid[j]), size[i] + size[j]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["u", "v", "words"])
+                shared = shared_words([labels[i] for i in a], [labels[i] for i in b])
+                near = (shared >= params.similarity * longer - 1e-3) & (root[a][:, None] != root[b])
+                if b is a:
+                    near &= tid[a][:, None] > tid[b]
+                i, j = np.nonzero(near)
+                order = np.argsort(-(shared[i, j] / longer[i, j]), kind="stable")
+                head: dict[int, int] = {}
+
+                def find(x: int, head: dict[int, int] = head) -> int:
+                    while x in head:
+                        x = head[x]
+                    return x
+
+                for x, y in zip(a[i[order]].tolist(), b[j[order]].tolist(), strict=True):
+                    p, q = find(int(root[x])), find(int(root[y]))
+                    if p != q and similar(texts[x].tolist(), texts[y].tolist(), params.similarity):
+                        head[max(p, q)] = min(p, q)
+                        out.append((int(max(tid[x], tid[y])), int(min(tid[x], tid[y]))))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
 
 def _tiled(crowded: DataFrame, bags: DataFrame, bodies: DataFrame, params: Params) -> DataFrame:
-    """Pairs (u, v) and their words, of the crowded buckets (columns key, tid, root, main): every pair that can be similar.
+    """Links (u, v) that connect all classes of the crowded buckets (columns key, tid, root, main) between which there is one.
 
     A bucket that fits is one tile. The texts of a larger one are dealt into blocks, and every two blocks are a tile. Blocks hold texts
     of one class of lengths, so only blocks of the same and of neighbouring classes meet; the texts of a bucket's largest
-    class of near copies have blocks of their own, which do not meet each other. Tiles are made up of narrow rows; the labels come to them once.
+    class of near copies have blocks of their own, which do not meet each other. Tiles are made up of narrow rows; the words come to them once.
     """
     length = F.floor(F.log(F.greatest("_words", F.lit(1))) / F.log(F.lit(1 / params.similarity)) + 1e-9)
     rows = cut(crowded.join(bags.select("tid", "_words"), "tid").select("key", "tid", "root", "_words", (F.col("root") == F.col("main")).alias("main"), length.alias("size")))
@@ -341,10 +358,10 @@ def _tiled(crowded: DataFrame, bags: DataFrame, bodies: DataFrame, params: Param
     blocks = counts.select("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct("main", "size", i.alias("block")))).alias("q"))
     meets = ~(F.col("p.main") & F.col("q.main")) & (F.abs(F.col("p.size") - F.col("q.size")) <= 1)
     dealt = rows.join(blocks, "key").filter(meets).select("key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), (F.col("p") > F.col("q")).alias("second"), "tid", "root", "_words")
-    labels = stored(in_arrow(bodies.join(crowded.select("tid").distinct(), "tid").select("tid", "_text"), _labelled, "tid long, labels binary"))
-    text = F.struct("tid", "root", "_words", "second", "labels")
-    tiles = dealt.join(labels, "tid").groupBy("key", "x", "y").agg(F.collect_list(text).alias("texts"))
-    return in_arrow(tiles.select("texts"), _tile_pairs(params), "u long, v long, words long").distinct()
+    words = stored(in_arrow(bodies.join(crowded.select("tid").distinct(), "tid").select("tid", "_text"), _words, "tid long, words binary"))
+    text = F.struct("tid", "root", "second", "words")
+    tiles = dealt.select("key", "x", "y", "second", "tid", "root").join(words, "tid").groupBy("key", "x", "y").agg(F.collect_list(text).alias("texts"))
+    return in_arrow(tiles.select("texts"), _tile_links(params), "u long, v long").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, bags: DataFrame, params: Params) -> DataFrame:
@@ -456,23 +473,23 @@ def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text")
     # the text of one row for each text that shares a bucket
     wanted = keep(texts.join(company.select("tid"), "tid").select("tid", "_digest", F.col("doc_id").alias("_id")))
     source = narrow.join(wanted, "_digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-    bodies = stored(source.select("tid", "_text").dropDuplicates(["tid"]))
-    bags = stored(rows.select("_digest", "_words", "_bag").join(wanted, "_digest").select("tid", "_words", "_bag").dropDuplicates(["tid"]))
+    bodies = stored(source.dropDuplicates(["_digest"]).select("tid", "_text"))  # dealt by digest already
+    bags = stored(rows.select("_digest", "_words", "_bag").join(wanted, "_digest").dropDuplicates(["_digest"]).select("tid", "_words", "_bag"))
 
     star = members.filter("tid != hub").groupBy("tid", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = keep(star.groupBy("tid").agg(F.max(F.struct("n", "hub")).alias("x")).select(*_ordered("tid", "x.hub")).distinct())
     del shared, company, hubs, wanted, source, star
     release(docs.sparkSession)
-    links = cut(_links(best, bodies, bags, params))
-    roots = components(links)
+    links = [keep(_links(best, bodies, bags, params))]
+    roots = components(reduce(DataFrame.unionByName, links))
 
     placed = keep(_rooted(members, roots).select("key", "tid", "hub", "root"), 8)
     hub = placed.filter("tid = hub").select("key", F.col("root").alias("hub_root"))
     rest = placed.join(hub, "key").filter("root != hub_root").select(*_ordered("tid", "hub")).distinct().join(best, ["u", "v"], "left_anti")
     rest = keep(rest)
     tried = best.unionByName(rest)
-    links = cut(links.unionByName(_links(rest, bodies, bags, params)))
-    roots = components(links)
+    links.append(keep(_links(rest, bodies, bags, params)))
+    roots = components(reduce(DataFrame.unionByName, links))
 
     del placed, hub, best, rest
     release(docs.sparkSession)
@@ -481,20 +498,17 @@ def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text")
     crowded = keep(crowded, 8)
     pairs = keep(pairs.join(tried, ["u", "v"], "left_anti"))
     tried = tried.unionByName(pairs)
-    links = cut(links.unionByName(_links(pairs, bodies, bags, params)))
+    links.append(keep(_links(pairs, bodies, bags, params)))
     del placed, pairs
     release(docs.sparkSession)
     if crowded.limit(1).count():
-        likely = cut(_tiled(crowded, bags, bodies, params).join(tried, ["u", "v"], "left_anti"))
-        work, room = likely.agg(F.sum("words")).first()[0] or 0, max(params.round_words, bags.agg(F.sum("_words")).first()[0])
-        rounds = -(-work // room)
-        for i in range(rounds):
-            release(docs.sparkSession)
-            some = likely.filter(F.pmod(F.xxhash64("u", "v"), F.lit(rounds)) == i).select("u", "v")
-            links = cut(links.unionByName(_aligned(some, bodies, params)))
-    links = keep(links.distinct())
-    roots = components(links)
-    degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
+        roots = components(reduce(DataFrame.unionByName, links))
+        main = roots.select(F.col("node").alias("main"), F.col("root").alias("_main"))
+        crowded = _rooted(crowded.drop("root"), roots).join(main, "main", "left").withColumn("main", F.coalesce("_main", "main")).drop("_main")
+        links.append(keep(_aligned(keep(_tiled(crowded, bags, bodies, params)), bodies, params)))  # by whole words once more
+    every = keep(reduce(DataFrame.unionByName, links).distinct())
+    roots = components(every)
+    degree = every.select("u").unionByName(every.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
     named = roots.join(degree, F.col("node") == F.col("u")).select(F.col("node").alias("tid"), "root", "n_links")
     return rows.select("doc_id", "_digest"), cut(named.join(texts.select("tid", "_digest"), "tid").select("_digest", "root", "n_links"))
 

@@ -351,14 +351,14 @@ def test_shared_words_of_a_tile_against_counters():
     rng = random.Random(15)
     texts = [invented(rng, rng.randrange(0, 60), 40) for _ in range(150)]
     batch = pa.RecordBatch.from_arrays([pa.array([" ".join(t) for t in texts])], names=["_text"])
-    raw = next(near_dedup._labelled(iter([batch]))).column("labels").to_pylist()
-    for width, slack in (("<u2", 2), ("u1", 60)):  # with labels of 8 bits some meet by chance
-        labels = [np.frombuffer(x, "<u2").astype(width) for x in raw]
+    words = [np.frombuffer(x, "<u4") for x in next(near_dedup._words(iter([batch]))).column("words").to_pylist()]
+    exact = np.array([[sum((Counter(a) & Counter(b)).values()) for b in texts[70:]] for a in texts[:70]])
+    for bits, slack in ((32, 0), (8, 60)):  # with labels of 8 bits some meet by chance
+        labels = [x >> np.uint64(32 - bits) for x in near_dedup.labelled(words)]
         for dense in (0, 100, 4096):
             near_dedup.DENSE, before = dense, near_dedup.DENSE
             got = near_dedup.shared_words(labels[:70], labels[70:])
             near_dedup.DENSE = before
-            exact = np.array([[sum((Counter(a) & Counter(b)).values()) for b in texts[70:]] for a in texts[:70]])
             assert (got >= exact).all() and (got <= exact + slack).all()
 
 
@@ -371,7 +371,7 @@ def test_near_dedup_finds_pairs_that_share_only_a_crowds_passage(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     found = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
     assert found == {i: i - i % 2 if i < 20 else i for i in range(240)}
-    small = near_dedup.Params(tile=8, round_words=1)  # many tiles and rounds find the same
+    small = near_dedup.Params(tile=8)  # many tiles find the same
     assert {r.doc_id: r.class_id for r in near_dedup.classes(docs, small).collect()} == found
 
 
