@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions.text import contains_any
-from lantern.functions.vectors import dot
 from lantern.operators.tables import latest
 
 
@@ -121,11 +123,44 @@ def named(rows: DataFrame, figures: DataFrame) -> DataFrame:
     return rows.join(figures.select("figure_id", "name"), "figure_id", "left").withColumn("name", F.coalesce("name", "figure_id"))
 
 
-def similar_pairs(rows: DataFrame, least: float, group: str = "group_id") -> DataFrame:
-    """[J15] Pairs of one group with cosine ``least`` or more: a, b (a before b) and similarity."""
-    a = rows.select(F.col(group), F.col("id").alias("a"), F.col("vector").alias("va"))
-    b = rows.select(F.col(group), F.col("id").alias("b"), F.col("vector").alias("vb"))
-    return a.join(b, group).filter(F.col("a") < F.col("b")).withColumn("similarity", dot("va", "vb")).filter(F.col("similarity") >= least).select(group, "a", "b", "similarity")
+def _alike(least: float, group: str):
+    """Pairs of a tile (vectors x, vectors y, same) with a product of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, a, b, found = [], [], [], []
+            sides = [(batch.column(group)[i], batch.column("same")[i].as_py(), batch.column("x")[i].values, batch.column("y")[i].values) for i in range(batch.num_rows)]
+            for key, same, x, y in sides:
+                products = np.array(x.field("v").to_pylist(), float) @ np.array(y.field("v").to_pylist(), float).T
+                ids = x.field("id").to_pylist(), y.field("id").to_pylist()
+                for i, j in zip(*np.nonzero(products >= least), strict=True):
+                    first, second = ids[0][i], ids[1][j]
+                    if first < second or not same and first > second:
+                        keys.append(key.as_py())
+                        a.append(min(first, second))
+                        b.append(max(first, second))
+                        found.append(float(products[i, j]))
+            kind = batch.schema.field("x").type.value_type.field("id").type
+            arrays = [pa.array(keys, batch.schema.field(group).type), pa.array(a, kind), pa.array(b, kind), pa.array(found, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[group, "a", "b", "similarity"])
+
+    return run
+
+
+def similar_pairs(rows: DataFrame, least: float, group: str = "group_id", block: int = 512) -> DataFrame:
+    """[J15] Pairs of one group with cosine ``least`` or more: a, b (a before b) and similarity.
+
+    A group's vectors are dealt into blocks of about ``block``, and every two blocks are a tile, so a group with most rows is many
+    tasks, and only pairs that are alike leave them.
+    """
+    some = rows.select(group, "id", F.col("vector").alias("v")).filter("id is not null and v is not null")
+    blocks = some.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).alias("n"))
+    dealt = some.join(blocks, group).withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")))
+    dealt = dealt.groupBy(group, "k").agg(F.collect_list(F.struct("id", "v")).alias("side"))
+    x, y = dealt.select(group, "k", F.col("side").alias("x")), dealt.select(group, F.col("k").alias("l"), F.col("side").alias("y"))
+    tiles = x.join(y, group).filter("k <= l").select(group, (F.col("k") == F.col("l")).alias("same"), "x", "y")
+    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
+    return tiles.mapInArrow(_alike(least, group), f"`{group}` {kinds[group]}, a {kinds['id']}, b {kinds['id']}, similarity double")
 
 
 def follow_links(rows: DataFrame, least: float = 0.45) -> DataFrame:

@@ -231,6 +231,16 @@ def test_follow_links_round_after_ranking(spark):
     assert got == {(0, "next"): 2, (2, "previous"): 0, (1, "next"): 2, (2, "next"): 3} or got[0, "next"] == 2
 
 
+def test_similar_pairs_in_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(int(g), i, [float(x) for x in v / np.sqrt(v @ v)]) for i, (g, v) in enumerate(zip(rng.integers(0, 2, 90), rng.normal(size=(90, 4)), strict=True))]
+    rows = spark.createDataFrame([*vectors, (0, None, [1.0]), (0, 99, None)], "group_id int, id int, vector array<double>")
+    expected = {(g, a, b) for g, a, v in vectors for h, b, w in vectors if g == h and a < b and np.dot(v, w) >= 0.5}
+    for block in (512, 7):
+        got = [(r.group_id, r.a, r.b) for r in timeline.similar_pairs(rows, 0.5, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_refresh_rules(spark):
     now = datetime(2024, 5, 10, 12)
     events = spark.createDataFrame([(i, "approved", now - timedelta(days=d)) for i, d in enumerate([100, 1, 1, 30])], "event_id int, status string, event_date timestamp")
@@ -327,13 +337,13 @@ def test_dump_leaves_out_nulls(spark):
     assert [r.statement for r in landed.sql_dump(rows, "t").orderBy("a").collect()] == ["INSERT INTO t (a, b) VALUES ('1', 'it''s');", "INSERT INTO t (a) VALUES ('2');"]
 
 
-@pytest.mark.parametrize("name", ["velocity_authors", "composite_anomaly", "stale_refresh", "upsert", "corroboration", "event_types_by_event", "review_queue_nested", "timeline_latest", "figure_events_fanout", "figure_meta", "detect_language", "event_type_rules", "attribute_by_table", "json_props", "filter_chips"])
+@pytest.mark.parametrize("name", ["velocity_authors", "composite_anomaly", "stale_refresh", "upsert", "corroboration", "event_types_by_event", "review_queue_nested", "timeline_latest", "figure_events_fanout", "figure_meta", "detect_language", "event_type_rules", "attribute_by_table", "cosine_pairs", "follow_links", "json_props", "filter_chips"])
 def test_catalogue_against_sql(spark, name):
     import duckdb
 
     sf_dir = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for table in ("events", "orders", "lineitem", "customer", "documents", "part"):
+    for table in ("events", "orders", "lineitem", "customer", "documents", "part", "embeddings"):
         db.execute(f"create view {table} as select * from read_parquet('{sf_dir}/{table}.parquet')")
     frame = catalogue.QUERIES[name](spark, sf_dir)
     expected = db.execute(f"select {', '.join(sorted(frame.columns))} from ({catalogue.SQL[name]})").fetchall()
