@@ -114,12 +114,17 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             at = n if not close else close.start()
 
 
+_QUOTED = re.compile(r"=\s*(\"[^\"]*\"|'[^']*')|>")
+
+
 def _tag_end(page: str, at: int) -> int:
     """Place of the ``>`` that ends a tag; one inside quotes does not."""
     end = page.find(">", at)
     if end < 0:
         return len(page)
-    for m in re.compile(r"=\s*(\"[^\"]*\"|'[^']*')|>").finditer(page, at):
+    if page.find("=", at, end) < 0:
+        return end
+    for m in _QUOTED.finditer(page, at):
         if m[0] == ">":
             return m.start()
     return end
