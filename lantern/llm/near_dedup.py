@@ -159,8 +159,12 @@ def digest(text: str = "text") -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)), 1, 16)
 
 
+#: Edits up to which a band is walked diagonal by diagonal; a wider one is kept as bits.
+NARROW = 24
+
+
 def edit_distance(a: list, b: list, most: int) -> int | None:
-    """Edit distance of two sequences if it is at most ``most``, by furthest reach on diagonals -most to most."""
+    """Edit distance of two sequences if it is at most ``most``."""
     if abs(len(a) - len(b)) > most:
         return None
     head = 0
@@ -170,12 +174,24 @@ def edit_distance(a: list, b: list, most: int) -> int | None:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    n, m = len(a), len(b)
-    if not n or not m:
-        return max(n, m) if max(n, m) <= most else None
-    unmatched = max(n, m) - sum((Counter(a) & Counter(b)).values())
+    if not a or not b:
+        return max(len(a), len(b)) if max(len(a), len(b)) <= most else None
+    unmatched = max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values())
     if unmatched > most:  # each edit can bring one more pair of equal words
         return None
+    if unmatched <= NARROW:
+        found = _on_diagonals(a, b, min(most, NARROW))
+        if found is not None or most <= NARROW:
+            return found
+    found = _by_bits(a, b)
+    return found if found <= most else None
+
+
+def _on_diagonals(a: list, b: list, most: int) -> int | None:
+    """The distance, by furthest reach on diagonals -most to most."""
+    n, m = len(a), len(b)
+    if abs(m - n) > most:
+        return None
     goal, reach = m - n, {0: 0}
     i = 0
     while i < n and i < m and a[i] == b[i]:
@@ -201,6 +217,24 @@ def edit_distance(a: list, b: list, most: int) -> int | None:
     return None
 
 
+def _by_bits(a: list, b: list) -> int:
+    """The distance; the differences down a column of the alignment are the bits of two numbers."""
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last, distance = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    rise, fall = full, 0
+    for x in b:
+        equal = at.get(x, 0)
+        down = equal | fall
+        across = (((equal & rise) + rise) ^ rise) | equal
+        more, less = fall | (full & ~(across | rise)), rise & across
+        distance += bool(more & last) - bool(less & last)
+        more, less = more << 1 | 1, less << 1
+        rise, fall = (less | ~(down | more)) & full, more & down & full
+    return distance
+
+
 def similar(a: list, b: list, least: float) -> bool:
     longer = max(len(a), len(b))
     return longer > 0 and edit_distance(a, b, int((1 - least) * longer + 1e-9)) is not None
@@ -303,15 +337,16 @@ def _tile_links(params: Params):
     """Links (u, v) that connect the classes of a tile.
 
     Pairs of different classes whose words allow the similarity are aligned, those that share most first, unless
-    links found before connect their classes.
+    links found before connect their classes, or their first common bucket is another one, where they are compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for column in batch.column("texts"):
+            for key, column in zip(batch.column("key").to_pylist(), batch.column("texts"), strict=True):
                 part = column.values
                 tid, root, second = (part.field(f).to_numpy(zero_copy_only=False) for f in ("tid", "root", "second"))
+                keys = [np.array(k, np.int64) for k in part.field("_keys").to_pylist()]
                 texts = [np.frombuffer(x, "<u4") for x in part.field("words").to_pylist()]
                 a = np.flatnonzero(~second)
                 b = np.flatnonzero(second) if second.any() else a  # a tile of one block meets itself
@@ -332,7 +367,7 @@ def _tile_links(params: Params):
 
                 for x, y in zip(a[i[order]].tolist(), b[j[order]].tolist(), strict=True):
                     p, q = find(int(root[x])), find(int(root[y]))
-                    if p != q and similar(texts[x].tolist(), texts[y].tolist(), params.similarity):
+                    if p != q and np.intersect1d(keys[x], keys[y]).min() == key and similar(texts[x].tolist(), texts[y].tolist(), params.similarity):
                         head[max(p, q)] = min(p, q)
                         out.append((int(max(tid[x], tid[y])), int(min(tid[x], tid[y]))))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
@@ -340,7 +375,7 @@ def _tile_links(params: Params):
     return run
 
 
-def _tiled(crowded: DataFrame, bags: DataFrame, bodies: DataFrame, params: Params) -> DataFrame:
+def _tiled(crowded: DataFrame, bags: DataFrame, bodies: DataFrame, keys: DataFrame, params: Params) -> DataFrame:
     """Links (u, v) that connect all classes of the crowded buckets (columns key, tid, root, main) between which there is one.
 
     A bucket that fits is one tile. The texts of a larger one are dealt into blocks, and every two blocks are a tile. Blocks hold texts
@@ -358,10 +393,11 @@ def _tiled(crowded: DataFrame, bags: DataFrame, bodies: DataFrame, params: Param
     blocks = counts.select("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct("main", "size", i.alias("block")))).alias("q"))
     meets = ~(F.col("p.main") & F.col("q.main")) & (F.abs(F.col("p.size") - F.col("q.size")) <= 1)
     dealt = rows.join(blocks, "key").filter(meets).select("key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), (F.col("p") > F.col("q")).alias("second"), "tid", "root", "_words")
-    words = stored(in_arrow(bodies.join(crowded.select("tid").distinct(), "tid").select("tid", "_text"), _words, "tid long, words binary"))
-    text = F.struct("tid", "root", "second", "words")
+    some = bodies.join(crowded.select("tid").distinct(), "tid").join(keys, "tid").select("tid", "_keys", "_text")
+    words = stored(in_arrow(some, _words, "tid long, _keys array<long>, words binary"))
+    text = F.struct("tid", "root", "second", "_keys", "words")
     tiles = dealt.select("key", "x", "y", "second", "tid", "root").join(words, "tid").groupBy("key", "x", "y").agg(F.collect_list(text).alias("texts"))
-    return in_arrow(tiles.select("texts"), _tile_links(params), "u long, v long").distinct()
+    return in_arrow(tiles.select("key", "texts"), _tile_links(params), "u long, v long").distinct()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, bags: DataFrame, params: Params) -> DataFrame:
@@ -505,7 +541,7 @@ def text_classes(docs: DataFrame, params: Params = Params(), text: str = "text")
         roots = components(reduce(DataFrame.unionByName, links))
         main = roots.select(F.col("node").alias("main"), F.col("root").alias("_main"))
         crowded = _rooted(crowded.drop("root"), roots).join(main, "main", "left").withColumn("main", F.coalesce("_main", "main")).drop("_main")
-        links.append(keep(_aligned(keep(_tiled(crowded, bags, bodies, params)), bodies, params)))  # by whole words once more
+        links.append(keep(_aligned(keep(_tiled(crowded, bags, bodies, texts.select("tid", "_keys"), params)), bodies, params)))  # by whole words once more
     every = keep(reduce(DataFrame.unionByName, links).distinct())
     roots = components(every)
     degree = every.select("u").unionByName(every.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))

@@ -290,6 +290,17 @@ def test_banded_alignment(a, b, most):
     assert near_dedup.edit_distance(a, b, most) == (exact if exact <= most else None)
 
 
+def test_wide_bands_against_a_table():
+    rng = random.Random(19)
+    for _ in range(60):
+        a = [rng.randrange(40) for _ in range(rng.randrange(1, 140))]
+        b = [x if rng.random() > 0.5 else rng.randrange(40) for x in a][: rng.randrange(1, 140)] + [rng.randrange(40) for _ in range(rng.randrange(30))]
+        exact = levenshtein(a, b)
+        assert near_dedup._by_bits(a, b) == exact
+        for most in (10, 30, 60, 200):
+            assert near_dedup.edit_distance(a, b, most) == (exact if exact <= most else None)
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 460)]
