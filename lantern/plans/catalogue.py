@@ -49,7 +49,7 @@ def comments(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     keys = {"type": F.col("event_type"), "day": F.date_format("ts", "yyyy-MM-dd"), "hour": F.date_format("ts", "yyyy-MM-dd HH")}
     return read(spark, sf_dir, "events").select(
         keys[key].alias("event_id"), F.col("event_id").alias("comment_id"), F.col("user_id").alias("author_id"), F.expr(STANCE).alias("stance"), F.col("ts").alias("published_at"),
-        F.when(F.col("event_type") == "error", F.sha2(F.concat_ws(" ", t.json_field("props", "k"), F.floor("value").cast("string")), 256)).otherwise("").alias("text"),
+        F.when(F.col("event_type") == "error", F.sha2(t.json_field("props", "k"), 256)).otherwise("").alias("text"),
     )
 
 
@@ -110,7 +110,7 @@ def extreme_comments(spark, sf_dir):
 
 @query(f"""{_MAJORITY},
     k as (select {HOUR} as event_id, event_id as comment_id, user_id as author_id, ts,
-        case when event_type = 'error' then concat_ws(' ', json_extract_string(props, '$.k'), cast(floor(value) as bigint)) end as said from events),
+        case when event_type = 'error' then json_extract_string(props, '$.k') end as said from events),
     x as (select author_id from k group by 1 having count(distinct event_id) >= 95),
     f as (select author_id, event_id, min(ts) as first_at from k group by 1, 2),
     v as (select distinct author_id from (select author_id, epoch_us(first_at) - lag(epoch_us(first_at)) over (partition by author_id order by first_at, event_id) as gap from f) where gap <= 60000000),
