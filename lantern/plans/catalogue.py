@@ -18,6 +18,7 @@ from lantern.functions import text as t
 from lantern.functions.udfs import FREQUENT, language, paragraphs
 from lantern.functions.vectors import mean_vector
 from lantern.operators import clustering, sentiment, signals, tables, timeline
+from lantern.plans import pipeline
 from lantern.sources import landed
 from lantern.streaming import streams
 
@@ -330,9 +331,12 @@ def token_sets(spark, sf_dir):
     with d as (select doc_id, source, {_TOKENS} as words from documents), p as (select *, lag(words) over (partition by source order by doc_id) as before from d)
     select doc_id, cast(len(list_intersect(words, before)) as bigint) as n_shared from p where before is not null""")
 def shared_tokens(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", t.tokens("text").alias("words"))
-    before = F.lag("words").over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.withColumn("before", before).filter("before is not null").select("doc_id", long(t.shared("words", "before")).alias("n_shared"))
+    docs = read(spark, sf_dir, "documents")
+    before = F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))  # narrow rows; the words are joined
+    pairs = docs.select("doc_id", before.alias("before")).filter("before is not null")
+    words = docs.select("doc_id", t.tokens("text").alias("words"))
+    both = pairs.join(words, "doc_id").join(words.select(F.col("doc_id").alias("before"), F.col("words").alias("held")), "before")
+    return both.select("doc_id", long(t.shared("words", "held")).alias("n_shared"))
 
 
 @query("""
@@ -528,3 +532,97 @@ def filter_chips(spark, sf_dir):
 def capped_gather(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     return tables.capped_gather(rows, "user_id", "event_type", "event_type", "event_id", 3, 10).select("event_id", "user_id")
+
+
+@query("""
+    with s as (select event_id, cast(event_id % 201 - 100 as int) as score, value from events)
+    select event_id, case when score <= -40 then '😡' when score <= -10 then '🙁' when score < 16 then '😐' when score < 46 then '🙂' else '😄' end as emoji,
+        case when score > 30 then '😊' when score > 10 then '🙂' when score > -10 then '😐' when score > -30 then '🙁' else '😠' end as record,
+        lpad(cast(event_id % 100 as varchar), 2, '0') as no, least(event_id, 100) as clamped from s""")
+def display_values(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 201 - 100).cast("int").alias("score"))
+    return rows.select("event_id", display.band("score", display.SCORE_EMOJI).alias("emoji"), display.band("score", display.RECORD_EMOJI).alias("record"), display.ordinal(F.col("event_id") % 100).alias("no"), long(display.clamped("event_id", 100)).alias("clamped"))
+
+
+@query("""
+    select event_id, concat(day(ts), ' ', strftime(ts, '%b')) as badge, ['Januari','Februari','Maret','April','May','Juni','Juli','Aug','September','Oct','November','Dec'][month(ts)] as month,
+        cast(year(ts) as varchar) as year from events""")
+def short_dates(spark, sf_dir):
+    """English short months that the table does not know stay as they are."""
+    shown = display.short_date(F.date_format("ts", "d MMM yyyy"))
+    return read(spark, sf_dir, "events").select("event_id", shown.alias("d")).select("event_id", "d.badge", "d.month", "d.year")
+
+
+@query("select o_orderkey as event_id, coalesce(c_name, cast(o_custkey as varchar)) as name from orders left join (select * from customer where c_custkey % 3 > 0) on c_custkey = o_custkey")
+def named_figures(spark, sf_dir):
+    figures = read(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").cast("string").alias("figure_id"), F.col("c_name").alias("name"))
+    rows = orders_as_events(spark, sf_dir).select("event_id", F.col("figure_id").cast("string").alias("figure_id"))
+    return timeline.named(rows, figures).select("event_id", "name")
+
+
+@query("select l_orderkey as event_id, l_linenumber as article_id, cast(row_number() over (partition by l_orderkey order by l_shipdate nulls first, l_linenumber) as int) as citation_no from lineitem")
+def numbered_sources(spark, sf_dir):
+    lines = lines_as_articles(spark, sf_dir).select("event_id", "published_at", F.col("no").alias("article_id"))
+    return pipeline.numbered_sources(lines).select("event_id", "article_id", "citation_no")
+
+
+_STATUS = "case o_orderstatus when 'F' then 'approved' when 'O' then 'summarized' else 'new' end"
+
+
+@query(f"select o_custkey as event_id, {_STATUS} as status from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, {_STATUS} desc) = 1")
+def current_status(spark, sf_dir):
+    log = orders_as_events(spark, sf_dir).select(F.col("figure_id").alias("event_id"), F.col("event_date").alias("at"), "status")
+    return pipeline.current_status(log)
+
+
+@query("""
+    with c as (select l_orderkey, max(l_shipdate) as last_at from lineitem group by 1)
+    select o_orderkey as event_id from orders join c on l_orderkey = o_orderkey where o_orderstatus <> 'F' or last_at > o_orderdate + interval 100 days""")
+def to_analyse(spark, sf_dir):
+    events = orders_as_events(spark, sf_dir)
+    analysed = events.filter(F.col("status") == "approved").select("event_id", (F.col("event_date") + F.expr("interval 100 days")).alias("analyzed_at"))
+    collected = lines_as_articles(spark, sf_dir).select("event_id", F.col("published_at").alias("collected_at"))
+    return signals.to_analyse(events.select("event_id"), analysed, collected)
+
+
+@query("select p_partkey as article_id from part where p_size % 4 < 2 order by p_partkey limit 50")
+def fetch_queue(spark, sf_dir):
+    state = F.when(F.col("p_size") % 4 == 1, "error:empty").when(F.col("p_size") % 4 > 1, "ok")
+    articles = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("article_id"), state.alias("fetch_status"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    return pipeline.to_fetch(articles, retry_failed=True, limit=50).select("article_id")
+
+
+@query("select doc_id as article_id from documents where length(text) > 0 and lang <> 'fr' and source not in ('src0', 'src3') order by doc_id limit 100")
+def translate_queue(spark, sf_dir):
+    body, done = F.when(F.length("text") > 0, F.col("text")), F.when(F.col("lang") == "fr", "was")
+    articles = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.concat(F.lit("YouTube/"), "source").alias("source"), body.alias("body"), done.alias("body_original"))
+    return pipeline.to_translate(articles, ("src0", "src3"), 100).select("article_id")
+
+
+@query("""
+    with m as (select l_partkey from lineitem where l_partkey % 5 < 4), k as (select l_partkey, count(*) as n from m group by 1)
+    select (select count(*) from lineitem) as fetched, cast(sum(n) as bigint) as matched, count(*) filter (l_partkey % 2 = 1) as inserted,
+        cast(sum(n) as bigint) - count(*) filter (l_partkey % 2 = 1) as skipped_existing from k""")
+def ingest_counts(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("article_id"))
+    known = read(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("article_id"))
+    return landed.ingest_counts(lines, lines.filter("article_id % 5 < 4"), known)
+
+
+@query("""
+    select n_nationkey, case when contains(lower(n_name), 'an') then 'first' when contains(lower(n_name), 'i') then 'second' else 'third' end as channel
+    from nation where contains(lower(n_name), 'an') or contains(lower(n_name), 'i') or contains(lower(n_name), 'e')""")
+def channel_names(spark, sf_dir):
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("channel"))
+    return landed.international_videos(rows, [("an", "first"), ("i", "second"), ("e", "third")])
+
+
+@query("""
+    select page_id, md5(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;'), chr(10), '<br>')) as escaped from pages""")
+def html_escaped(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(t.html_escaped("html")).alias("escaped"))
+
+
+@query("select doc_id, case lang when 'en' then 'English' when 'fr' then 'Français' when 'es' then 'Español' when 'de' then 'Deutsch' else coalesce(upper(lang), 'original') end as language from documents")
+def language_names(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", display.language_name("lang").alias("language"))
