@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lantern.llm import chat, decontamination, fertility, language_id, license_scan, main_text, mixing, near_dedup, sharding, toxicity
+from lantern.llm import chat, decontamination, fertility, language_id, license_scan, main_text, mixing, near_dedup, resampling, sharding, source_audit, substring_dedup, toxicity
 from lantern.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,12 +58,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(turns.unionByName(more)))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(resampling.points(table(spark, sf_dir, "clicks")))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_toxicity, op2_license_scan, op3_decontamination, op4_source_mix, op5_near_dedup,
             op6_quality_fertility, op7_language_id, op8_sharding, op9_main_text, op10_chat_format,
+            op11_substring_dedup, op12_resample, op13_source_audit,
         )
     }
 
@@ -81,5 +96,51 @@ _OP10 = r"""
     from e group by conv_id"""
 
 
+#: op11 in SQL: windows are whole strings of 50 words.
+_OP11 = r"""
+    with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+    w as (select r, doc_id, i, array_to_string(words[i:i + 49], ' ') as said from (select r, doc_id, words, unnest(range(1, len(words) - 48)) as i from d)),
+    f as (select said, min(doc_id) as first_id from w group by 1),
+    g as (select distinct r, unnest(range(i, i + 50)) as place from w join f using (said) where doc_id > first_id),
+    n as (select r, count(*) as n, list(place) as places from g group by 1),
+    k as (select d.r, string_agg(word, ' ' order by place) as kept from (select r, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from d) d
+        anti join g on g.r = d.r and g.place = d.place group by 1)
+    select doc_id, len(words)::bigint as n_words, coalesce(n.n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+    from d left join n on n.r = d.r left join k on k.r = d.r"""
+
+#: op12 in SQL: each point cut at the bucket boundaries that its 300 seconds meet.
+_OP12 = """
+    with p as (
+        select client_id, floor(epoch_us(ts) / 1000000)::bigint as sec, arg_max(floor(100 * value + 0.5)::bigint, click_id) as cents
+        from clicks where client_id is not null and ts is not null and value is not null group by 1, 2),
+    s as (
+        select client_id, sec, cents, least(coalesce(lead(sec) over (partition by client_id order by sec) - sec, 300), 300) as d from p),
+    x as (
+        select client_id, sec, cents, d, unnest(generate_series(sec - sec % 21600, sec + d - 1, 21600)) as b from s),
+    y as (
+        select client_id, b, (sec >= b)::int as point, greatest(least(sec + d, b + 21600) - greatest(sec, b), 0) as u, cents from x)
+    select client_id, b as bucket_start, sum(point)::bigint as n_points, sum(u)::bigint as covered_seconds, sum(2 * cents::hugeint * u)::bigint as area2,
+        case when sum(u) > 0 then (sum(2 * cents::hugeint * u)::hugeint // (2 * sum(u))::hugeint - (sum(2 * cents::hugeint * u)::hugeint % (2 * sum(u))::hugeint < 0)::int)::bigint end as avg_cents
+    from y group by 1, 2"""
+
+#: op13 in SQL: every pair of sources over every kept term.
+_OP13 = r"""
+    with d as (select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+    t as (select r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+    k as (select lang, term from t group by 1, 2 having count(distinct r) >= 30),
+    v as (select lang, count(*) as v from k group by 1),
+    c as (select lang, source, term, count(*) as n from t join k using (lang, term) group by 1, 2, 3),
+    g as (select distinct lang, source from d),
+    s as (select g.lang, g.source, coalesce(sum(n), 0) as total, coalesce(any_value(v), 0) as v from g left join c on c.lang = g.lang and c.source = g.source left join v on v.lang = g.lang group by 1, 2),
+    p as (select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (s.total::hugeint + 5 * s.v) as p
+        from s join k on k.lang = s.lang left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+    q as (select lang, term, 1 + (1000000000::hugeint * (sum(n)::hugeint + 5)) // (sum(sum(n)) over (partition by lang)::hugeint + 5 * count(*) over (partition by lang)) as q from p group by 1, 2),
+    a as (select x.lang, x.source, y.source as item, coalesce(sum(abs(px.p - py.p)), 0)::bigint as value
+        from g x join g y on x.lang = y.lang and x.source <> y.source left join p px on px.lang = x.lang and px.source = x.source left join p py on py.lang = y.lang and py.source = y.source and py.term = px.term group by 1, 2, 3),
+    b as (select p.lang, p.source, p.term as item, (p.p - q.q)::bigint as value from p join q using (lang, term) where p.n > 0 and p.p > q.q),
+    r as (select lang, source, 'pair' as part, item, value from a union all select lang, source, 'term', item, value from b)
+    select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from r qualify part = 'pair' or rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": _OP10}
+    return {"op10_chat_format": _OP10, "op11_substring_dedup": _OP11, "op12_resample": _OP12, "op13_source_audit": _OP13}
