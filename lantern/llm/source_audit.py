@@ -40,7 +40,7 @@ class Params:
     least_documents: int = 30
     top: int = 50
     #: entries of a task's table of counts, vectors of a block, and cells of a task's table of pairs
-    entries: int = 1 << 18
+    entries: int = 1 << 19
     vectors: int = 4096
     cells: int = 1 << 22
 
@@ -50,29 +50,31 @@ _LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 el
 
 
 def _counter(entries: int):
-    """Rows (lang, source, term, n, n_docs) of the batches; one with a null term for each source."""
+    """Rows (lang, source, term, n, n_docs) of the batches, from a table of ``entries`` terms and a document's, at most."""
+    documents = 1 << 40  # a count holds the term's documents above its occurrences
 
-    def table(found: dict) -> pa.RecordBatch:
-        rows = [(*group, term, n, docs) for group, (counts, held) in found.items() for term, n, docs in ((None, 0, 0), *((t.decode(), n, held[t]) for t, n in counts.items()))]
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "source", "term", "n", "n_docs"])
+    def table(found: dict[tuple[str, str], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), counts in found.items():
+            terms, both = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+            for i in range(0, len(terms), 1 << 16):
+                term, n = pa.array(terms[i : i + (1 << 16)], pa.binary()).cast(pa.string()), both[i : i + (1 << 16)]
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.repeat(pa.scalar(source, pa.string()), len(n)), term, pa.array(n % documents), pa.array(n // documents)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "n_docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        found: dict[tuple[str, str], dict[bytes, int]] = {}
         size = 0
         for batch in batches:
             for text, lang, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts, held = found.setdefault((lang, source), (Counter(), Counter()))
+                counts = found.setdefault((lang, source), {})
                 size -= len(counts)
-                own = Counter(text.encode().translate(_LETTERS).split())
-                counts.update(own)
-                held.update(own.keys())
+                for term, n in Counter(text.encode().translate(_LETTERS).split()).items():
+                    counts[term] = counts.get(term, 0) + n + documents
                 size += len(counts)
                 if size >= entries:
-                    yield table(found)
+                    yield from table(found)
                     found, size = {}, 0
-        if found:
-            yield table(found)
+        yield from table(found)
 
     return run
 
@@ -146,10 +148,10 @@ def audit(docs: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B00
     """lang, source, part (``pair`` or ``term``), item, value, rank: for each source of a language its distance to every other, and its terms."""
     texts = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     counted = in_arrow(texts, _counter(params.entries), "lang string, source string, term string, n long, n_docs long")
-    counted = cut(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs")))
+    counted = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
     number = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("no")  # a row a source
-    sources = cut(counted.filter("term is null").select("lang", "source", number))
-    terms = counted.filter("term is not null").join(small(sources), ["lang", "source"])
+    sources = cut(texts.select("lang", "source").distinct().select("lang", "source", number))
+    terms = counted.join(small(sources), ["lang", "source"])
     vector = F.array_sort(F.collect_list(F.struct("no", "n"))).alias("vector")  # an entry a source at most
     kept = terms.groupBy("lang", "term").agg(F.sum("n_docs").alias("_docs"), vector).filter(F.col("_docs") >= params.least_documents)
     kept = cut(kept.select("lang", "term", "vector"))
