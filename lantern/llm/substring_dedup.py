@@ -6,13 +6,14 @@ a document with a smaller doc_id. Windows are judged on the input.
 Count-min prefilter. A window is counted under the least hash of its pieces, which are half as long (a window of 50 words has 26 pieces of
 25): texts that share a window share that least piece, too, so the count of the piece is never below that of the window, and there are some
 13 times fewer counters than windows. Tasks count the pieces of their documents, once a document, in count-min rows, and send the cells
-that are not zero. Cells are summed by segment, and only a bit a cell goes on: whether it is 2 or more. A window whose cells are all set
-is estimated repeated. The sketch grows with the bytes of the texts up to ``most_bytes``, which bounds what is broadcast; beyond that it lets more
-windows through and loses none.
+that are not zero. Cells are summed by segment, and two bits a cell go on: whether it is 2 or more, and whether it is ``crowd`` or more. A window whose
+cells are all 2 or more is estimated repeated. The sketch grows with the bytes of the texts up to ``most_bytes``, which bounds what is broadcast; beyond
+that it lets more windows through and loses none.
 
 The second pass groups windows estimated repeated, exactly, by their piece and 64 bits of the window's own. Windows that follow
 each other under one piece are one row. Tasks settle what they can among their own documents, so of a passage that a third of all
-documents hold each task sends its first copy only. The rows are then dealt by piece and read in the order of piece and doc_id as a stream.
+documents hold each task sends its first copy only. The rows are then dealt by piece and read in the order of piece and doc_id as a stream. A piece that
+is a crowd's by the sketch, as that of near copies which differ around it, is dealt by window: all tasks have one sketch, so equal windows meet.
 
 Null and empty texts, and texts of fewer words than a window, lose nothing. A document without doc_id is no smaller than others and has no smaller
 one: it keeps all and removes nothing. Rows with one doc_id never remove words of each other; rows that are repeated whole are judged
@@ -44,12 +45,14 @@ class Params:
     #: count-min rows, and cells of a row for each piece expected
     rows: int = 2
     cells: float = 2.5
-    #: bound of the merged sketch, one bit a cell, which is broadcast
+    #: bound of the merged sketch, two bits a cell, which is broadcast
     most_bytes: int = 128 << 20
     #: windows that a task settles at once
     task_windows: int = 1 << 20
     #: cells of a segment of the sketch, as a power of 2
     segment: int = 20
+    #: a piece that so many documents hold by the sketch is dealt out by its windows
+    crowd: int = 1000
 
     @property
     def piece(self) -> int:
@@ -62,7 +65,7 @@ class Params:
     def width(self, text_bytes: int) -> int:
         """Cells of a row, as a power of 2, for texts of so many bytes: a word has 6 bytes, and one in (pieces + 1) / 2 starts a least piece."""
         expected = max(1.0, text_bytes / 6 * 2 / (self.pieces + 1))
-        most = int(math.log2(self.most_bytes * 8 / self.rows))
+        most = int(math.log2(self.most_bytes * 4 / self.rows))
         return max(16, min(most, math.ceil(math.log2(expected * self.cells))))
 
 
@@ -114,7 +117,7 @@ def _cells(piece: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 def _partition_sketch(params: Params, width: int):
-    """Rows (segment, once, more): cells, counted from the segment's first, that the task's documents hit once, and more often."""
+    """Rows (segment, once, more, times): cells, counted from the segment's first, that the task's documents hit once, and more often, and how often."""
 
     def sketch(pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = min(params.segment, width)
@@ -125,8 +128,10 @@ def _partition_sketch(params: Params, width: int):
             bounds = np.flatnonzero(np.diff(segment, prepend=-1))
             out: list[tuple] = []
             for a, b in zip(bounds, [*bounds[1:], len(cell)], strict=True):
-                out.append((row << (width - part) | int(segment[a]), place[a:b][count[a:b] == 1].tobytes(), place[a:b][count[a:b] > 1].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["segment", "once", "more"])
+                here, n = place[a:b], count[a:b]
+                out.append((row << (width - part) | int(segment[a]), here[n == 1].tobytes(), here[n > 1].tobytes(), n[n > 1].astype(np.uint32).tobytes()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["segment", "once", "more", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -152,40 +157,40 @@ def _partition_sketch(params: Params, width: int):
     return run
 
 
-def _merged(part: int):
+def _merged(part: int, crowd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, segment = np.zeros(1 << part, np.uint8), None
+        count, segment = np.zeros(1 << part, np.uint32), None
         for batch in batches:
             segment = batch.column(0)[:1]
-            for once, more in zip(batch.column(1), batch.column(2), strict=True):
+            for once, more, times in zip(*batch.columns[1:], strict=True):
                 cell = np.frombuffer(once.as_buffer(), np.uint32)
-                count[cell] = np.minimum(count[cell] + 1, 2)
-                count[np.frombuffer(more.as_buffer(), np.uint32)] = 2
-        yield pa.RecordBatch.from_arrays([segment, pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], names=["segment", "often"])
+                count[cell] = np.minimum(count[cell] + 1, crowd)
+                cell = np.frombuffer(more.as_buffer(), np.uint32)
+                count[cell] = np.minimum(count[cell] + np.frombuffer(times.as_buffer(), np.uint32), crowd)
+        planes = (pa.array([np.packbits(count >= n, bitorder="little").tobytes()], pa.binary()) for n in (2, crowd))
+        yield pa.RecordBatch.from_arrays([segment, *planes], names=["segment", "often", "crowd"])
 
-    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-
-    typed.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return typed
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}  # as types, not as text
+    return run
 
 
 def sketch(docs: DataFrame, params: Params) -> tuple[int, np.ndarray]:
-    """Width of the rows, and the merged sketch of column ``text`` as bits, row after row: whether a cell counts two documents or more."""
+    """Width of the rows, and the merged sketch of column ``text`` as two lines of bits, row after row: whether a cell counts 2 documents, and ``crowd``."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     width = params.width(size)
     part = min(params.segment, width)
-    sent = in_arrow(docs.select("text"), _partition_sketch(params, width), "segment long, once binary, more binary")
-    merged = sent.groupBy("segment").applyInArrow(_merged(part), "segment long, often binary")
-    out = np.zeros(params.rows << max(width - 3, 0), np.uint8)
+    sent = in_arrow(docs.select("text"), _partition_sketch(params, width), "segment long, once binary, more binary, times binary")
+    merged = sent.groupBy("segment").applyInArrow(_merged(part, params.crowd), "segment long, often binary, crowd binary")
+    out = np.zeros((2, params.rows << (width - 3)), np.uint8)
     each = 1 << (part - 3)
     for r in merged.toLocalIterator():  # at most ``most_bytes`` in all
-        out[r.segment * each : (r.segment + 1) * each] = np.frombuffer(r.often, np.uint8)
+        for plane, bits in enumerate((r.often, r.crowd)):
+            out[plane, r.segment * each : (r.segment + 1) * each] = np.frombuffer(bits, np.uint8)
     return width, out
 
 
 def _estimated(piece: np.ndarray, bits: np.ndarray, width: int, rows: int) -> np.ndarray:
-    """Places of the windows whose cells all count two documents or more."""
+    """Places of the windows whose cells are all set in a line of the sketch."""
     at = np.arange(len(piece))
     for row in range(rows):
         cell = _cells(piece[at], row, width) + np.uint64(row << width)
@@ -216,11 +221,12 @@ def _blocks(shared, params: Params, width: int):
     in the task, with their places in the row (a byte before each key); rows without keys are done, and are dealt out at random.
     """
 
-    def settle(piece, key, doc, version, start) -> pa.RecordBatch:
+    def settle(piece, key, doc, version, start, crowd) -> pa.RecordBatch:
         first = _first_of(piece, key, doc)
         gone = doc > first
+        alone = crowd & ~gone  # a row of its own
         new = np.ones(len(piece), bool)
-        new[1:] = (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (start[1:] != start[:-1] + 1)
+        new[1:] = alone[1:] | alone[:-1] | (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (start[1:] != start[:-1] + 1)
         head = np.flatnonzero(new)
         place = np.arange(len(piece)) - head[np.cumsum(new) - 1]
         new |= place % _ROW == 0
@@ -232,7 +238,7 @@ def _blocks(shared, params: Params, width: int):
         offsets = (packed.itemsize * left[np.append(head, len(piece))]).astype(np.int32)
         open_ = np.diff(offsets) > 0
         keys = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed[~gone].tobytes())])
-        deal = np.where(open_, piece[head], mix(version[head].astype(np.uint64) + start[head].astype(np.uint64)))
+        deal = np.where(open_, np.where(alone[head], mix(piece[head] ^ key[head]), piece[head]), mix(version[head].astype(np.uint64) + start[head].astype(np.uint64)))
         columns = [deal.view(np.int64), piece[head].view(np.int64), doc[head], version[head], start[head].astype(np.int32), marks]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), keys], names=["deal", "piece", "doc", "version", "start", "gone", "keys"])
 
@@ -250,9 +256,10 @@ def _blocks(shared, params: Params, width: int):
             for part in slices(batch.column(2)):
                 words = part.words()
                 found = windows(words, params)
-                at = _estimated(found.piece, bits, width, params.rows)
-                row = part.first + found.doc[at]
-                held.append((found.piece[at], found.key[at], ids[row].astype(np.int64), versions[row].astype(np.int64), found.start[at] - words.bounds[found.doc[at]]))
+                at = _estimated(found.piece, bits[0], width, params.rows)
+                row, crowd = part.first + found.doc[at], np.zeros(len(at), bool)
+                crowd[_estimated(found.piece[at], bits[1], width, params.rows)] = True
+                held.append((found.piece[at], found.key[at], ids[row].astype(np.int64), versions[row].astype(np.int64), found.start[at] - words.bounds[found.doc[at]], crowd))
                 n += len(at)
                 if n >= params.task_windows:
                     yield from flush()
@@ -263,27 +270,27 @@ def _blocks(shared, params: Params, width: int):
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks what an earlier document holds, for rows in the order of piece and doc; only the first documents of the current piece are held."""
+    """Marks what an earlier document holds, for rows in the order of deal, piece and doc; only the first documents of the current deal are held."""
     current, firsts = None, {}
     for batch in batches:
-        piece, doc, version, start, gone, keys = (batch.column(i) for i in range(1, 7))
-        piece, doc, gone = piece.to_numpy(), doc.to_numpy(), gone.to_numpy().copy()
+        deal, piece, doc, version, start, gone, keys = batch.columns
+        deal, piece, doc, gone = deal.to_numpy(), piece.to_numpy(), doc.to_numpy(), gone.to_numpy().copy()
         raw = np.frombuffer(b"".join(keys.to_pylist()), np.dtype([("place", "u1"), ("key", "<u8")]))
         count = np.array([len(k) for k in keys.to_pylist()], np.int64) // 9
         owner = np.repeat(np.arange(batch.num_rows), count)
         if len(owner):
             first = _first_of(piece[owner], raw["key"], doc[owner])
             if current is not None:
-                for i in np.flatnonzero(piece[owner] == current):
-                    first[i] = min(first[i], firsts.get(int(raw["key"][i]), first[i]))
+                for i in np.flatnonzero(deal[owner] == current):
+                    first[i] = min(first[i], firsts.get((int(piece[owner[i]]), int(raw["key"][i])), first[i]))
             late = doc[owner] > first
             np.bitwise_or.at(gone, owner[late], np.int64(1) << raw["place"][late].astype(np.int64))
-            last = piece[owner[-1]]
+            last = deal[owner[-1]]
             if last != current:
                 current, firsts = last, {}
-            mine = piece[owner] == last
-            for k, d in zip(raw["key"][mine].tolist(), first[mine].tolist(), strict=True):
-                firsts[k] = min(firsts.get(k, d), d)
+            mine = deal[owner] == last
+            for p, k, d in zip(piece[owner][mine].tolist(), raw["key"][mine].tolist(), first[mine].tolist(), strict=True):
+                firsts[p, k] = min(firsts.get((p, k), d), d)
         some = pa.array(gone != 0)
         yield pa.RecordBatch.from_arrays([pa.array(doc).filter(some), version.filter(some), start.filter(some), pa.array(gone).filter(some)], names=["doc", "version", "start", "gone"])
 
