@@ -94,22 +94,40 @@ def search_query(title: str | Column, name: str | Column, aliases: str | Column,
 
 def citations(text: str | Column, titles: str | Column, marker: str = "Sumber") -> Column:
     """Places cited as [marker n], as (document_index from 0, document_title); places out of range are left out."""
-    numbers = F.transform(F.regexp_extract_all(_c(text), F.lit(rf"\[{marker} (\d+)\]"), F.lit(1)), lambda n: n.cast("int"))
+    numbers = F.transform(F.regexp_extract_all(_c(text), F.lit(rf"\[{marker} (\d+)\]"), F.lit(1)), lambda n: n.try_cast("int"))
     inside = F.filter(numbers, lambda n: (n >= 1) & (n <= F.size(_c(titles))))
     return F.transform(inside, lambda n: F.struct((n - 1).alias("document_index"), F.element_at(_c(titles), n).alias("document_title")))
 
 
+#: Where a text's lines end.
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def labels(response: str | Column, n: str | Column, valid: list[str], default: str) -> Column:
-    """One label for each of n numbered items of a reply; a missing or invalid one is the default."""
-    lines = F.split(F.coalesce(_c(response), F.lit("")), "\n")
-    read = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*(\d+)[.)]", 1).cast("int").alias("no"), F.lower(F.regexp_extract(x, r"(\w+)\W*$", 1)).alias("label")))
-    known = F.filter(read, lambda x: x["no"].isNotNull() & x["label"].isin(valid))
+    """The n labels of a reply, in the order of its lines: the word after a line's number, or the last word of a line without one.
+
+    Lines whose word is no label do not count; labels that are missing are the default, and those beyond n are left out.
+    """
+    lines = F.transform(F.split(F.coalesce(_c(response), F.lit("")), LINE_END), lambda x: F.lower(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    numbered = r"(?U)^\d+[.)]\s*(\w+)"
+
+    def word(line: Column) -> Column:
+        return F.when(line.rlike(numbered), F.regexp_extract(line, numbered, 1)).otherwise(F.regexp_extract(line, r"(?U)(\S*)$", 1))
+
+    found = F.filter(F.transform(lines, word), lambda w: w.isin(valid))
+    size = F.greatest(F.coalesce(_c(n).cast("int"), F.lit(0)), F.lit(0))
+    return F.slice(F.concat(found, F.array_repeat(F.lit(default), size)), F.lit(1), size)
+
+
+def timestamp_or(x: str | Column, other: Column | None = None) -> Column:
+    """The time that a text says, in any ISO shape; another (null, if none is given) for null, empty and odd ones."""
+    read = F.try_to_timestamp(F.nullif(F.trim(_c(x)), F.lit("")))
+    return read if other is None else F.coalesce(read, other)
 
-    def at(i: Column) -> Column:
-        mine = F.filter(known, lambda x: x["no"] == i)
-        return F.when(F.size(mine) > 0, F.element_at(mine, 1)["label"]).otherwise(F.lit(default))
 
-    return F.when(_c(n) > 0, F.transform(F.sequence(F.lit(1), _c(n).cast("int")), at)).otherwise(F.array().cast("array<string>"))
+def json_text(x: str | Column) -> Column:
+    """A nested value as JSON; null stays null, and fields that are null are written."""
+    return F.to_json(_c(x), {"ignoreNullFields": "false"})
 
 
 def json_field(x: str | Column, name: str) -> Column:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate, groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -30,46 +32,36 @@ FREQUENT = {
 }
 
 
-class _Paragraphs(HTMLParser):
-    """Text of open p elements outside the skipped ones.
+class _Markup(HTMLParser):
+    """What a page does, in order: (name, 1) for a tag that opens, (name, -1) for one that closes, (text, 0) for text."""
 
-    Paragraphs nest. The buffer is emptied by each closing p, not by an opening one, so an unclosed p runs on, and
-    what follows a nested p belongs to the outer one. An opening p inside a skipped element does not count, nor does a
-    closing one while none is open.
-    """
-
-    def __init__(self):
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.found: list[str] = []
-        self.buffer: list[str] = []
-        self.open = self.skipped = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.skipped += 1
-        elif tag == "p" and not self.skipped:
-            self.open += 1
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.skipped = max(0, self.skipped - 1)
-        elif tag == "p" and self.open:
-            self.open -= 1
-            text = " ".join("".join(self.buffer).split())
-            self.buffer.clear()
-            if len(text) > PARAGRAPH_OVER:
-                self.found.append(text)
-
-    def handle_data(self, data):
-        if self.open and not self.skipped:
-            self.buffer.append(data)
+        self.seen: list[tuple[str, int]] = []
+        self.handle_starttag = lambda name, _: self.seen.append((name, 1))
+        self.handle_endtag = lambda name: self.seen.append((name, -1))
+        self.handle_data = lambda text: self.seen.append((text, 0))
+        self.feed(page)
 
 
 def paragraphs_of(page: str | None) -> str | None:
-    """[U1] The long paragraphs of a page, or None if they are short in all."""
-    parser = _Paragraphs()
-    parser.feed(page or "")
-    body = "\n\n".join(parser.found)
+    """[U1] The long paragraphs of a page, or None if they are short in all.
+
+    The page is a line of events, over which two depths run that never fall below zero: of skipped elements, and of p elements opened outside
+    those. Text counts where the first is zero and the second is not. Wherever the second falls, what counted since it last fell
+    is a paragraph; so an unclosed p runs on, and text after a nested one belongs to the next to close.
+    """
+    seen = _Markup(page or "").seen
+
+    def depth(steps: Iterable[int]) -> list[int]:
+        return list(accumulate(steps, lambda deep, step: max(0, deep + step), initial=0))
+
+    skipped = depth(step if name in SKIPPED else 0 for name, step in seen)
+    inside = depth(step if name == "p" and (step < 0 or not out) else 0 for (name, step), out in zip(seen, skipped, strict=False))
+    falls = list(accumulate((b < a for a, b in pairwise(inside)), initial=0))
+    said = [(fall, text) for (text, step), fall, deep, out in zip(seen, falls, inside, skipped, strict=False) if not step and deep and not out and fall < falls[-1]]
+    texts = (" ".join("".join(text for _, text in part).split()) for _, part in groupby(said, key=itemgetter(0)))
+    body = "\n\n".join(text for text in texts if len(text) > PARAGRAPH_OVER)
     return body if len(body) >= BODY_FROM else None
 
 
@@ -113,16 +105,25 @@ def reaches(a: str, b: str, least: float) -> bool:
 
 
 def language(text: str | Column) -> Column:
-    """[F23, U5] The language with most frequent words in the text, the first by name of equal ones; Indonesian for short texts and none."""
+    """[F23, U5] The language with most frequent words in the text, the first by name of equal ones; Indonesian for short texts and none.
+
+    The words are extracted once, and go through one fold that counts for all languages.
+    """
     text = F.trim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    names = sorted(FREQUENT)
+    some = F.filter(words, lambda w: w.isin(sorted(set().union(*FREQUENT.values()))))
+
+    def counted(n: Column, word: Column) -> Column:
+        return F.struct(*((n[name] + word.isin(FREQUENT[name]).cast("int")).alias(name) for name in names))
 
-    def frequent(listed: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(listed)))
+    def best(n: Column) -> Column:
+        top = F.greatest(*(n[name] for name in names))
+        first = F.coalesce(*(F.when(n[name] == top, name) for name in names))
+        return F.when(top > 0, first).otherwise("id")
 
-    found = [F.struct(frequent(listed).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, (name, listed) in enumerate(sorted(FREQUENT.items()))]
-    best = F.array_max(F.array(*found))
-    return F.when((F.length(text) < 20) | (best["n"] == 0), "id").otherwise(best["name"])
+    found = F.aggregate(some, F.struct(*(F.lit(0).alias(name) for name in names)), counted, best)
+    return F.when(F.length(text) < 20, "id").otherwise(found)
 
 
 def hashed_embedding(texts: list[str], dimension: int = 64) -> np.ndarray:

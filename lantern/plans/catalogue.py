@@ -515,9 +515,12 @@ def table_counts(spark, sf_dir):
 
 
 @query("""
-    select concat('INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (''', n_nationkey, ''', ''', replace(n_name, '''', ''''''), ''', ''', n_regionkey, ''');') as statement from nation""")
+    with v as (select *, chr(39) as q from customer)
+    select concat('INSERT INTO customer (c_custkey, c_name, c_mktsegment', case when c_nationkey > 0 then ', c_nationkey' else '' end, ') VALUES (', q, c_custkey, q, ', ', q, replace(c_name, '#', concat(q, q)), q, ', ', q, c_mktsegment, q,
+        case when c_nationkey > 0 then concat(', ', q, c_nationkey, q) else '' end, ');') as statement from v""")
 def sql_dump(spark, sf_dir):
-    return landed.sql_dump(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "nation")
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.replace("c_name", F.lit("#"), F.lit("'")).alias("c_name"), "c_mktsegment", F.when(F.col("c_nationkey") > 0, F.col("c_nationkey")).alias("c_nationkey"))
+    return landed.sql_dump(rows, "customer")
 
 
 @query("select distinct event_type, upper(substring(event_type, 1, 1)) as initial, lpad(cast(length(event_type) as varchar), 2, '0') as no from events order by 1")
@@ -599,6 +602,24 @@ def translate_queue(spark, sf_dir):
     return pipeline.to_translate(articles, ("src0", "src3"), 100).select("article_id")
 
 
+_LINE = (
+    "case event_id % 8 when 0 then concat(event_id, '. ', {s}) when 1 then concat(event_id, ')', upper({s}), ' - it is') when 2 then '' when 3 then concat('I would say ', {s}, '  ') "
+    "when 4 then concat('1. what ', {s}) when 5 then concat('99999999999999. ', {s}) when 6 then concat('- ', {s}, '.') else concat(' ', event_id, '.  ', {s}, ': so') end"
+).format(s=f"({STANCE})")
+
+
+@query(f"""
+    with l as (select user_id, event_id, lower(trim({_LINE})) as line from events),
+    w as (select user_id, event_id, case when regexp_matches(line, '^[0-9]+[.)]\\s*\\w') then regexp_extract(line, '^[0-9]+[.)]\\s*(\\w+)', 1) else regexp_extract(line, '(\\S*)$', 1) end as word from l),
+    g as (select user_id, count(*) as n, coalesce(list(word order by event_id) filter (word in ('positive', 'neutral', 'negative')), []) as found from w group by 1)
+    select user_id, n, array_to_string(list_concat(found, list_transform(range(n), lambda i: 'neutral'))[1:n], ' ') as labels from g""")
+def reply_labels(spark, sf_dir):
+    """A reply a user, a line for each event: numbered, blank, with explanations, without number, and out of bounds."""
+    lines = read(spark, sf_dir, "events").select("user_id", "event_id", F.expr(_LINE).alias("line"))
+    replies = lines.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("reply"))
+    return replies.select("user_id", "n", F.array_join(t.labels("reply", "n", list(t.STANCES), "neutral"), " ").alias("labels"))
+
+
 @query("""
     with m as (select l_partkey from lineitem where l_partkey % 5 < 4), k as (select l_partkey, count(*) as n from m group by 1)
     select (select count(*) from lineitem) as fetched, cast(sum(n) as bigint) as matched, count(*) filter (l_partkey % 2 = 1) as inserted,
@@ -610,11 +631,12 @@ def ingest_counts(spark, sf_dir):
 
 
 @query("""
-    select n_nationkey, case when contains(lower(n_name), 'an') then 'first' when contains(lower(n_name), 'i') then 'second' else 'third' end as channel
-    from nation where contains(lower(n_name), 'an') or contains(lower(n_name), 'i') or contains(lower(n_name), 'e')""")
+    with h as (select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host from pages)
+    select page_id, case when contains(lower(host), 'news') then 'first' when contains(lower(host), 'a') then 'second' else 'third' end as channel
+    from h where contains(lower(host), 'news') or contains(lower(host), 'a') or contains(lower(host), 'e')""")
 def channel_names(spark, sf_dir):
-    rows = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("channel"))
-    return landed.international_videos(rows, [("an", "first"), ("i", "second"), ("e", "third")])
+    rows = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("channel"))
+    return landed.international_videos(rows, [("news", "first"), ("a", "second"), ("e", "third")])
 
 
 @query("""

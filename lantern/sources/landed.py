@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lantern.functions.display import lookup, request
-from lantern.functions.text import contains_any, non_empty, sql_literal, url_id
+from lantern.functions.text import contains_any, non_empty, sql_literal, timestamp_or, url_id
 from lantern.functions.udfs import unescaped
 
 FIGURE = "figure_ord int, figure_id string, name string, role string, aliases array<string>, active boolean"
@@ -98,10 +98,11 @@ def search_request(base: str, query: str, international: bool = False) -> Column
 
 
 def domestic_videos(found: DataFrame) -> DataFrame:
-    """[S8] Videos with their channel's name: that of a handle, whatever spaces and case its title has, else the title, else ``YouTube``."""
+    """[S8] Videos with their channel's name: that of its id, or of a handle, whatever spaces and case its title has, else the title, else ``YouTube``."""
     plain = F.lower(F.regexp_replace(F.coalesce("channel", F.lit("")), r"\s+", ""))
     names = {k.lower(): v for k, v in DOMESTIC_CHANNELS.items()} | {v.replace(" ", "").lower(): v for v in DOMESTIC_CHANNELS.values()}
-    return found.withColumn("channel", lookup(plain, names, F.coalesce(F.nullif("channel", F.lit("")), F.lit("YouTube"))))
+    known = lookup("channel_id", DOMESTIC_CHANNELS, F.lit(None).cast("string")) if "channel_id" in found.columns else F.lit(None).cast("string")
+    return found.withColumn("channel", F.coalesce(known, lookup(plain, names, F.coalesce(F.nullif("channel", F.lit("")), F.lit("YouTube")))))
 
 
 def international_videos(found: DataFrame, channels: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -147,10 +148,14 @@ def ingest_counts(entries: DataFrame, attributed: DataFrame, known: DataFrame |
 
 
 def videos(responses: DataFrame, body: str = "value") -> DataFrame:
-    """[S5, S8] Videos of landed search responses; items without id go."""
+    """[S5, S8] Videos of landed search responses, each with its key as an article; items without id go. A date that is none is null."""
     items = responses.select(F.posexplode(F.from_json(body, VIDEOS)["items"]).alias("video_ord", "item"))
-    rows = items.select("video_ord", "item.id.videoId", "item.snippet.title", F.col("item.snippet.channelTitle").alias("channel"), F.to_timestamp("item.snippet.publishedAt").alias("published_at"))
-    return rows.filter(F.length("videoId") > 0).withColumnRenamed("videoId", "video_id").withColumn("url", F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id"))
+    rows = items.select(
+        "video_ord", F.col("item.id.videoId").alias("video_id"), "item.snippet.title", F.col("item.snippet.channelId").alias("channel_id"),
+        F.col("item.snippet.channelTitle").alias("channel"), timestamp_or("item.snippet.publishedAt").alias("published_at"),
+    )
+    rows = rows.filter(F.length("video_id") > 0).withColumn("article_id", url_id(F.concat(F.lit("yt-"), "video_id")))
+    return rows.withColumn("url", F.concat(F.lit("https://youtube.com/watch?v="), "video_id"))
 
 
 def video_comments(responses: DataFrame, body: str = "value", cap: int = 100) -> DataFrame:
@@ -161,7 +166,7 @@ def video_comments(responses: DataFrame, body: str = "value", cap: int = 100) ->
     rows = items.filter(F.col("comment_ord") < cap).select(
         "video_id", "comment_ord", text.alias("text"), F.col(f"{s}.authorChannelId.value").alias("author_id"),
         F.col(f"{s}.authorDisplayName").alias("author_name"), F.coalesce(f"{s}.likeCount", F.lit(0)).alias("like_count"),
-        F.to_timestamp(f"{s}.publishedAt").alias("published_at"),
+        timestamp_or(f"{s}.publishedAt").alias("published_at"),
     )
     return rows.filter(F.length("text") > 0)
 

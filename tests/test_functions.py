@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern.functions import text as t
-from lantern.functions import display, udfs, vectors
+from lantern.functions import display, subsequence, udfs, vectors
 
 
 def value(spark, column, **cells):
@@ -36,10 +36,56 @@ def test_citations_keep_repeats_and_bounds(spark):
     assert [(c.document_index, c.document_title) for c in got] == [(0, "a"), (1, "b"), (0, "a")]
 
 
-def test_labels_stand_at_their_numbers(spark):
-    valid = ["positive", "neutral", "negative"]
-    assert value(spark, t.labels("x", "n", valid, "neutral"), x="1. positive\n2. what\n3) Negative.\n9. positive", n=4) == ["positive", "neutral", "negative", "neutral"]
-    assert value(spark, t.labels("x", "n", valid, "neutral"), x=None, n=0) == []
+@pytest.mark.parametrize(
+    "reply,n,expected",
+    [
+        ("1. positive\n2. what\n3) Negative.\n9. positive", 4, "positive negative positive neutral"),
+        ("1. negative - it is bad\n\n  2)positive", 2, "negative positive"),
+        ("negative\r\nI would say: POSITIVE\n- negative.\n99999999999999999999. negative", 5, "negative positive negative neutral neutral"),
+        ("1.\tpositive\u2028positive", 1, "positive"),
+        ("1. -positive", 1, "neutral"),
+        ("", 2, "neutral neutral"),
+        (None, 0, ""),
+        ("positive", -1, ""),
+    ],
+)
+def test_labels_of_odd_replies(spark, reply, n, expected):
+    assert value(spark, t.labels("x", "n", ["positive", "neutral", "negative"], "neutral"), x=reply, n=n) == expected.split()
+
+
+def test_numbers_and_dates_that_are_none(spark):
+    got = value(spark, t.citations("x", "y"), x="[Sumber 20260101123] [Sumber 1] [Sumber 99999999999999999999]", y=["a"])
+    assert [(c.document_index, c.document_title) for c in got] == [(0, "a")]
+    for text in ("", "  ", "soon", "2026-13-40", None):
+        assert value(spark, t.timestamp_or("x"), x=text) is None
+        assert str(value(spark, t.timestamp_or("x", F.lit("2026-01-01").cast("timestamp")), x=text)) == "2026-01-01 00:00:00"
+    for text in ("2026-06-20T06:01:18Z", "2026-06-20T06:01:18+00:00", "2026-06-20 06:01:18", "2026-06-20T08:01:18+02:00"):
+        assert value(spark, F.unix_seconds(t.timestamp_or("x")), x=text) == 1781935278
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_many_pairs_at_once_are_as_alike_as_one_by_one(few, monkeypatch):
+    rng = random.Random(31)
+    texts = ["", "a", "aé日", "x" * 64, "x" * 65, *("".join(rng.choices("abcdeé日", k=rng.randrange(1, 400))) for _ in range(40))]
+    for base in texts[5:15]:
+        cut = rng.randrange(len(base))
+        texts += [base[:cut] + "".join(rng.choices("abz", k=rng.randrange(20))) + base[cut + rng.randrange(20) :], base[::-1]]
+    texts = sorted(set(texts))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j]
+    pairs = rng.sample(pairs, 60) if few else pairs
+    one, two = np.array(pairs).T
+    found = subsequence.Texts(texts)
+    monkeypatch.setattr(subsequence, "LANES", 500)
+    for least in (30, 55, 70, 85, 100):
+        got = subsequence.alike(found, one, two, least)
+        assert got.tolist() == [udfs.indel_ratio(texts[i], texts[j]) >= least - 1e-9 for i, j in pairs]
+    monkeypatch.setattr(subsequence, "TABLE_BYTES", 1000)  # a table for some texts at a time, and long integers
+    assert subsequence.alike(found, one, two, 70).tolist() == [udfs.indel_ratio(texts[i], texts[j]) >= 70 - 1e-9 for i, j in pairs]
+
+
+def test_json_text(spark):
+    row = spark.sql("select array(named_struct('a', 'x \"é\"', 'b', cast(null as int))) as v").select(t.json_text("v").alias("j"), t.json_text(F.lit(None).cast("array<int>")).alias("k")).first()
+    assert row.j == '[{"a":"x \\"é\\"","b":null}]' and row.k is None
 
 
 @pytest.mark.parametrize("mean,label", [(0.15, "neutral"), (0.1501, "positive"), (-0.15, "neutral"), (-0.16, "negative")])

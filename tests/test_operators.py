@@ -256,7 +256,7 @@ def test_samples_of_each_stance(spark):
 
 def test_landed_responses(spark):
     search = json.dumps({"items": [{"id": {"videoId": "v1"}, "snippet": {"title": "T", "publishedAt": "2024-01-01T00:00:00Z"}}, {"id": {}, "snippet": {}}]})
-    assert [r.url for r in landed.videos(spark.createDataFrame([(search,)], "value string")).collect()] == ["https://www.youtube.com/watch?v=v1"]
+    assert [r.url for r in landed.videos(spark.createDataFrame([(search,)], "value string")).collect()] == ["https://youtube.com/watch?v=v1"]
     thread = lambda text, original: {"snippet": {"topLevelComment": {"snippet": {"textDisplay": text, "textOriginal": original, "authorChannelId": {"value": "u"}}}}}
     body = json.dumps({"items": [thread("shown", "x"), thread("", "original"), thread("", "")]})
     got = landed.video_comments(spark.createDataFrame([("v1", body)], "video_id string, value string")).collect()
