@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from lantern.operators.clustering import Params, Walk
 from lantern.operators.tables import latest
@@ -29,34 +31,51 @@ def sessions(comments: DataFrame, at: str = "ts", gap: str = "30 minutes", late:
     return rows.groupBy("user_id", F.session_window(at, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start_at"), F.col("w.end").alias("end_at"), "n")
 
 
-def clustered(articles: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
-    """[T1, T2] The greedy clusterer over a stream: one state a figure, that of events whose window is open.
+class _Clusterer(StatefulProcessor):
+    """Open events of a figure, an entry each, and a timer for the end of each event's window."""
 
-    ``articles``: figure_id, article_id, seconds, embedding, tokens. An event is forgotten once it is two
-    windows older than the figure's last article.
+    def __init__(self, params: Params):
+        self.params = params
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "event string", "anchor double, centre array<double>, words array<string>, size int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        walk = Walk(self.params)
+        for (name,), (anchor, centre, words, size) in sorted(self.open.iterator(), key=lambda e: (e[1][0], e[0])):
+            walk.open(name, anchor, np.array(centre, float), set(words), size)
+        before = {name: size for name, *_, size in walk.events}
+        found = pd.concat(rows).sort_values(["seconds", "article_id"])
+        events = [walk.add(a, s, np.asarray(v, float), set(t)) for a, s, v, t in zip(found["article_id"], found["seconds"], found["embedding"], found["tokens"], strict=True)]
+        for name, anchor, centre, words, size in walk.events:
+            if before.get(name) != size:  # only events that got an article are written
+                self.open.updateValue((name,), (float(anchor), list(map(float, centre)), sorted(words), int(size)))
+            if name not in before:
+                self.handle.registerTimer(int((anchor + self.params.days * 86400) * 1000) + 1)
+        yield pd.DataFrame({"article_id": found["article_id"], "event_id": events})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        since = timerValues.getCurrentWatermarkInMs() / 1000 - self.params.days * 86400
+        for name in [name for name, (anchor, *_) in self.open.iterator() if anchor < since]:
+            self.open.removeKey(name)
+        yield pd.DataFrame({"article_id": pd.Series([], dtype=object), "event_id": pd.Series([], dtype=object)})
+
+    def close(self) -> None:
+        pass
+
+
+def clustered(articles: DataFrame, params: Params = Params(), late: str = "1 day") -> DataFrame:  # noqa: B008
+    """[T1, T2] The greedy clusterer over a stream: figures with their open events as state, which goes once the watermark has passed an event's window.
+
+    ``articles``: figure_id, article_id, seconds, embedding, tokens; those without seconds are left out, as are those more than ``late`` behind or before 1970. Articles that
+    arrive together are taken in the order of their times. A figure without new articles loses its events, too, by their timers.
+    Keyed state of several columns needs the RocksDB store, which is set for the session.
     """
-    import numpy as np
-
-    def step(key: tuple, groups: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        walk = Walk(params)
-        if state.exists:
-            for name, when, centre, words, size in zip(*state.get, strict=True):
-                walk.open(name, when, np.array(centre), set(words), size)
-        rows = pd.concat(groups).sort_values(["seconds", "article_id"])
-        events = [walk.add(a, s, np.asarray(v, float), set(t)) for a, s, v, t in zip(rows["article_id"], rows["seconds"], rows["embedding"], rows["tokens"], strict=True)]
-        if len(rows):
-            since = float(rows["seconds"].max()) - 2 * params.days * 86400
-            kept = [e for e in walk.events if e[1] >= since]
-            state.update(([e[0] for e in kept], [e[1] for e in kept], [list(map(float, e[2])) for e in kept], [sorted(e[3]) for e in kept], [e[4] for e in kept]))
-        yield pd.DataFrame({"article_id": rows["article_id"], "event_id": events})
-
-    return articles.groupBy("figure_id").applyInPandasWithState(
-        step,
-        "article_id string, event_id string",
-        "names array<string>, anchors array<double>, centres array<array<double>>, words array<array<string>>, sizes array<int>",
-        "append",
-        "NoTimeout",
-    )
+    articles.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = F.timestamp_micros((F.col("seconds") * 1_000_000).cast("long") + 1000)  # a first watermark is at 0, and what is not after it is late
+    timed = articles.filter("seconds is not null").withColumn("at", at).withWatermark("at", late)
+    return timed.groupBy("figure_id").transformWithStateInPandas(_Clusterer(params), "article_id string, event_id string", "append", "eventTime")
 
 
 def keep_latest(batch: DataFrame, batch_id: int, path: str, key: str, *order: str) -> None:

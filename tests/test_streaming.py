@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -43,6 +44,29 @@ def test_stream_clusterer_equals_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, clustering.cluster(batch).collect()))
 
 
+def test_stream_clusterer_forgets_after_the_window(spark, tmp_path):
+    """Three files are three batches; idle figure g and the old events of f go by timer once the watermark has passed their windows."""
+    day, schema = 86400.0, "figure_id string, article_id string, seconds double, embedding array<double>, tokens array<string>"
+    vector = lambda i: [1.0, 0.0] if i % 2 else [0.0, 1.0]
+    rows = [("f", f"a{i:02}", day * i / 2, vector(i), ["x", "y", "z"]) for i in range(20)] + [("g", "g1", day, vector(1), ["x", "y", "z"])]
+    later = [("f", f"b{i}", day * (40 + i), vector(i), ["x", "y", "z"]) for i in range(2)]
+    last = [("h", "h1", day * 80, vector(1), ["x", "y", "z"])]
+    place = str(tmp_path / "in")
+    for i, part in enumerate((rows, later, last, [("h", "h2", day * 81, vector(1), ["x", "y", "z"])])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(place)
+        for f in (tmp_path / "in").glob("part-*.parquet"):
+            if not f.name.startswith("part-kept"):
+                f.rename(f.with_name(f"part-kept{i}.parquet"))
+                os.utime(f.with_name(f"part-kept{i}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(place)
+    query = streams.clustered(stream).writeStream.outputMode("append").format("memory").queryName("forgets").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.awaitTermination()
+    held = [p.stateOperators[0].customMetrics.get("numMapStateVars", 0) and p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    batch = spark.createDataFrame([*rows, *later, *last, ("h", "h2", day * 81, vector(1), ["x", "y", "z"])], schema).withColumn("published_at", F.timestamp_micros((F.col("seconds") * 1e6).cast("long")))
+    assert sorted(map(tuple, spark.table("forgets").collect())) == sorted(map(tuple, clustering.cluster(batch).collect()))
+    assert held[-1] < max(held)
+
+
 def test_replayed_batches_replace_themselves(spark, tmp_path):
     place, schema = str(tmp_path / "out"), "key int, at int, v string"
     one, two = (spark.createDataFrame(r, schema) for r in ([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], [(1, 3, "d")]))
