@@ -175,16 +175,31 @@ def stance(provider: Callable[[list[str]], list[str]] = lexicon_stance) -> Calla
     return classify
 
 
-def replies(prompts: str | Column, provider: Callable[[list[str]], list[str]]) -> Column:
-    """[S19, T8] What a chat or completion provider answers to each prompt, as (body, status); a failing batch is an error value, not an exception."""
+def answered(prompts: list[str], provider: Callable[[list[str]], list[str]], retries: int = 2) -> list[tuple[str | None, str]]:
+    """[S19, T8] (body, status) for each prompt: a batch that fails is tried again, then halved, so one bad prompt costs its own answer only.
 
-    @F.pandas_udf("body string, status string")
-    def ask(texts: pd.Series) -> pd.DataFrame:
+    A provider that answers too few or too many fails, too. At most (retries + 1) * 2 * (bad prompts) * log2(batch) calls more than one are made.
+    """
+    for _ in range(retries + 1):
         try:
-            out = list(provider(list(texts)))
+            out = list(provider(prompts))
+            if len(out) != len(prompts):
+                raise ValueError("answers are not as many as prompts")
+            return [(x, "ok") if x else (None, "error:empty") for x in out]
         except Exception as e:  # the provider's own errors become values
-            return pd.DataFrame({"body": [None] * len(texts), "status": [f"error:provider:{type(e).__name__}"] * len(texts)})
-        return pd.DataFrame({"body": out, "status": ["ok" if x else "error:empty" for x in out]})
+            failed = f"error:provider:{type(e).__name__}"
+    if len(prompts) == 1:
+        return [(None, failed)]
+    half = len(prompts) // 2
+    return answered(prompts[:half], provider, retries) + answered(prompts[half:], provider, retries)
+
+
+def replies(prompts: str | Column, provider: Callable[[list[str]], list[str]], retries: int = 2) -> Column:
+    """[S19, T8] What a chat or completion provider answers to each prompt, as (body, status); an error is a value, not an exception."""
+
+    @F.pandas_udf("body string, status string")
+    def ask(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(answered(list(texts), provider, retries) if len(texts) else [], columns=["body", "status"], dtype=object)
 
     return ask(F.col(prompts) if isinstance(prompts, str) else prompts)
 

@@ -7,16 +7,19 @@ take part with the centre and the tokens of their articles.
 
 The order matters, so a figure's timeline is walked in one place, but it may be cut wherever two
 consecutive times, of articles or of anchors, are more than ``days`` apart: no event reaches over such a gap. Each piece is
-then a group of its own. Cuts are found on narrow rows; vectors and tokens are only dealt out by piece. In a piece, an event is
-forgotten once its anchor is further back than ``days``, as articles come in time order.
+then walked by itself. Cuts are found on narrow rows; vectors and tokens are only dealt out by piece. A piece is read as a stream in time order, which Spark
+sorts and spills; a task holds a batch of articles and the events that are open, however long the piece is. An event is forgotten once its anchor is further
+back than ``days``, and a stored one is opened so long before its anchor. Events that share too few words are not looked at: the words of open events are an index.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,35 +39,86 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 class Walk:
-    """Open events of one figure; articles come in time order."""
+    """Open events of one figure; articles come in time order. Events are kept in the order in which ties look at them: stored ones, then opened ones."""
 
     def __init__(self, params: Params):
-        self.params, self.events = params, []
-
-    def open(self, key: str, when: float, centre: np.ndarray, words: set[str], size: int) -> None:
-        self.events.append([key, when, centre, words, size])
-
-    def add(self, key: str, when: float, vector: np.ndarray, words: set[str]) -> str:
+        self.params = params
+        self.slots: dict[int, list] = {}  # place: key, anchor, centre, words, size
+        self.having: dict[str, set[int]] = {}
+        self.stored, self.opened = -(1 << 62), 0
+
+    @property
+    def events(self) -> list[list]:
+        return [self.slots[place] for place in sorted(self.slots)]
+
+    def open(self, key, when: float, centre: np.ndarray, words: set[str], size: int) -> None:
+        """A stored event, in the order of dates."""
+        self.stored += 1
+        self._put(self.stored, [key, when, centre, words, size])
+
+    def _put(self, place: int, event: list) -> None:
+        self.slots[place] = event
+        for word in event[3]:
+            self.having.setdefault(word, set()).add(place)
+
+    def _sharing(self, words: set[str]) -> list[int]:
+        """Places of the events that share enough words, in order."""
+        if self.params.least_shared <= 0:
+            return sorted(self.slots)
+        shared = Counter(place for word in words for place in self.having.get(word, ()))
+        return sorted(place for place, n in shared.items() if n >= self.params.least_shared)
+
+    def add(self, key, when: float, vector: np.ndarray, words: set[str]):
         p, found, best = self.params, None, self.params.least_similarity
-        for event in self.events:
-            if abs(when - event[1]) > p.days * 86400 or len(words & event[3]) < p.least_shared:
-                continue
-            similarity = float(vector @ event[2])
-            if similarity >= best:
-                found, best = event, similarity
+        for place in self._sharing(words):
+            if abs(when - self.slots[place][1]) <= p.days * 86400:
+                similarity = float(vector @ self.slots[place][2])
+                if similarity >= best:
+                    found, best = place, similarity
         if found is None:
-            self.open(key, when, vector, words, 1)
+            self.opened += 1
+            self._put(self.opened, [key, when, vector, words, 1])
             return key
-        found[2] = _unit((found[2] * found[4] + vector) / (found[4] + 1))
-        found[3] = found[3] | words
-        found[4] += 1
-        return found[0]
+        event = self.slots[found]
+        event[2] = _unit((event[2] * event[4] + vector) / (event[4] + 1))
+        for word in words - event[3]:
+            self.having.setdefault(word, set()).add(found)
+        event[3] = event[3] | words
+        event[4] += 1
+        return event[0]
 
     def forget(self, when: float) -> None:
         """Lets go of events that no article from ``when`` on can join."""
         since = when - self.params.days * 86400
-        if any(event[1] < since for event in self.events):
-            self.events = [event for event in self.events if event[1] >= since]
+        for place in [place for place, event in self.slots.items() if event[1] < since]:
+            for word in self.slots.pop(place)[3]:
+                self.having[word].discard(place)
+                if not self.having[word]:
+                    del self.having[word]
+
+
+def _walk(params: Params):
+    """Walks through rows in the order of figure, piece and time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, current, swept = Walk(params), None, 0.0
+        for batch in batches:
+            ids, events = [], []
+            for figure, piece, key, when, size, vector, words in zip(*(batch.column(c).to_pylist() for c in ("figure_id", "piece", "id", "seconds", "size", "vector", "words")), strict=True):
+                if (figure, piece) != current:
+                    state, current, swept = Walk(params), (figure, piece), when
+                if size:
+                    state.open(key, when, np.asarray(vector, float), set(words), size)
+                    continue
+                if when - swept > params.days * 86400 / 64:  # those further back are told by their anchors in between
+                    state.forget(when)
+                    swept = when
+                ids.append(key)
+                events.append(state.add(key, when, np.asarray(vector, float), set(words)))
+            kind = batch.schema.field("id").type
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(events, kind)], names=["article_id", "event_id"])
+
+    return run
 
 
 def open_events(events: DataFrame, articles: DataFrame, dimension: int, statuses: tuple[str, ...] = ("new", "summarized")) -> DataFrame:
@@ -105,18 +159,9 @@ def cluster(articles: DataFrame, params: Params = Params(), as_of: float = 0.0,
     same = F.col("figure_id").eqNullSafe(F.col("_figure")) & F.col("id").eqNullSafe(F.col("_id")) & ((F.col("size") > 0) == F.col("_known"))
     pieces = rows.join(pieces, same).drop("_figure", "_id", "_known")
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        state = Walk(params)
-        group = group.sort_values(["seconds", "late", "id"])
-        for e in group[group["size"] > 0].itertuples():
-            state.open(e.id, e.seconds, np.asarray(e.vector, float), set(e.words), e.size)
-        new, events = group[group["size"] == 0], []
-        for a in new.itertuples():
-            state.forget(a.seconds)
-            events.append(state.add(a.id, a.seconds, np.asarray(a.vector, float), set(a.words)))
-        return pd.DataFrame({"article_id": new["id"].to_numpy(), "event_id": pd.Series(events, dtype=new["id"].dtype).to_numpy()})
-
-    return pieces.groupBy("figure_id", "piece").applyInPandas(walk, f"article_id {kind}, event_id {kind}")
+    turn = F.when(F.col("size") > 0, F.col("seconds") - params.days * 86400 - 1).otherwise(F.col("seconds"))
+    dealt = pieces.withColumn("turn", turn).repartition("figure_id", "piece").sortWithinPartitions("figure_id", "piece", "turn", F.col("size") == 0, "late", "id")
+    return dealt.select("figure_id", "piece", "id", "seconds", "size", "vector", "words").mapInArrow(_walk(params), f"article_id {kind}, event_id {kind}")
 
 
 def event_types(members: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

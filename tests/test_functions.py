@@ -237,3 +237,32 @@ def test_providers_that_fail_give_error_values(spark):
     rows = spark.createDataFrame([("ask",)], "x string")
     assert tuple(rows.select(udfs.replies("x", lambda xs: [x.upper() for x in xs]).alias("v")).first().v) == ("ASK", "ok")
     assert tuple(rows.select(udfs.replies("x", broken).alias("v")).first().v) == (None, "error:provider:TimeoutError")
+
+
+def test_one_bad_prompt_of_a_thousand_costs_its_own_answer(spark):
+    calls = []
+
+    def provider(texts):
+        calls.append(len(texts))
+        if "p637" in texts:
+            raise TimeoutError
+        return [t.upper() for t in texts]
+
+    got = udfs.answered([f"p{i}" for i in range(1000)], provider)
+    assert [i for i, (body, status) in enumerate(got) if status != "ok"] == [637] and got[637] == (None, "error:provider:TimeoutError")
+    assert all(body == f"P{i}" for i, (body, _) in enumerate(got) if i != 637) and len(calls) < 60
+    assert udfs.answered(["a", "b"], lambda texts: texts[:1] if len(texts) > 1 else texts, 0) == [("a", "ok"), ("b", "ok")]
+    rows = spark.range(50).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("p")).select("p", udfs.replies("p", lambda texts: [None if "p3" in texts and len(texts) == 1 else t if "p3" not in texts else 1 / 0 for t in texts]).alias("r"))
+    assert {(r.p, r.r.status) for r in rows.collect() if r.r.status != "ok"} == {("p3", "error:empty")}
+
+
+def test_flaky_provider_is_tried_again():
+    state = {"left": 2}
+
+    def flaky(texts):
+        state["left"] -= 1
+        if state["left"] >= 0:
+            raise ConnectionError
+        return texts
+
+    assert udfs.answered(["a", "b"], flaky) == [("a", "ok"), ("b", "ok")]

@@ -348,3 +348,27 @@ def test_catalogue_against_sql(spark, name):
     frame = catalogue.QUERIES[name](spark, sf_dir)
     expected = db.execute(f"select {', '.join(sorted(frame.columns))} from ({catalogue.SQL[name]})").fetchall()
     assert sorted(map(str, map(tuple, frame.select(*sorted(frame.columns)).collect()))) == sorted(map(str, expected))
+
+
+def test_a_busy_figure_is_walked_as_a_stream(spark):
+    """An article an hour for years without a gap: batches of 100 rows, and events of two weeks at most are open."""
+    n = 20_000
+    rows = spark.range(n).select(
+        F.lit("f").alias("figure_id"), F.col("id").alias("article_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 3600).alias("published_at"),
+        F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("id") % 4 == i).cast("double")).alias("embedding"), F.array(F.lit("x"), F.lit("y"), F.lit("z")).alias("tokens"),
+    ).repartition(8)
+    params = clustering.Params(days=1.0)
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, 100)
+    try:
+        got = {r.article_id: r.event_id for r in clustering.cluster(rows, params).collect()}
+    finally:
+        spark.conf.set(name, before)
+    walk, most = clustering.Walk(params), 0
+    for i in range(n):
+        vector = np.zeros(4)
+        vector[i % 4] = 1
+        walk.forget(i * 3600.0)
+        assert walk.add(i, i * 3600.0, vector, {"x", "y", "z"}) == got[i]
+        most = max(most, len(walk.slots))
+    assert len(got) == n and most <= 8 and set(walk.having) == {"x", "y", "z"}
