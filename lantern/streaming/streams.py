@@ -83,6 +83,45 @@ def keep_latest(batch: DataFrame, batch_id: int, path: str, key: str, *order: st
     latest(batch, key, *order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def _numbered(spark: SparkSession, path: str, prefix: str, whole: bool) -> dict[int, str]:
+    """Folders prefix=number below a path, in any store that Spark reads; only those whose writer has committed, if ``whole``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return {}
+    names = [s.getPath().getName() for s in files.listStatus(place)]
+    found = {int(n.removeprefix(prefix)): f"{path}/{n}" for n in names if n.startswith(prefix)}
+    return {n: p for n, p in found.items() if not whole or files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))}
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[int, str | None, dict[int, str]]:
+    """The newest whole snapshot (its last batch and folder; -1 and none without one) and the batches after it."""
+    snapshots = _numbered(spark, f"{path}/_snapshots", "upto=", True)
+    upto = max(snapshots, default=-1)
+    return upto, snapshots.get(upto), {n: p for n, p in _numbered(spark, path, "batch=", True).items() if n > upto}
+
+
 def current(spark: SparkSession, path: str, key: str, *order: str) -> DataFrame:
-    """[K3] The latest row of each key over all batches that ``keep_latest`` wrote: the upserted table."""
-    return latest(spark.read.parquet(path).drop("batch"), key, *order)
+    """[K3] The latest row of each key over all batches that ``keep_latest`` wrote: the upserted table, from the newest snapshot and the batches after it."""
+    _, snapshot, tail = _parts(spark, path)
+    return latest(spark.read.parquet(*([snapshot] if snapshot else []), *tail.values()), key, *order)
+
+
+def compact(spark: SparkSession, path: str, key: str, *order: str, least: int = 10, drop: bool = True) -> int | None:
+    """[K3, K12] Folds the batches since the last snapshot into a new one, if they are ``least`` or more; gives its last batch, or none.
+
+    A snapshot counts once its writer has committed, so a run that breaks off leaves the old one in force, and readers see one or the other. What the
+    snapshot before the last held is then deleted, as are the batches in it; a reader that began before the last compaction still finds its own.
+    A batch that is run again after it is in a snapshot changes nothing.
+    """
+    upto, snapshot, tail = _parts(spark, path)
+    if len(tail) < least:
+        return None
+    last = max(tail)
+    latest(spark.read.parquet(*([snapshot] if snapshot else []), *tail.values()), key, *order).write.mode("overwrite").parquet(f"{path}/_snapshots/upto={last}")
+    if drop:
+        old = [p for n, p in _numbered(spark, f"{path}/_snapshots", "upto=", False).items() if n < upto] + [p for n, p in _numbered(spark, path, "batch=", False).items() if n <= upto]
+        for p in old:
+            place = spark._jvm.org.apache.hadoop.fs.Path(p)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return last

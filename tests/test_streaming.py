@@ -1,4 +1,5 @@
 import os
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -74,3 +75,23 @@ def test_replayed_batches_replace_themselves(spark, tmp_path):
         streams.keep_latest(batch, n, place, "key", "at")
     assert spark.read.parquet(place).count() == 3
     assert sorted(map(tuple, streams.current(spark, place, "key", "at").collect())) == [(1, 3, "d"), (2, 1, "c")]
+
+
+def test_compaction_keeps_reads_short(spark, tmp_path):
+    rng, place, schema, held, files = random.Random(4), str(tmp_path / "out"), "key int, at int, v string", {}, []
+    for n in range(25):
+        rows = [(rng.randrange(12), n, f"{n}/{i}") for i in range(5)]
+        rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
+        batch = spark.createDataFrame(rows, schema).coalesce(1)
+        streams.keep_latest(batch, n, place, "key", "at")
+        held |= {r[0]: r for r in rows}
+        if n == 13:  # a compaction that broke off
+            (tmp_path / "out" / "_snapshots" / "upto=99").mkdir(parents=True)
+            (tmp_path / "out" / "_snapshots" / "upto=99" / "part-0.parquet").write_bytes(b"junk")
+        assert streams.compact(spark, place, "key", "at", least=4) == (n if n % 4 == 3 else None)
+        if n in (8, 17):
+            streams.keep_latest(spark.createDataFrame([(1, -1, "old")], schema), n - 8, place, "key", "at")  # long compacted
+        now = streams.current(spark, place, "key", "at")
+        files.append(len({f.rsplit("/", 2)[-2] for f in now.inputFiles()}))
+        assert sorted(map(tuple, now.collect())) == sorted(held.values())
+    assert max(files) <= 5
