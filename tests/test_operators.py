@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lantern.functions.udfs import indel_ratio
-from lantern.operators import clustering, sentiment, signals, tables, timeline
+from lantern.operators import clustering, incremental, sentiment, signals, tables, timeline
 from lantern.plans import catalogue
 from lantern.sources import landed
 
@@ -372,3 +372,29 @@ def test_a_busy_figure_is_walked_as_a_stream(spark):
         assert walk.add(i, i * 3600.0, vector, {"x", "y", "z"}) == got[i]
         most = max(most, len(walk.slots))
     assert len(got) == n and most <= 8 and set(walk.having) == {"x", "y", "z"}
+
+
+def test_signals_after_each_delta_equal_those_of_all_comments(spark, tmp_path):
+    rng, words = random.Random(41), [f"word{i}" for i in range(40)]
+    base, rows = datetime(2024, 1, 1), []
+    for i in range(240):
+        text = " ".join(rng.choices(words, k=rng.randrange(2, 8))) if rng.random() < 0.8 or not rows else rng.choice(rows)[3] + rng.choice(["", "x"])
+        author = rng.choice([None, "", *(f"a{k}" for k in range(40))])
+        rows.append((f"e{rng.randrange(5 + i // 8)}", i, author, text, rng.choice(["positive", "neutral", "negative", None]), base + timedelta(minutes=rng.randrange(60 * 24 * 40))))
+    schema = "event_id string, comment_id long, author_id string, text string, stance string, published_at timestamp"
+    n, state, scores, skipped = [0], None, {}, 0
+
+    def keep(frame, name):
+        n[0] += 1
+        frame.write.parquet(str(tmp_path / f"{name}-{n[0]}"))
+        return spark.read.parquet(str(tmp_path / f"{name}-{n[0]}"))
+
+    for low, high in ((0, 190), (190, 200), (200, 201), (201, 215), (215, 216), (216, 240)):
+        state, again = incremental.advance(state, spark.createDataFrame(rows[low:high], schema), keep)
+        again = {r.event_id: tuple(r) for r in again.collect()}
+        scores |= again
+        every = spark.createDataFrame(rows[:high], schema)
+        expected = {r.event_id: tuple(r) for r in signals.composite(every, signals.signals(every)).collect()}
+        assert scores == expected
+        skipped += len(expected) - len(again)
+    assert skipped > 20
