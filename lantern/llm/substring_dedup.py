@@ -238,7 +238,7 @@ def _blocks(shared, params: Params, width: int):
         offsets = (packed.itemsize * left[np.append(head, len(piece))]).astype(np.int32)
         open_ = np.diff(offsets) > 0
         keys = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed[~gone].tobytes())])
-        deal = np.where(open_, np.where(alone[head], mix(piece[head] ^ key[head]), piece[head]), mix(version[head].astype(np.uint64) + start[head].astype(np.uint64)))
+        deal = np.where(open_, np.where(alone[head], mix(piece[head] ^ key[head]), piece[head]), mix(doc[head].astype(np.uint64) * np.uint64(_STEP) + start[head].astype(np.uint64)))
         columns = [deal.view(np.int64), piece[head].view(np.int64), doc[head], version[head], start[head].astype(np.int32), marks]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), keys], names=["deal", "piece", "doc", "version", "start", "gone", "keys"])
 
