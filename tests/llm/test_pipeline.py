@@ -61,4 +61,4 @@ def test_run_gives_the_last_stage(spark):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
