@@ -18,6 +18,7 @@ from lantern.functions import text as t
 from lantern.functions.udfs import FREQUENT, language, paragraphs
 from lantern.functions.vectors import mean_vector
 from lantern.operators import clustering, sentiment, signals, tables, timeline
+from lantern.operators.names import linked_by_table, segments_by_table
 from lantern.plans import pipeline
 from lantern.sources import landed
 from lantern.streaming import streams
@@ -310,6 +311,40 @@ def attribute_by_table(spark, sf_dir):
     return timeline.attributed_by_table(docs, terms).select(F.col("article_id").alias("doc_id"), "figure_id")
 
 
+#: Names: the words of six letters and more that documents begin with, in the order of the first document of each.
+_NAMES = """
+    with n as (select regexp_extract(text, '^[A-Z][a-z]{5,}') as name, min(doc_id) as first_doc from documents group by 1 having name <> ''),
+    p as (select concat('(', string_agg(name, '|' order by first_doc, name), ')') as given, concat('(', string_agg(name, '|' order by length(name) desc, name), ')') as longest from n)"""
+
+
+def first_words(docs: DataFrame) -> DataFrame:
+    names = docs.select("doc_id", F.regexp_extract("text", "^[A-Z][a-z]{5,}", 0).alias("name")).filter("name <> ''")
+    return names.groupBy("name").agg(F.min("doc_id").alias("name_ord"))
+
+
+@query(f"""{_NAMES},
+    s as (select doc_id, regexp_extract_all(text, given) as names, list_filter(string_split(regexp_replace(text, given, concat(chr(1), '\\1', chr(1)), 'g'), chr(1)), lambda x: x <> '') as parts from documents, p)
+    select doc_id, array_to_string(names, '|') as names, cast(len(parts) as bigint) as n_segments from s""")
+def name_segments(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    cut = segments_by_table(docs.select("doc_id", "text"), "text", first_words(docs))
+    names = F.transform(F.filter("segments", lambda s: s["is_name"]), lambda s: s["text"])
+    return cut.select("doc_id", F.array_join(names, "|").alias("names"), long(F.size("segments")).alias("n_segments"))
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&#34;'), chr(39), '&#39;'), chr(10), '<br>')"
+
+
+@query(f"""{_NAMES},
+    m as (select doc_id, string_split(regexp_replace({_ESCAPED}, longest, concat(chr(1), '\\1', chr(2)), 'gi'), chr(1)) as parts from documents, p)
+    select doc_id, concat(parts[1], array_to_string(list_transform(parts[2:], lambda x: concat('<a href="/figure/', lower(split_part(x, chr(2), 1)), '" class="fig-link">',
+        upper(x[1]), lower(split_part(x[2:], chr(2), 1)), '</a>', split_part(x, chr(2), 2))), '')) as linked from m""")
+def linked_names(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    names = first_words(docs).select("name", F.lower("name").alias("page"))
+    return linked_by_table(docs.select("doc_id", "text"), "text", names).select("doc_id", "linked")
+
+
 @query("select sha256(url) as article_id, min(page_id) as page_id, first(url order by page_id) as url from pages where length(url) > 0 group by 1")
 def url_dedupe(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").filter(F.length("url") > 0).select(t.url_id("url").alias("article_id"), "page_id", "url")
