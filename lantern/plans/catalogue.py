@@ -20,7 +20,7 @@ from lantern.functions.vectors import mean_vector
 from lantern.operators import clustering, sentiment, signals, tables, timeline
 from lantern.operators.names import linked_by_table, segments_by_table
 from lantern.plans import pipeline
-from lantern.sources import landed
+from lantern.sources import landed, threads
 from lantern.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -345,6 +345,24 @@ def linked_names(spark, sf_dir):
     return linked_by_table(docs.select("doc_id", "text"), "text", names).select("doc_id", "linked")
 
 
+@query("""
+    select cast(user_id as varchar) as video_id, cast(0 as int) as comment_ord, props as text, cast(user_id as varchar) as author_id, cast(event_id as varchar) as author_name, cast(event_id % 50 as int) as like_count, ts as published_at
+    from events where length(props) > 0
+    union all select cast(user_id as varchar), 1, event_type, null, cast(event_id as varchar), 0, null from events where length(event_type) > 0""")
+def thread_function(spark, sf_dir):
+    """Each event is a response with two comments, the second without shown text, author, likes and readable date."""
+    threads.register(spark)
+    channel, name = F.struct(F.col("user_id").cast("string").alias("value")), F.col("event_id").cast("string").alias("authorDisplayName")
+    shown = F.struct(F.col("props").alias("textDisplay"), channel.alias("authorChannelId"), name, (F.col("event_id") % 50).alias("likeCount"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("publishedAt"))
+    other = F.struct(F.lit("").alias("textDisplay"), F.col("event_type").alias("textOriginal"), name, F.lit("soon").alias("publishedAt"))
+    whole = lambda s: F.to_json(F.struct(F.struct(F.struct(s.alias("snippet")).alias("topLevelComment")).alias("snippet")))
+    body = F.concat(F.lit('{"items":['), F.concat_ws(",", whole(shown), whole(other)), F.lit("]}"))
+    responses = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("video_id"), body.alias("value"))
+    return spark.sql("""
+        select video_id, comment_ord, text, author_id, author_name, like_count, try_to_timestamp(published) as published_at
+        from thread_comments(table(select * from {responses}) partition by (video_id), 100)""", responses=responses)
+
+
 @query("select sha256(url) as article_id, min(page_id) as page_id, first(url order by page_id) as url from pages where length(url) > 0 group by 1")
 def url_dedupe(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").filter(F.length("url") > 0).select(t.url_id("url").alias("article_id"), "page_id", "url")
