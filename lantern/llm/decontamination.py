@@ -17,7 +17,7 @@ far under all of them is dropped. The rest is verified by the edit distance betw
 window. Of equal distances the first place is reported.
 
 Items are taken in blocks of a bounded size, so the index that executors get never grows with the
-benchmark. Null and empty texts and items match nothing; equal items are all reported; a row of
+benchmark; it keeps 12 bits for each key that goes on and 12 bytes for each that ends. Null and empty texts and items match nothing; equal items are all reported; a row of
 ``documents`` that is repeated is reported each time. Very long texts are searched whole. Without documents or items nothing is found,
 and ``clean`` keeps all it gets. Extra columns, whatever their names, are kept by ``clean``.
 """
@@ -80,17 +80,29 @@ def _join(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 
 
 class Keys:
-    """A set of keys by their low bits: it may let a key through, never keep one back."""
+    """A set of keys as a Bloom filter of packed bits: it may let a key through, never keep one back."""
 
-    def __init__(self, keys: list):
-        found = np.array(keys, np.uint64)
-        self.mask = np.uint64((1 << max(16, 6 + len(found).bit_length())) - 1)
-        self.table = np.zeros(int(self.mask) + 1, bool)
-        self.table[(found & self.mask).astype(np.int64)] = True
+    BITS, HASHES = 12, 4
+
+    def __init__(self, keys: np.ndarray):
+        found = np.unique(keys)
+        self.size = np.uint64(max(64, self.BITS * len(found)))
+        bits = np.zeros(int(self.size), bool)
+        for n in range(self.HASHES):
+            bits[self._place(found, n)] = True
+        self.table = np.packbits(bits, bitorder="little")
+
+    def _place(self, keys: np.ndarray, n: int) -> np.ndarray:
+        low, high = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)
+        return ((((high + np.uint64(n) * (low | np.uint64(1))) & np.uint64(0xFFFFFFFF)) * self.size) >> np.uint64(32)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys that may be in the set."""
-        return np.flatnonzero(self.table[(keys & self.mask).astype(np.int64)])
+        stay = np.arange(len(keys))
+        for n in range(self.HASHES):
+            place = self._place(keys[stay], n)
+            stay = stay[(self.table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+        return stay
 
 
 class Index:
@@ -99,42 +111,56 @@ class Index:
     def __init__(self, ids: list, texts: list[str], params: Params):
         self.params = params
         found = [(i, h) for i, h in zip(ids, word_hashes(texts), strict=True) if len(h)]
-        self.ids, self.items = [i for i, _ in found], [h for _, h in found]
-        self.words = np.unique(np.concatenate(self.items)) if self.items else np.zeros(0, np.uint64)
+        self.ids = [i for i, _ in found]
+        self.size = np.array([len(h) for _, h in found], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.every = np.concatenate([*(h for _, h in found), np.zeros(0, np.uint64)])
+        self.words = np.unique(self.every)
+        self.last = np.array([params.samples(int(n)) for n in self.size], np.int8)
         rng = np.random.default_rng(7)
         self.repetitions = []
         offsets = rng.permutation(params.repetitions)
         for r in range(params.repetitions):
             steps = np.cumsum([0, *(rng.integers(a, b + 1) for a, b in params.gaps)])
-            go, end = self._levels(r, steps, (offsets[r] + 0.5) / params.repetitions)
+            share = (offsets[r] + 0.5) / params.repetitions
+            go, end = self._levels(r, steps, self._last(slice(None), len(steps)), share)
             first = np.zeros(len(self.words), bool)
             first[go[0].find(_join(np.zeros(len(self.words), np.uint64), self.words))] = True
-            self.repetitions.append((steps, first, go, end))
-
-    def _levels(self, r: int, steps: np.ndarray, share: float):
-        go = [[] for _ in steps]
-        end = [([], [], []) for _ in steps]
-        for i, item in enumerate(self.items):
-            last = min(self.params.samples(len(item)), len(steps)) - 1
-            at = offset = int(share * max(len(item) - steps[last] // 2, 1))
-            key, level = np.zeros(1, np.uint64), -1
-            for step in range(steps[-1] + 1):
-                if at >= len(item):
-                    break
-                if step == steps[level + 1]:
-                    key, level = _join(key, item[at : at + 1]), level + 1
-                    go[level].append(key[0])
-                    if level == last:
-                        break
-                at += int(_move(item[at : at + 1], r, step)[0])
-            end[level][0].append(key[0])
-            end[level][1].append(i)
-            end[level][2].append(offset)
+            self.repetitions.append((steps, share, np.packbits(first), go[1:], end))
+
+    def item(self, i: int) -> np.ndarray:
+        return self.every[self.begin[i] : self.begin[i] + self.size[i]]
+
+    def _last(self, items, most: int) -> np.ndarray:
+        """The number of each item's last sample, from 0."""
+        return np.minimum(self.last[items].astype(np.int64), most) - 1
+
+    def _offsets(self, share: float, steps: np.ndarray, items: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where in each item the samples of a repetition begin."""
+        return (share * np.maximum(self.size[items] - steps[last] // 2, 1)).astype(np.int64)
+
+    def _levels(self, r: int, steps: np.ndarray, last: np.ndarray, share: float):
+        live = np.arange(len(self.size))
+        at, key, level = self._offsets(share, steps, live, last), np.zeros(len(live), np.uint64), -1
+        go, end = [], [[(live[:0], key[:0])] for _ in steps]
+        for step in range(steps[-1] + 1):
+            over = at >= self.size[live]
+            end[level].append((live[over], key[over]))
+            live, at, key = live[~over], at[~over], key[~over]
+            symbol = self.every[self.begin[live] + at]
+            if step == steps[level + 1]:
+                key, level = _join(key, symbol), level + 1
+                go.append(Keys(key))
+                done = last[live] == level
+                end[level].append((live[done], key[done]))
+                live, at, key, symbol = live[~done], at[~done], key[~done], symbol[~done]
+            at = at + _move(symbol, r, step)
         out = []
-        for keys, item, offset in end:
-            order = np.argsort(np.array(keys, np.uint64), kind="stable")
-            out.append((np.array(keys, np.uint64)[order], np.array(item, np.int64)[order], np.array(offset, np.int64)[order]))
-        return [Keys(g) for g in go], out
+        for parts in end:
+            item, keys = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.argsort(keys, kind="stable")
+            out.append((keys[order], item[order].astype(np.int32)))
+        return go, out
 
     def candidates(self, words) -> np.ndarray:
         """Rows (text, item, first word of the window) for the words of a slice; no row twice."""
@@ -146,8 +172,8 @@ class Index:
         known = np.flatnonzero(self.words[spot] == words.hash)
         spot, stop = spot[known], words.bounds[1:][words.doc]
         found = [none]
-        for r, (steps, first, go, end) in enumerate(self.repetitions):
-            start = known[first[spot]]
+        for r, (steps, share, first, go, end) in enumerate(self.repetitions):
+            start = known[np.unpackbits(first, count=len(self.words)).view(bool)[spot]]
             at, key, level = start, np.zeros(len(start), np.uint64), 0
             for step in range(steps[-1] + 1):
                 if not len(start):
@@ -156,15 +182,15 @@ class Index:
                 if step == steps[level]:
                     key = _join(key, symbol)
                     if level:
-                        stay = go[level].find(key)
+                        stay = go[level - 1].find(key)
                         start, at, key, symbol = start[stay], at[stay], key[stay], symbol[stay]
-                    keys, items, offsets = end[level]
+                    keys, items = end[level]
                     if len(keys):
                         left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                         times = right - left
                         which = np.repeat(left, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                        begin = np.repeat(start, times)
-                        found.append(np.stack([words.doc[begin], items[which], begin - offsets[which]], axis=1))
+                        begin, item = np.repeat(start, times), items[which]
+                        found.append(np.stack([words.doc[begin], item, begin - self._offsets(share, steps, item, self._last(item, len(steps)))], axis=1))
                     level += 1
                     if level == len(steps):
                         break
@@ -178,12 +204,10 @@ class Index:
         """The candidates whose window's embedding is at a small Hamming distance from that of the item, under some walk."""
         if not len(found):
             return found
-        size = np.array([len(x) for x in self.items])
-        begin = np.cumsum(size) - size
-        every, n = np.concatenate(self.items), size[found[:, 1]]
+        every, n = self.every, self.size[found[:, 1]]
         low, high = words.bounds[found[:, 0]], words.bounds[found[:, 0] + 1]
         start = np.clip(found[:, 2], low, high - 1)
-        stop, first = np.minimum(start + n, high), begin[found[:, 1]]
+        stop, first = np.minimum(start + n, high), self.begin[found[:, 1]]
         keep = np.zeros(len(found), bool)
         for walk in range(self.params.walks):
             a, b, same = first.copy(), start.copy(), np.zeros(len(found), np.int64)
@@ -204,7 +228,7 @@ class Index:
         """(text, item, distance, first word) of the best match of each text and item that verify."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for doc, i, start in self.near(words, self.candidates(words)).tolist():
-            item, low, high = self.items[i], int(words.bounds[doc]), int(words.bounds[doc + 1])
+            item, low, high = self.item(i), int(words.bounds[doc]), int(words.bounds[doc + 1])
             if best.get((doc, i), (1,))[0] == 0:
                 continue
             allowed = int((1 - self.params.similarity) * len(item) + 1e-9)
@@ -243,29 +267,62 @@ def _blocks(items: DataFrame, params: Params, item_id: str, text: str) -> Iterat
         yield [r.i for r in block], [r.t for r in block]
 
 
+_FOUND = "array<struct<item:bigint,distance:bigint,similarity:double,first:bigint>>"
+
+
+def _matches(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, float, int]]:
+    """(text, item_id, distance, similarity, first word) of a batch."""
+    for part in slices(texts):
+        for doc, i, distance, start in index.matches(part.words(fold=True, punctuation=True)):
+            yield part.first + doc, index.ids[i], distance, 1 - distance / int(index.size[i]), start
+
+
+def _carrier(index: Index):
+    """Adds the matches of a block to those that a document carries along."""
+
+    def run(batches):
+        for batch in batches:
+            held = [found or [] for found in batch.column(2).to_pylist()]
+            for doc, *match in _matches(index, batch.column(1)):
+                held[doc].append(dict(zip(("item", "distance", "similarity", "first"), match, strict=True)))
+            kind = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int64()), ("similarity", pa.float64()), ("first", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, kind)], names=["doc_id", "text", "found"])
+
+    return run
+
+
 def _reporter(index: Index):
+    """The matches of the last block, and those carried along, a row each."""
+
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column(0), []
-            for part in slices(batch.column(1)):
-                words = part.words(fold=True, punctuation=True)
-                rows += [(part.first + doc, i, d, s) for doc, i, d, s in index.matches(words)]
-            place = pa.array([r[0] for r in rows], pa.int64())
-            arrays = [ids.take(place), pa.array([index.ids[r[1]] for r in rows]).cast(pa.int64()) if rows else pa.array([], pa.int64())]
-            arrays += [pa.array([r[2] for r in rows], pa.int64()), pa.array([1 - r[2] / len(index.items[r[1]]) for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64())]
+            rows = list(_matches(index, batch.column(1)))
+            if batch.num_columns > 2:
+                rows += [(doc, *m.values()) for doc, found in enumerate(batch.column(2).to_pylist()) for m in found or []]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            values = [pa.array([r[n + 1] for r in rows], kind) for n, kind in enumerate(kinds)]
+            arrays = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *values]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "item_id", "distance", "similarity", "first_word"])
 
     return run
 
 
 def leaks(docs: DataFrame, items: DataFrame, params: Params = Params()) -> DataFrame:  # noqa: B008
-    """doc_id, item_id, distance (words), similarity, first_word: the best place of each item that a document holds."""
+    """doc_id, item_id, distance (words), similarity, first_word: the best place of each item that a document holds.
+
+    The documents are read once: with more than one block of items, each but the last is a narrow step that adds its matches to a column.
+    """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, distance long, similarity double, first_word long"
-    out = spark.createDataFrame([], schema)
-    for ids, texts in _blocks(items, params, "item_id", "text"):
-        out = out.unionByName(in_arrow(docs.select("doc_id", "text"), _reporter(Index(ids, texts, params)), schema))
-    return out
+    indexes = [Index(ids, texts, params) for ids, texts in _blocks(items, params, "item_id", "text") if ids]
+    if not indexes:
+        return spark.createDataFrame([], schema)
+    rows = docs.select("doc_id", "text")
+    if len(indexes) > 1:
+        rows = rows.withColumn("found", F.lit(None).cast(_FOUND))
+    for index in indexes[:-1]:
+        rows = in_arrow(rows, _carrier(index), f"doc_id {kind}, text string, found {_FOUND}")
+    return in_arrow(rows, _reporter(indexes[-1]), schema)
 
 
 def _filter(index: Index, text: str):

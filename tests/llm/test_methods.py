@@ -240,6 +240,49 @@ def test_embedding_keeps_short_edit_distances_short():
     both = np.array([[0, 0, 0], [1, 0, 0]])
     assert index.near(words, both).tolist() == [[0, 0, 0]]
 
+def test_decontamination_in_blocks_equals_one_block(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randint(4, 30)))) for i in range(60)]
+    docs = [(d, None if d == 5 else " ".join(["x y z", items[d][1], "and", items[(d * 7) % 60][1]])) for d in range(40)] + [(3, items[3][1])]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontamination.leaks(*frames).collect()))
+    got = sorted(map(tuple, decontamination.leaks(*frames, decontamination.Params(block_bytes=2_000)).collect()))
+    assert got == want and len(want) > 60
+
+
+def test_decontamination_index_is_small_and_lets_every_key_through():
+    import pickle
+    import time
+
+    rng = np.random.default_rng(9)
+    keys = rng.integers(0, 1 << 63, 50_000).astype(np.uint64)
+    table = decontamination.Keys(keys)
+    assert len(table.find(keys)) == len(keys) and len(table.find(rng.integers(0, 1 << 63, 50_000).astype(np.uint64))) < 1_000
+    assert len(decontamination.Keys(keys[:0]).find(keys)) == 0
+    texts = [" ".join(map(str, rng.integers(0, 20_000, rng.integers(5, 40)))) for _ in range(20_000)]
+    began = time.perf_counter()
+    index = decontamination.Index(list(range(20_000)), texts, decontamination.Params())
+    assert time.perf_counter() - began < 20 and len(pickle.dumps(index)) < 16 << 20
+
+
+def test_decontamination_hamming_limit_keeps_windows_within_the_bound():
+    """Apart from the samples: of windows with a fifth of the words edited, the distance of the embeddings drops few."""
+    rng = random.Random(10)
+    for n in (5, 10, 20, 50, 120):
+        items = [[f"v{rng.randrange(5_000)}" for _ in range(n)] for _ in range(150)]
+        edited = []
+        for item in items:
+            some = list(item)
+            for k in rng.sample(range(n), n // 5):
+                some[k] = rng.choice([f"new{k}", ""])
+            edited.append(" ".join(filter(None, some)))
+        index = decontamination.Index(list(range(150)), [" ".join(x) for x in items], decontamination.Params())
+        words = next(iter(textscan.slices(pa.array(edited, pa.large_string())))).words(fold=True, punctuation=True)
+        found = np.array([(i, i, words.bounds[i]) for i in range(150)])
+        kept = len(index.near(words, found)) / 150
+        print("far", n, kept)
+        assert kept >= 0.95
+
 
 # ------------------------------------------------------------------ 4 mixing
 
