@@ -266,3 +266,33 @@ def test_flaky_provider_is_tried_again():
         return texts
 
     assert udfs.answered(["a", "b"], flaky) == [("a", "ok"), ("b", "ok")]
+
+
+def _plain_lcs(a: str, b: str) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcde", "abcdefghijklmnopq 😀"])
+def test_alike_equals_plain_subsequences(letters, monkeypatch):
+    """With whole texts alone, with parts of the alphabet, with lanes and with long integers; empty and equal texts too."""
+    rng = random.Random(len(letters))
+    base = ["".join(rng.choices(letters, weights=range(1, len(letters) + 1), k=k)) for k in (0, 1, 62, 63, 64, 126, 190, 260)]
+    texts = [*base, *("".join(rng.choice(letters) if rng.random() < share else c for c in t if rng.random() > share / 4) for t in base for share in (0, 0.1, 0.2))]
+    first, second = np.triu_indices(len(texts), 1)
+    plain = np.array([_plain_lcs(texts[i], texts[j]) for i, j in zip(first, second, strict=True)])
+    both = np.array([len(texts[i]) + len(texts[j]) for i, j in zip(first, second, strict=True)])
+    for part, wide in ((1 << 30, 0), (8, 0), (8, 1 << 30)):
+        monkeypatch.setattr(subsequence, "PART_LETTERS", part)
+        monkeypatch.setattr(subsequence, "WIDE", wide)
+        held = subsequence.Texts(texts)
+        assert (len(held.parts()) > 1) == (part == 8)
+        for least in (70, 85):
+            assert (subsequence.alike(held, first, second, least) == (200 * plain >= least * both)).all()
+        for need in (0, 40):
+            got = subsequence.shared(held, first, second, np.full(len(first), need))
+            assert (got == np.where(plain >= need, plain, -1)).all()
