@@ -342,7 +342,7 @@ _ESCAPED = "replace(replace(replace(replace(replace(replace(text, '&', '&amp;'),
 def linked_names(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     names = first_words(docs).select("name", F.lower("name").alias("page"))
-    return linked_by_table(docs.select("doc_id", "text"), "text", names).select("doc_id", "linked")
+    return linked_by_table(docs.select("doc_id", "text"), "text", names, out="text").select("doc_id", F.col("text").alias("linked"))
 
 
 @query("""

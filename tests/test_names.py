@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 from lantern.functions import text as t
 from lantern.functions.names import Trie, apart, places
 from lantern.operators import names, timeline
@@ -84,3 +85,28 @@ def test_a_hundred_thousand_names_in_one_walk():
     _, start, end, name = places([text], trie)
     assert time.perf_counter() - began < 20
     assert any(text[s:e] == words[7] for s, e in zip(start, end, strict=True)) and all(text[s:e] == words[n] for s, e, n in zip(start, end, name, strict=True))
+
+
+def test_a_large_batch_leaves_the_step_in_small_ones():
+    """linked_names at 1 GB: what a task holds at once was a batch of 10,000 whole texts with all places of their names."""
+    texts = ["Jane Doe went home. " * 200, None, "", "é😀 Doe"] * 1000
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    table = pa.table({"name": ["Jane", "Doe", "Jane Doe"], "name_ord": [0, 1, 2], "value": ["j", "d", "<Jane Doe>"]})
+    out = list(names._with_places(table, "text", longest=True, fold=False, last=True)(iter([batch])))
+    assert len(out) > 10 and max(b.nbytes for b in out) < 4_000_000
+    got = {r["id"]: r["pieces"] for b in out for r in b.to_pylist()}
+    assert len(got) == len(texts) and all("".join(p["text"] for p in got[i]) == (texts[i] or "") for i in got)
+    assert got[0][:2] == [{"text": "Jane Doe", "value": "<Jane Doe>"}, {"text": " went home. ", "value": None}] and got[1] == got[2] == []
+    assert got[3] == [{"text": "é😀 ", "value": None}, {"text": "Doe", "value": "d"}]
+
+
+def test_upper_levels_in_a_table_find_the_same(monkeypatch):
+    rng = random.Random(6)
+    words = list({"".join(rng.choices("abAB日😀", k=rng.randint(1, 6))) for _ in range(300)})
+    texts = ["".join(rng.choices("abABc日😀", k=200)) for _ in range(20)]
+    for fold in (False, True):
+        found = []
+        for upper in (0, 50, 1 << 21):
+            monkeypatch.setattr("lantern.functions.names.UPPER", upper)
+            found.append([part.tolist() for part in places(texts, Trie(words, fold))])
+        assert found[0] == found[1] == found[2] and len(found[0][0]) > 1000
