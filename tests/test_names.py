@@ -110,3 +110,16 @@ def test_upper_levels_in_a_table_find_the_same(monkeypatch):
             monkeypatch.setattr("lantern.functions.names.UPPER", upper)
             found.append([part.tolist() for part in places(texts, Trie(words, fold))])
         assert found[0] == found[1] == found[2] and len(found[0][0]) > 1000
+
+
+def test_blocks_are_few_and_stand_in_stages_of_their_own(spark, monkeypatch):
+    """name_segments: each 100,000 names were one more Python worker of every task at the same time."""
+    table = spark.range(120_000).selectExpr("id as name_ord", "concat('n', lpad(id, 6, '0')) as name")
+    some = spark.createDataFrame([(1, "n000007n119999 n120000"), (2, "")], "id long, text string")
+    steps = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    whole = names.segments_by_table(some, "text", table)
+    monkeypatch.setattr(names, "_apart", names.cut)
+    parts = names.segments_by_table(some, "text", table, block=50_000)
+    assert steps(whole) == steps(parts) == 1
+    want = {1: [("n000007", True), ("n119999", True), (" n120000", False)], 2: []}
+    assert all({r.id: [tuple(s) for s in r.segments] for r in df.collect()} == want for df in (whole, parts))
