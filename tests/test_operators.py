@@ -4,10 +4,12 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lantern.functions.subsequence import alike
 from lantern.functions.udfs import indel_ratio
 from lantern.operators import clustering, incremental, sentiment, signals, tables, timeline
 from lantern.plans import catalogue
@@ -71,6 +73,26 @@ def test_copypasta_equals_all_pairs(spark):
     assert got == expected and expected
 
 
+def test_pairs_that_change_nothing_are_not_compared(monkeypatch):
+    """fuzzy_copypasta: texts of one author were compared with each other, and texts of several authors, too."""
+    compared = []
+    monkeypatch.setattr(signals, "alike", lambda texts, i, j, least: compared.append(len(i)) or alike(texts, i, j, least))
+    owners = ["by a", "by a", "several", "several", "by b", None, None]
+    side = [{"sorted": f"words in order {k}", "fresh": True, "of": of} for k, of in enumerate(owners)]
+    tile = pa.RecordBatch.from_pydict({"same": [True], "x": [side], "y": [side]})
+    (out,) = signals._close(85)(iter([tile]))
+    assert compared == [21 - 2] and out.num_rows == 19
+
+
+def test_copies_among_one_author_and_several(spark):
+    """Texts of one author are no copies of each other, whatever texts of others are like them."""
+    base = "alpha beta gamma delta epsilon"
+    rows = [(0, "p", 0, "", base), (0, "p", 0, "", base + "s"), (0, "q", 0, "", "other words of one author only"), (0, "q", 0, "", "other words of one author onlys")]
+    assert signals.copypasta(comments(spark, rows)).count() == 0
+    rows += [(0, "r", 0, "", base + "s"), (0, "s", 0, "", base + "t"), (0, "t", 0, "", base + "t")]
+    assert {r.comment_id for r in signals.copypasta(comments(spark, rows)).collect()} == {0, 1, 4, 5, 6}
+
+
 def test_close_texts_in_many_tiles(spark, monkeypatch):
     rng = random.Random(21)
     base = [" ".join(sorted(rng.choices([f"w{i}" for i in range(60)], k=rng.randrange(6, 14)))) for _ in range(60)]
