@@ -296,3 +296,25 @@ def test_alike_equals_plain_subsequences(letters, monkeypatch):
         for need in (0, 40):
             got = subsequence.shared(held, first, second, np.full(len(first), need))
             assert (got == np.where(plain >= need, plain, -1)).all()
+
+
+def test_long_texts_are_read_side_by_side(monkeypatch):
+    """fuzzy_copypasta: pairs of long texts were read one by one, by long integers; words are closed and opened again where pieces of a text are moved."""
+    rng = random.Random(4)
+    alone = []
+    monkeypatch.setattr(subsequence, "_alone", lambda *args, f=subsequence._alone: alone.append(1) or f(*args))
+    words = ["".join(rng.choices("etaoinshr", k=rng.randrange(2, 8))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=450)) for _ in range(8)]
+    moved = [t[k:] + t[:k] if i % 2 else t[:k] + "z" * 200 + t[k + 250 :] for i, t in enumerate(texts) for k in (100 + 90 * i,)]
+    texts += [*moved, *("".join(c for c in t if rng.random() > 0.08) for t in texts)]
+    first, second = np.triu_indices(len(texts), 1)
+    plain = np.array([udfs.lcs(texts[i], texts[j]) for i, j in zip(first, second, strict=True)])
+    both = np.array([len(texts[i]) + len(texts[j]) for i, j in zip(first, second, strict=True)])
+    held = subsequence.Texts(texts)
+    for share, least in ((0.6, 85), (0.01, 85), (0.01, 75)):
+        monkeypatch.setattr(subsequence, "FIRST", share)
+        expected = 200 * plain >= least * both
+        assert (subsequence.alike(held, first, second, least) == expected).all() and expected.any()
+    assert len(alone) < 100
+    got = subsequence.shared(held, first, second, plain)
+    assert (got == plain).all() and (subsequence.shared(held, first, second, plain + 1) == -1).all()
